@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import encode_decode
-from .common import documents
+from .common import checkpoint, documents
+from .fingerprints import fingerprint_documents, with_near_counts
+from .near_dedup import simhash_classes
 from .packing import pack_documents
+from .substring_dedup import drop_repeats
 from .token_counts import token_counts
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,12 +27,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), with_ids=False)
 
 
+def op4_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checkpoint(fingerprint_documents(documents(spark, sf_dir)))
+    return with_near_counts(found).drop("fp")
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(documents(spark, sf_dir))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_packing, op4_simhash_fingerprints, op5_simhash_near_dedup, op6_substring_dedup, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
