@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_trie import encode_decode
 from .common import checkpoint, documents
 from .fingerprints import fingerprint_documents, with_near_counts
+from .licenses import scan_licenses
+from .media_mpeg import media_digests, store_texts
 from .near_dedup import simhash_classes
 from .packing import pack_documents
 from .substring_dedup import drop_repeats
 from .token_counts import token_counts
+from .toxicity import fit_toxicity, score_toxicity
+from .warc import derive, responses
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +28,12 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), with_values=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), with_ids=False)
 
@@ -44,8 +55,36 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(store_texts(documents(spark, sf_dir)))
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    named = {k: F.col("headers")[v] for k, v in {"refers_to": "WARC-Refers-To", "refers_to_uri": "WARC-Refers-To-Target-URI", "refers_to_date": "WARC-Refers-To-Date", "block_digest": "WARC-Block-Digest", "source_digest": "WARC-Source-Payload-Digest"}.items()}
+    return records.select("page_id", "record_type", "record_id", "target_uri", "content_type", *[c.alias(k) for k, c in named.items()], F.length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir)).drop("hits")
+
+
+QUERIES = (
+    op1_bpe_encode_decode,
+    op2_toxicity,
+    op3_packing,
+    op4_simhash_fingerprints,
+    op5_simhash_near_dedup,
+    op6_substring_dedup,
+    op7_token_counts,
+    op8_mpeg_media,
+    op9_warc_derivatives,
+    op10_license_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_packing, op4_simhash_fingerprints, op5_simhash_near_dedup, op6_substring_dedup, op7_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
