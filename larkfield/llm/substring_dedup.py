@@ -27,6 +27,7 @@ a shuffle; no group of rows is gathered.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from .common import batch_of, checkpoint, map_batches, text_or_empty
 
 #: Odd multipliers of the rolling hash and its finish.
 MULTIPLIER, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: A word with the ASCII white space before it.
+SPACED_WORD = re.compile(rb"([\x20\x09-\x0d]*)([^\x20\x09-\x0d]*)")
 #: Words whose hashes a task keeps.
 CACHE_WORDS = 250_000
 
@@ -179,8 +182,15 @@ def covered(n: int, parts: list[dict], window: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
+def without(text: str, gone: np.ndarray) -> str:
+    """``text`` without the words marked in ``gone`` and the white space before each; the rest keeps its spacing."""
+    raw = text.encode("utf-8", "surrogatepass")
+    parts = [m for m in SPACED_WORD.findall(raw) if m[1]]
+    return b"".join([gap + word for (gap, word), out in zip(parts, gone, strict=True) if not out]).lstrip().decode("utf-8", "surrogatepass")
+
+
 def drop_repeats(docs: DataFrame, window: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns n_words, n_removed, kept (the kept words joined by a space), kept_sha256.
+    """``docs`` with columns n_words, n_removed, kept (the text without the removed words) and kept_sha256 (of the kept words joined by one space).
 
     A word goes if a window of ``window`` consecutive words that covers it also
     starts, word for word, in a row with a smaller id. Edge cases: a null text
@@ -197,22 +207,18 @@ def drop_repeats(docs: DataFrame, window: int = 50, gram: int = 12, id_col: str
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts, removed, kept = [], [], []
+            counts, removed, kept, sums = [], [], [], []
             for text, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = split_words(text)
-                if parts:
-                    gone = covered(len(words), parts, window)
-                    counts.append(len(words))
-                    removed.append(int(gone.sum()))
-                    words = [w for w, out in zip(words, gone, strict=True) if not out]
-                else:
-                    counts.append(len(words))
-                    removed.append(0)
-                kept.append(b" ".join(words))
-            return batch_of(batch.column(0), counts, removed, pa.array(kept, pa.binary()).cast(pa.string()), [hashlib.sha256(x).hexdigest() for x in kept])
+                gone = covered(len(words), parts or [], window)
+                counts.append(len(words))
+                removed.append(int(gone.sum()))
+                kept.append(without(text, gone) if removed[-1] else text)
+                sums.append(hashlib.sha256(b" ".join([w for w, out in zip(words, gone, strict=True) if not out] if removed[-1] else words)).hexdigest())
+            return batch_of(batch.column(0), counts, removed, kept, sums)
 
         return step
 
-    row = next(f for f in joined.schema if f.name == "row").dataType.simpleString()
+    row = joined.schema["row"].dataType.simpleString()
     out = map_batches(joined, make, f"row {row}, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.select("row.*", *new)
