@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, map_batches, text_or_empty
-from .tokens import WordCache, letters_of, load_bpe
+from .tokens import load_bpe, packed_words
 
 
 def binary_pieces(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -51,8 +51,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, max_len: int = 1
 
     def make():
         bpe = load_bpe(path)
-        packed = WordCache(lambda word: struct.pack(f"<{len(parts := bpe.merge(bpe.symbols(letters_of(word))))}I", *[bpe.ids[p] for p in parts]))
-        of, tail = packed.__getitem__, struct.pack("<I", end_id)
+        of, tail = packed_words(path).__getitem__, struct.pack("<I", end_id)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, starts, sizes, sums, totals, ids = [], [], [], [], [], []

@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -132,16 +133,36 @@ def load_bpe(path: str) -> Bpe:
 
 
 class WordCache(dict):
-    """word -> what ``make`` gives for it; emptied when it is full."""
+    """word -> what ``make`` gives for it.
+
+    Two generations: when the young one is full it becomes the old one, from
+    which words that come again are taken back, so frequent words stay.
+    """
 
     def __init__(self, make: Callable[[str], object]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
+
+
+@lru_cache(8)
+def packed_words(path: str) -> WordCache:
+    """A worker's cache of pre-token -> its ids as little-endian 32-bit integers, merged by the library; tasks of one worker share it."""
+    bpe = load_bpe(path)
+    tokenize = bpe.library.model.tokenize
+
+    def make(word: str) -> bytes:
+        ids = [t.id for t in tokenize(letters_of(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return WordCache(make)
