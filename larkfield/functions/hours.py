@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..refdata import DAY_NAMES, DAY_WORDS, UNREAD_RULE_WORDS
-from .text import BLANK
+from .text import BLANK, let
 
 DAY_MINUTES = 1440
 RULE = r"(?i)^([A-Za-zÀ-ÿ,\-. ]+?)\s*(off|closed|geschlossen|[\d:.,\- ]+)$"
@@ -35,12 +35,11 @@ def _weekdays(spec: Column) -> Column:
     """The days of "Mo-Fr, Su"; null if a part is no day or range. Ranges wrap."""
 
     def one(part: Column) -> Column:
-        ends = F.split(part, "-")
-        first, last = _weekday(ends[0]), _weekday(F.try_element_at(ends, F.lit(2)))
-        span = F.transform(F.sequence(F.lit(0), F.pmod(last - first, F.lit(7))), lambda k: F.pmod(first + k, F.lit(7)))
-        return F.when(F.size(ends) == 1, F.when(first.isNotNull(), F.array(first))).when((F.size(ends) == 2) & first.isNotNull() & last.isNotNull(), span)
+        ends = F.transform(F.split(part, "-"), lambda x: _weekday(x))
+        span = lambda e: F.transform(F.sequence(F.lit(0), F.pmod(e[F.size(e) - 1] - e[0], F.lit(7))), lambda k: F.pmod(e[0] + k, F.lit(7)))
+        return let(ends, lambda e: F.when((F.size(e) <= 2) & F.forall(e, lambda x: x.isNotNull()), span(e)))
 
-    parts = F.transform(F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != ""), one)
+    parts = F.transform(F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != ""), one)
     return F.when((F.size(parts) > 0) & F.forall(parts, lambda p: p.isNotNull()), F.array_distinct(F.flatten(parts)))
 
 
@@ -48,11 +47,10 @@ def _spans(text: Column) -> Column:
     """The intervals of "9:00-12:00,14-18"; a span over midnight gives two on the same day; null if a part is no span."""
 
     def one(part: Column) -> Column:
-        ends = F.split(F.trim(part), "-")
-        start, end = parse_clock(ends[0]), parse_clock(F.try_element_at(ends, F.lit(2)))
+        ends = F.transform(F.split(F.trim(part), "-"), lambda x: parse_clock(x))
         pair = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-        both = F.when(end <= start, F.array(pair(start, F.lit(DAY_MINUTES)), pair(F.lit(0), end))).otherwise(F.array(pair(start, end)))
-        return F.when((F.size(ends) == 2) & start.isNotNull() & end.isNotNull(), both)
+        both = lambda e: F.when(e[1] <= e[0], F.array(pair(e[0], F.lit(DAY_MINUTES)), pair(F.lit(0), e[1]))).otherwise(F.array(pair(e[0], e[1])))
+        return let(ends, lambda e: F.when((F.size(e) == 2) & F.forall(e, lambda x: x.isNotNull()), both(e)))
 
     found = F.transform(F.split(text, ","), one)
     return F.when(F.forall(found, lambda x: x.isNotNull()), F.flatten(found))
@@ -71,29 +69,33 @@ def _week(intervals_of) -> Column:
 
 def parse_opening_hours(raw: Column, timezone: Column) -> Column:
     """Rule text -> hours. Rules that are not understood are kept in ``unparsed``; ``off`` clears a day's earlier rules, later rules add to it; null for blank texts."""
-    text = F.trim(F.regexp_replace(raw, f"{BLANK}+", " "))
-    rules = F.filter(F.transform(F.split(text, ";"), F.trim), lambda r: r != "")
 
     def read(rule: Column) -> Column:
         unread = rule.rlike(rf"(?i)\b({'|'.join(UNREAD_RULE_WORDS)})\b")
         times = F.lower(F.trim(F.regexp_extract(rule, RULE, 2)))
-        closed = times.isin("off", "closed", "geschlossen")
+        off = times.isin("off", "closed", "geschlossen")
         days = F.when(~unread & rule.rlike(RULE), _weekdays(F.regexp_extract(rule, RULE, 1)))
-        spans = F.when(closed, F.array().cast(INTERVALS)).otherwise(_spans(times))
-        return F.struct(rule.alias("rule"), (days.isNotNull() & spans.isNotNull()).alias("ok"), closed.alias("off"), days.alias("days"), spans.alias("spans"))
+        spans = F.when(off, F.array().cast(INTERVALS)).otherwise(_spans(times))
+        return F.struct(rule.alias("rule"), off.alias("off"), days.alias("days"), spans.alias("spans"))
 
-    read_rules = F.transform(rules, read)
-    good = F.filter(read_rules, lambda r: r["ok"])
-
-    def of_day(d: Column) -> Column:
+    def day_of(good: Column, d: Column) -> Column:
         own = F.transform(F.filter(good, lambda r: F.array_contains(r["days"], d)), lambda r, k: F.struct(k.alias("k"), r["off"].alias("off"), r["spans"].alias("spans")))
-        since = F.coalesce(F.array_max(F.transform(F.filter(own, lambda r: r["off"]), lambda r: r["k"])), F.lit(-1))
-        return F.flatten(F.transform(F.filter(own, lambda r: r["k"] > since), lambda r: r["spans"]))
-
-    always = text.rlike("(?i)^24/7$")
-    days = F.when(always, _week(lambda d: F.array(F.struct(F.lit(0).alias("start"), F.lit(DAY_MINUTES).alias("end"))))).otherwise(_week(of_day))
-    unparsed = F.when(always, F.array().cast("array<string>")).otherwise(F.transform(F.filter(read_rules, lambda r: ~r["ok"]), lambda r: r["rule"]))
-    return F.when((text != "") & (always | (F.size(rules) > 0)), F.struct(days.alias("days"), text.alias("raw"), timezone.alias("timezone"), unparsed.alias("unparsed")))
+        since = lambda o: F.coalesce(F.array_max(F.transform(F.filter(o, lambda r: r["off"]), lambda r: r["k"])), F.lit(-1))
+        return let(own, lambda o: let(since(o), lambda last: F.flatten(F.transform(F.filter(o, lambda r: r["k"] > last), lambda r: r["spans"]))))
+
+    def hours_of(text: Column, rules: Column) -> Column:
+        ok = lambda r: r["days"].isNotNull() & r["spans"].isNotNull()
+        days = let(F.filter(rules, ok), lambda good: _week(lambda d: day_of(good, d)))
+        unparsed = F.transform(F.filter(rules, lambda r: ~ok(r)), lambda r: r["rule"])
+        return F.when(F.size(rules) > 0, F.struct(days.alias("days"), text.alias("raw"), timezone.alias("timezone"), unparsed.alias("unparsed")))
+
+    def whole(text: Column) -> Column:
+        rules = F.transform(F.filter(F.transform(F.split(text, ";"), lambda r: F.trim(r)), lambda r: r != ""), read)
+        every_day = _week(lambda d: F.array(F.struct(F.lit(0).alias("start"), F.lit(DAY_MINUTES).alias("end"))))
+        always = F.struct(every_day.alias("days"), text.alias("raw"), timezone.alias("timezone"), F.array().cast("array<string>").alias("unparsed"))
+        return F.when(text == "24/7", always).otherwise(let(rules, lambda r: hours_of(text, r)))
+
+    return let(F.trim(F.regexp_replace(raw, f"{BLANK}+", " ")), whole)
 
 
 def hours_of_periods(periods: Column, timezone: Column) -> Column:

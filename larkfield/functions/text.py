@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from ..refdata import GENERIC_WORDS, LEGAL_FORMS, accent_table
 BLANK = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_text(c: Column) -> Column:
     """Lower case, umlauts as two letters, other accents off, ``&`` as a word, everything else but a-z and 0-9 as one space. Null gives ''."""
     low = F.lower(F.coalesce(c, F.lit("")))
