@@ -34,9 +34,8 @@ def words(c: Column) -> Column:
 
 def business_name(c: Column) -> Column:
     """Canonical name: without legal forms, unless nothing else is left."""
-    text = normalize_text(c)
-    kept = F.filter(F.split(text, " "), lambda w: (w != "") & ~w.isin(*LEGAL_FORMS))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(text)
+    kept = lambda text: F.array_join(F.filter(F.split(text, " "), lambda w: (w != "") & ~w.isin(*LEGAL_FORMS)), " ")
+    return let(normalize_text(c), lambda text: F.coalesce(F.nullif(kept(text), F.lit("")), text))
 
 
 def distinctive_tokens(c: Column) -> Column:
@@ -52,10 +51,13 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 def key_similarity(a: Column, b: Column) -> Column:
     """Similarity of two canonical names: 0 if one is empty, 1 if equal, else the larger of edit similarity and word overlap."""
+
+    def overlap(x: Column, y: Column, both: Column) -> Column:
+        return both / F.size(F.array_union(x, y)) * 0.6 + both / F.greatest(F.lit(1), F.least(F.size(x), F.size(y))) * 0.4
+
     x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
-    both = F.size(F.array_intersect(x, y))
-    overlap = both / F.size(F.array_union(x, y)) * 0.6 + both / F.greatest(F.lit(1), F.least(F.size(x), F.size(y))) * 0.4
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(edit_similarity(a, b), overlap))
+    shared = let(F.struct(x.alias("x"), y.alias("y")), lambda t: overlap(t["x"], t["y"], F.size(F.array_intersect(t["x"], t["y"]))))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.greatest(edit_similarity(a, b), shared))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
@@ -64,7 +66,8 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 def coverage_of(tokens: Column, hay: Column) -> Column:
     """The share of ``tokens`` that the normalised text ``hay`` contains; 0 without tokens."""
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(F.filter(tokens, lambda t: F.contains(hay, t))) / F.size(tokens))
+    share = lambda own, text: F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.filter(own, lambda t: F.contains(text, t))) / F.size(own))
+    return let(tokens, lambda own: let(hay, lambda text: share(own, text)))
 
 
 def token_coverage(name: Column, hay: Column) -> Column:

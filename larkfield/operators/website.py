@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.address import postal_key, street_key
 from ..functions.phone import compare_phones, normalize_phone
-from ..functions.text import coverage_of, distinctive_tokens, normalize_text
+from ..functions.text import coverage_of, distinctive_tokens, let, normalize_text
 from ..functions.web import domain_overlap, domains_in, handle_domains, hostname, is_link_page, is_social, is_social_or_directory, normalize_url, registrable_domain, social_profile
+from ..storage import cut
 
 WEIGHTS = {
     "phone_match": 45, "postal_match": 20, "street_match": 15, "city_match": 8, "name_match": 20, "name_match_partial": 10, "structured_match": 12,
@@ -49,10 +50,9 @@ def without_seen(guesses: DataFrame, seen: DataFrame) -> DataFrame:
 
 def provider_field() -> Column:
     """struct(kind, url) of a profile's website field: none, unreadable, social, directory or declared."""
-    url = normalize_url(F.col("website"))
     blank = F.coalesce(F.trim("website"), F.lit("")) == ""
-    kind = F.when(blank, "none").when(url.isNull(), "unreadable").when(is_social(url), "social").when(is_social_or_directory(url), "directory").otherwise("declared")
-    return F.struct(kind.alias("kind"), F.when(~blank, url).alias("url"))
+    kind = lambda url: F.when(blank, "none").when(url.isNull(), "unreadable").when(is_social(url), "social").when(is_social_or_directory(url), "directory").otherwise("declared")
+    return let(normalize_url(F.col("website")), lambda url: F.struct(kind(url).alias("kind"), F.when(~blank, url).alias("url")))
 
 
 def search_queries() -> Column:
@@ -166,18 +166,28 @@ def score_page() -> Column:
     url, final_url, redirects, http_status; title, text, normalized, phones,
     postal_codes, structured, is_parked, is_placeholder, is_empty.
     """
+    tokens = distinctive_tokens(F.col("name"))
+    hay = normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+    domain = let(F.coalesce(registrable_domain(F.col("final_url")), registrable_domain(F.col("url"))), lambda d: F.when(d.isNotNull(), domain_overlap(d, F.col("name"))))
+    facts = {
+        "tokens": tokens,
+        "coverage": coverage_of(tokens, hay),
+        "phones": F.transform("phones", lambda p: compare_phones(F.col("phone_e164"), p)),
+        "postal": postal_key(F.col("postal_code")),
+        "head": F.element_at(F.split(street_key(F.col("street")), " "), 1),
+        "city": F.element_at(F.split(normalize_text(F.col("city")), " "), 1),
+        "overlap": domain,
+    }
+    return let(F.struct(*[c.alias(k) for k, c in facts.items()]), _score_of)
+
+
+def _score_of(x: Column) -> Column:
+    """The score from what ``score_page`` worked out of a row."""
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    phones = F.transform("phones", lambda p: compare_phones(F.col("phone_e164"), p))
+    tokens, coverage, phones, postal, head, city = (x[k] for k in ("tokens", "coverage", "phones", "postal", "head", "city"))
     any_phone = has("phone_e164") & (F.size("phones") > 0)
-    postal = postal_key(F.col("postal_code"))
     postal_there = postal.isNotNull() & (F.size("postal_codes") > 0)
-    head = F.element_at(F.split(street_key(F.col("street")), " "), 1)
-    city = F.element_at(F.split(normalize_text(F.col("city")), " "), 1)
-    tokens = distinctive_tokens(F.col("name"))
-    hay = normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
-    coverage = coverage_of(tokens, hay)
     entry = lambda e: (coverage_of(tokens, normalize_text(e["name"])) >= 0.6) & F.coalesce((compare_phones(F.col("phone_e164"), normalize_phone(e["telephone"], F.col("country_code"))["e164"]) == "match") | (postal_key(e["postal"]) == postal), F.lit(False))
-    domain = F.coalesce(registrable_domain(F.col("final_url")), registrable_domain(F.col("url")))
     named = F.size(tokens) > 0
     on = {
         "phone_match": any_phone & F.array_contains(phones, "match"),
@@ -190,21 +200,31 @@ def score_page() -> Column:
         "name_match_partial": named & (coverage >= 0.5) & (coverage < 0.8),
         "name_absent": named & (coverage < 0.5),
         "structured_match": F.exists("structured", entry),
-        "domain_overlap": domain.isNotNull() & (domain_overlap(domain, F.col("name")) >= 0.5),
+        "domain_overlap": x["overlap"] >= 0.5,
         "declared_link": F.col("origin") == "declared",
     }
-    on = {k: F.coalesce(c, F.lit(False)) for k, c in on.items()}
-    score = sum((F.when(c, WEIGHTS[k]).otherwise(0) for k, c in on.items()), F.lit(0))
+    flags = F.struct(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in on.items()])
+    return let(flags, _decide)
+
+
+def _decide(on: Column) -> Column:
+    """Score, decision and signals from the flags of a row."""
+    score = sum((F.when(on[k], points).otherwise(0) for k, points in WEIGHTS.items()), F.lit(0))
     address = on["postal_match"] & on["street_match"]
-    strong = on["phone_match"] | on["declared_link"] | address
-    conflict = on["phone_conflict"] | on["postal_conflict"]
     hard = F.when(F.col("http_status") >= 400, "http").when(F.col("is_parked"), "parked").when(F.col("is_empty"), "empty")
-    decision = F.when(hard.isNotNull(), "REJECTED").when(F.col("is_placeholder"), "PROBABLE").when(conflict & (score < ACCEPT), "REJECTED").when((score >= ACCEPT) & strong, "ACCEPTED").when(score >= PROBABLE, "PROBABLE").otherwise("REJECTED")
-    code = F.when(hard.isNotNull(), hard).when(decision != "REJECTED", F.lit(None)).when(conflict, "conflict").otherwise("weak")
-    points = F.when(hard.isNotNull(), 0).when(F.col("is_placeholder"), F.least(score, F.lit(PROBABLE))).otherwise(score)
-    signals = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in on.items()], F.when(address, "address_match"), F.when(F.size("redirects") > 0, "redirect")))
-    signals = F.when(hard.isNotNull(), F.array().cast("array<string>")).otherwise(signals)
-    return F.struct(points.cast("int").alias("score"), decision.alias("decision"), code.alias("reject_code"), signals.alias("signals"), (strong & hard.isNull()).alias("strong"), F.array_compact(F.array(F.when(on["phone_conflict"] & hard.isNull(), "phone"), F.when(on["postal_conflict"] & hard.isNull(), "postal_code"))).alias("conflicts"))
+    named = [F.when(on[k], F.lit(k)) for k in ("phone_match", "phone_conflict", "postal_match", "postal_conflict", "street_match", "city_match", "name_match", "name_match_partial", "name_absent", "structured_match", "domain_overlap", "declared_link")]
+
+    def of(x: Column) -> Column:
+        soft = x["hard"].isNull()
+        decision = F.when(~soft, "REJECTED").when(F.col("is_placeholder"), "PROBABLE").when(x["conflict"] & (x["score"] < ACCEPT), "REJECTED").when((x["score"] >= ACCEPT) & x["strong"], "ACCEPTED").when(x["score"] >= PROBABLE, "PROBABLE").otherwise("REJECTED")
+        points = F.when(~soft, 0).when(F.col("is_placeholder"), F.least(x["score"], F.lit(PROBABLE))).otherwise(x["score"])
+        signals = F.array_compact(F.array(*named, F.when(address, "address_match"), F.when(F.size("redirects") > 0, "redirect")))
+        conflicts = F.array_compact(F.array(F.when(on["phone_conflict"] & soft, "phone"), F.when(on["postal_conflict"] & soft, "postal_code")))
+        code = lambda d: F.when(~soft, x["hard"]).when(d != "REJECTED", F.lit(None)).when(x["conflict"], "conflict").otherwise("weak")
+        return let(decision, lambda d: F.struct(points.cast("int").alias("score"), d.alias("decision"), code(d).alias("reject_code"), F.when(soft, signals).otherwise(F.array().cast("array<string>")).alias("signals"), (x["strong"] & soft).alias("strong"), conflicts.alias("conflicts")))
+
+    facts = F.struct(score.alias("score"), (on["phone_match"] | on["declared_link"] | address).alias("strong"), (on["phone_conflict"] | on["postal_conflict"]).alias("conflict"), hard.alias("hard"))
+    return let(facts, of)
 
 
 def judge_candidates(candidates: DataFrame, businesses: DataFrame, pages: DataFrame) -> DataFrame:
@@ -290,18 +310,22 @@ def verify_websites(businesses: DataFrame, search: DataFrame, statuses: DataFram
     """
     if max_businesses is not None:
         businesses = businesses.orderBy("id").limit(max_businesses)
+    businesses, pages = cut(businesses), cut(pages)
     ready = businesses.where(~F.col("identity_status").isin("UNVERIFIED", "NEEDS_REVIEW"))
     field = ready.withColumn("f", provider_field()).select(F.col("id").alias("business_id"), "f.kind", "f.url")
     hits, search_rows = search_channel(ready, search, statuses)
+    hits, search_rows = cut(hits), cut(search_rows)
     declared = field.where("kind = 'declared'").select("business_id", F.lit("provider_field").alias("channel"), F.lit("declared").alias("origin"), F.lit(1).alias("ordinal"), "url", registrable_domain(F.col("url")).alias("domain"))
     found = hits.where("kind = 'candidate'").select("business_id", F.lit("search_engine").alias("channel"), F.lit("found").alias("origin"), "ordinal", "url", "domain")
     seen = declared.unionByName(found)
     social_urls = field.where("kind = 'social'").select("business_id", F.lit(0).alias("ordinal"), "url").unionByName(hits.where("kind = 'social'").select("business_id", "ordinal", "url"))
+    social_urls = cut(social_urls)
     social, social_rows = social_channel(ready, social_urls, search, statuses, pages, seen)
+    social, social_rows = cut(social), cut(social_rows)
     guesses = ready.select(F.col("id").alias("business_id"), F.posexplode(domain_guesses()).alias("ordinal", "url")).withColumn("domain", registrable_domain(F.col("url")))
     guesses = without_seen(guesses, seen.select("business_id", "domain").unionByName(social.select("business_id", "domain"))).select("business_id", F.lit("domain_guess").alias("channel"), F.lit("derived").alias("origin"), "ordinal", "url", "domain")
     queue = cap_fetches(first_per_domain(seen.unionByName(social).unionByName(guesses)))
-    judged = judge_candidates(follow_redirects(queue, hops), ready, pages)
+    judged = cut(judge_candidates(follow_redirects(cut(queue), hops), ready, pages))
     listings = hits.where("kind = 'directory'").groupBy("business_id").agg(F.count("*").alias("n"))
     ids = ready.select(F.col("id").alias("business_id"))
     rows = search_rows.select("business_id", "channel", "status").unionByName(social_rows)
@@ -315,7 +339,7 @@ def verify_websites(businesses: DataFrame, search: DataFrame, statuses: DataFram
         joined = joined.join(part, "business_id", "left")
     joined = joined.withColumn("w", website_status(least_channels))
     concluded = joined.select("business_id", "identity_status", F.coalesce("w.status", F.lit("REQUIRES_MANUAL_CHECK")).alias("website_status"), F.coalesce("w.confidence", F.lit(0)).alias("website_confidence"), F.coalesce("accepted.url", "probable.url").alias("website_url"), "ok_channels", "blocked")
-    return concluded, judged, rows
+    return cut(concluded), judged, cut(rows)
 
 
 def keyword_search(queries: DataFrame, index: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
