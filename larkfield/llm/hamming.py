@@ -55,6 +55,11 @@ def bits_of(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of differing bits; unsigned, as the count of a negative number is that of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def correlated_partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     """The bits in ``m`` partitions of nearly equal width: each starts at the bit most correlated with what is left and takes those most correlated with it."""
     p = np.diag(both) / max(n, 1)
@@ -138,7 +143,7 @@ def near_links(nodes: DataFrame, radius: int, nearest: bool = False, id_col: str
             if len(i):
                 a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
                 own = a < b
-                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own]), pa.array(np.bitwise_count(fp[i] ^ fp[j])[own].astype(np.int32))], names=["a", "b", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own]), pa.array(bits_apart(fp[i], fp[j])[own].astype(np.int32))], names=["a", "b", "distance"])
 
     return dealt.mapInArrow(run, "a long, b long, distance int").distinct()
 
@@ -181,7 +186,7 @@ def pairs_in_groups(fp: np.ndarray, group: np.ndarray, radius: int, nearest: boo
         f, g = fp[small], group[small]
         for d in range(1, int(sizes[sizes <= 32].max(initial=1))):
             i = np.flatnonzero(g[d:] == g[:-d])
-            i = i[np.bitwise_count(f[i] ^ f[i + d]) <= radius]
+            i = i[bits_apart(f[i], f[i + d]) <= radius]
             found.append((small[i], small[i + d]))
         if nearest and found:
             found = [_nearest(fp, *map(np.concatenate, zip(*found, strict=True)))]
@@ -205,7 +210,7 @@ def pairs_in_groups(fp: np.ndarray, group: np.ndarray, radius: int, nearest: boo
 def _nearest(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row in the pairs the one with its nearest partner."""
     x, y = np.concatenate([i, j]), np.concatenate([j, i])
-    order = np.lexsort((y, np.bitwise_count(fp[x] ^ fp[y]), x))
+    order = np.lexsort((y, bits_apart(fp[x], fp[y]), x))
     x, y = x[order], y[order]
     first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
     return x[first], y[first]
@@ -229,7 +234,7 @@ def near_pairs(fp: np.ndarray, radius: int, dense: int = DENSE) -> Iterator[tupl
 
 def _all_pairs(fp: np.ndarray, ids: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for k in range(0, len(fp), 512):
-        i, j = np.nonzero(np.bitwise_count(fp[k : k + 512, None] ^ fp[None, k:]) <= radius)
+        i, j = np.nonzero(bits_apart(fp[k : k + 512, None], fp[None, k:]) <= radius)
         own = j > i
         if own.any():
             yield ids[k + i[own]], ids[k + j[own]]
