@@ -58,7 +58,7 @@ class OrdinalModel:
         return [float(1 / (1 + np.exp(-np.clip(score - t, -500, 500)))) for t in self.thresholds]
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 300, penalty: float = 1e-3, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 300, penalty: float = 1.0, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds with the highest penalised likelihood, by Adam; (rows, cols) are the ones of the sparse matrix."""
     top, n = int(grades.max()), len(grades)
     shares = np.array([(grades >= k).mean() for k in range(1, top + 1)])
@@ -80,7 +80,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
         dt[at] += slope[at] / p / n
         dt[at[0], grades + 1] -= slope[at[0], grades + 1] / p / n
         dt = dt[:, 1 : top + 1].sum(axis=0)
-        grad = np.concatenate([np.bincount(cols, dz[rows], n_features) + penalty * weights / n_features, [dt.sum()], dt[::-1].cumsum()[::-1][1:] * gaps])
+        grad = np.concatenate([np.bincount(cols, dz[rows], n_features) + penalty * weights / n, [dt.sum()], dt[::-1].cumsum()[::-1][1:] * gaps])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return params[:n_features], params[n_features] + np.concatenate([[0], np.cumsum(np.exp(params[n_features + 1 :]))])
