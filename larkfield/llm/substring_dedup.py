@@ -20,7 +20,8 @@ aggregation on hashes:
    that span need no look, as step 2 has settled them.
 
 So every window is judged on the input, by itself, also across the ends of
-factors. Copies and common passages are folded by partial aggregation before
+factors. The texts are dealt by id once; the windows and the result both read
+this one shuffle. Copies and common passages are folded by partial aggregation before
 a shuffle; no group of rows is gathered.
 """
 
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, map_batches, text_or_empty
+from .common import batch_of, map_batches, stored, text_or_empty
 
 #: Odd multipliers of the rolling hash and its finish.
 MULTIPLIER, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -133,16 +134,19 @@ def blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_batches(docs.select("id", "text"), make, f"anchor long, span long, id {dict(docs.dtypes)['id']}, first int, last int")
 
 
-def windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(hash, check, id, start) of the windows that ``wanted`` (id, parts: array of first and last) names."""
+def windows_of(rows: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(hash, check, id, start) of the windows that ``rows`` (row: struct with id and text; parts: array of first and last, or null) name."""
 
     def make():
         one, two = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, a, b, starts = [], [], [], []
-            for k, (text, parts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                line = Line(split_words(text))
+            ids, texts = batch.column(0).field(id_col), batch.column(0).field(text_col)
+            for k, parts in enumerate(batch.column(1).to_pylist()):
+                if not parts:
+                    continue
+                line = Line(split_words(texts[k].as_py() or ""))
                 for part in parts:
                     for start in range(part["first"], part["last"] + 1):
                         span = line.span(start, start + window)
@@ -150,27 +154,41 @@ def windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                         a.append(one(span))
                         b.append(two(span))
                         starts.append(start)
-            return batch_of(_signed(a), _signed(b), batch.column(0).take(pa.array(rows)), starts) if rows else None
+            return batch_of(_signed(a), _signed(b), ids.take(pa.array(rows)), starts) if rows else None
 
         return step
 
-    return map_batches(docs.join(wanted, "id").select("id", "text", "parts"), make, f"hash long, check long, id {dict(docs.dtypes)['id']}, start int")
+    return map_batches(rows, make, f"hash long, check long, id {rows.schema['row'].dataType[id_col].dataType.simpleString()}, start int")
+
 
+def shared_blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(id, first, last, whole) of blocks of ``docs`` (id, text) that matter: ``whole`` ones repeat a smaller row's span, the others have to be parsed by window.
 
-def repeated_windows(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame:
-    """(id, first, last): runs of window starts of ``docs`` (id, text) whose windows also start in a row with a smaller id."""
+    The tables of anchors and spans are written before they are joined, so
+    that a join reads both sides from a shuffle and Spark can split an anchor
+    that very many rows share.
+    """
     found = blocks(docs, window, gram)
-    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    found = checkpoint(found.join(shared, "anchor", "left_semi"))
-    firsts = found.groupBy("anchor", "span").agg(F.min("id").alias("low"))
-    varied = firsts.groupBy("anchor").agg((F.min("span") != F.max("span")).alias("varied"))
-    found = checkpoint(found.join(firsts.join(varied, "anchor"), ["anchor", "span"]).where("varied or low < id"))
-    whole = found.where("low < id").select("id", "first", "last")
-    wanted = found.where("varied and low = id").groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
-    seen = checkpoint(windows_of(docs, wanted, window))
+    shared = stored(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
+    found = stored(found.join(shared, "anchor", "left_semi"))
+    firsts = stored(found.groupBy("anchor", "span").agg(F.min("id").alias("low")))
+    varied = stored(firsts.groupBy("anchor").agg((F.min("span") != F.max("span")).alias("varied")))
+    heads = stored(firsts.join(varied, "anchor"))
+    return stored(found.join(heads, ["anchor", "span"]).where("varied or low < id").select("id", "first", "last", (F.col("low") < F.col("id")).alias("whole")))
+
+
+def repeated_windows(dealt: DataFrame, marked: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, first, last): runs of window starts whose windows also start in a row with a smaller id; ``dealt`` are the documents, dealt by id."""
+    wanted = marked.where("not whole").groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    seen = windows_of(_with_parts(dealt, wanted, id_col), window, id_col, text_col)
     lowest = seen.groupBy("hash", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     single = seen.join(lowest, ["hash", "check"]).where("low < id").select("id", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(single)
+    return marked.where("whole").select("id", "first", "last").unionByName(single)
+
+
+def _with_parts(dealt: DataFrame, parts: DataFrame, id_col: str) -> DataFrame:
+    """(row, parts): whole rows, so that all uses of ``dealt`` read the same shuffle."""
+    return dealt.join(parts.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left").select(F.struct(*dealt.columns).alias("row"), "parts")
 
 
 def covered(n: int, parts: list[dict], window: int) -> np.ndarray:
@@ -200,15 +218,17 @@ def drop_repeats(docs: DataFrame, window: int = 50, gram: int = 12, id_col: str
     the new ones are replaced.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where("id is not null")
-    parts = repeated_windows(rows, window, gram).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    marked = shared_blocks(rows, window, gram)
     new = ("n_words", "n_removed", "kept", "kept_sha256")
-    carried = [c for c in docs.columns if c not in new]
-    joined = docs.select(F.col(id_col).alias("id"), F.struct(*carried).alias("row"), text_or_empty(text_col).alias("text")).join(parts, "id", "left").select("row", "text", "parts")
+    dealt = docs.select(*[c for c in docs.columns if c not in new]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    parts = repeated_windows(dealt, marked, window, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    joined = _with_parts(dealt, parts, id_col)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, removed, kept, sums = [], [], [], []
-            for text, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, parts in zip(batch.column(0).field(text_col).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
                 words = split_words(text)
                 gone = covered(len(words), parts or [], window)
                 counts.append(len(words))
