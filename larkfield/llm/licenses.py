@@ -29,6 +29,8 @@ from .common import batch_of, map_batches, text_or_empty
 from .toxicity import SPACED
 
 SHINGLE, BLOCK = 5, 4
+#: Words that are hashed together, which bounds a task's memory.
+GROUP = 100_000
 
 # Short license notices and first sentences of well-known licenses.
 TEMPLATES = {
@@ -89,8 +91,8 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, str], containment: float, miss: float, values: int):
         rng = np.random.default_rng(7)
         self.containment = containment
-        self.a = rng.integers(1, 1 << 63, values, dtype=np.uint64) | np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, values, dtype=np.uint64)
+        self.a = rng.integers(0, 1 << 32, values, dtype=np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, values, dtype=np.uint32)
         self.names = sorted(templates)
         self.sets = [frozenset(shingle_hashes(license_words(templates[n])).tolist()) for n in self.names]
         self.sizes = [len(shingle_hashes(license_words(templates[n]))) for n in self.names]
@@ -108,39 +110,53 @@ class TemplateIndex:
                 for band in range(width.bands):
                     table.setdefault((band, least[band * width.rows : (band + 1) * width.rows].tobytes()), []).append(k)
             self.widths[stride], self.keys[stride] = width, table
-        #: First row of each band's keys, to pass over windows without any by one comparison for each value.
-        self.known = {s: [np.array(sorted({np.frombuffer(key, np.uint32)[0] for band, key in t if band == b}), np.uint32) for b in range(self.widths[s].bands)] for s, t in self.keys.items()}
-
-    def hashed(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((hashes * self.a[k] + self.b[k]) >> np.uint64(32)).astype(np.uint32)
+        #: For each band which low 16 bits its keys' first values have, to pass over other windows by one lookup.
+        self.known = {}
+        for stride, table in self.keys.items():
+            marks = np.zeros((self.widths[stride].bands, 1 << 16), bool)
+            for band, key in table:
+                marks[band, int(np.frombuffer(key, np.uint32)[0]) & 0xFFFF] = True
+            self.known[stride] = marks
 
     def minima(self, hashes: np.ndarray) -> np.ndarray:
-        return np.array([self.hashed(hashes, k).min() for k in range(len(self.a))], np.uint32)
-
-    def scan(self, hashes: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """template -> (containment, first shingle, last shingle) of the best window (then the first)."""
-        found: dict[int, tuple[float, int, int]] = {}
-        n = len(hashes)
-        if not n:
+        """The MinHash values of one set of shingle hashes."""
+        return np.array([self.hashed((hashes >> np.uint64(32)).astype(np.uint32), k).min() for k in range(len(self.a))], np.uint32)
+
+    def hashed(self, high: np.ndarray, k: int, out: np.ndarray | None = None) -> np.ndarray:
+        """The k-th value of each shingle, from the upper half of its hash."""
+        out = np.multiply(high, self.a[k], out=out)
+        return np.add(out, self.b[k], out=out)
+
+    def scan(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, int, int]]]:
+        """For each document template -> (containment, first shingle, last shingle) of its best window (then the first)."""
+        found: list[dict[int, tuple[float, int, int]]] = [{} for _ in docs]
+        some = [k for k, h in enumerate(docs) if len(h)]
+        if not some or not self.widths:
             return found
-        starts = np.arange(0, n, BLOCK)
-        need = max(w.rows * w.bands for w in self.widths.values())
-        blocks = np.empty((need, len(starts)), np.uint32)
-        for k in range(need):
-            blocks[k] = np.minimum.reduceat(self.hashed(hashes, k), starts)
+        high = np.concatenate([(docs[k] >> np.uint64(32)).astype(np.uint32) for k in some])
+        ends = np.cumsum([len(docs[k]) for k in some])
+        starts = np.concatenate([np.arange(e - len(docs[k]), e, BLOCK) for k, e in zip(some, ends, strict=True)])
+        n_blocks = np.array([-(-len(docs[k]) // BLOCK) for k in some])
+        firsts = np.concatenate([[0], np.cumsum(n_blocks)])
+        blocks = np.empty((max(w.rows * w.bands for w in self.widths.values()), len(starts)), np.uint32)
+        room = np.empty_like(high)
+        for k in range(len(blocks)):
+            np.minimum.reduceat(self.hashed(high, k, room), starts, out=blocks[k])
         for stride, width in self.widths.items():
             span = stride // BLOCK
-            heads = np.arange(0, len(starts), span)
-            least = np.minimum.reduceat(blocks, heads, axis=1)
-            least[:, :-1] = np.minimum(least[:, :-1], least[:, 1:])
+            heads = np.concatenate([np.arange(f, f + n, span) for f, n in zip(firsts, n_blocks, strict=False)])
+            of = np.repeat(np.arange(len(some)), -(-n_blocks // span))
+            own = of[1:] == of[:-1]
+            least = np.minimum.reduceat(blocks[: width.rows * width.bands], heads, axis=1)
+            least[:, :-1] = np.where(own, np.minimum(least[:, :-1], least[:, 1:]), least[:, :-1])
             table, tried = self.keys[stride], set()
             for band in range(width.bands):
-                for at in np.flatnonzero(np.isin(least[band * width.rows], self.known[stride][band])):
+                for at in np.flatnonzero(self.known[stride][band][least[band * width.rows] & 0xFFFF]):
                     for t in table.get((band, least[band * width.rows : (band + 1) * width.rows, at].tobytes()), ()):
                         if (t, at) not in tried:
                             tried.add((t, at))
-                            self._check(hashes, t, int(at) * stride, 2 * stride, found)
+                            k = of[at]
+                            self._check(docs[some[k]], t, int(heads[at] - firsts[k]) * BLOCK, 2 * stride, found[some[k]])
         return found
 
     def _check(self, hashes: np.ndarray, t: int, start: int, size: int, found: dict) -> None:
@@ -175,13 +191,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     def make():
         cache = WordCache()
 
+        def scanned(texts: list[str]):
+            """(words, hits) of each text, in groups of about GROUP words."""
+            group: list[tuple[int, np.ndarray]] = []
+            size = 0
+            for k, text in enumerate(texts):
+                words = license_words(text)
+                group.append((len(words), shingle_hashes(words, cache)))
+                size += len(words)
+                if k == len(texts) - 1 or size >= GROUP:
+                    yield from zip([n for n, _ in group], index.scan([h for _, h in group]), strict=True)
+                    group, size = [], 0
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, hits = [], []
-            for text in batch.column(1).to_pylist():
-                words = license_words(text)
-                found = index.scan(shingle_hashes(words, cache)) if index.widths else {}
-                counts.append(len(words))
-                hits.append([{"license": index.names[t], "containment": share, "first_word": a, "last_word": min(b + SHINGLE, len(words)) - 1} for t, (share, a, b) in sorted(found.items())])
+            for n, found in scanned(batch.column(1).to_pylist()):
+                counts.append(n)
+                hits.append([{"license": index.names[t], "containment": share, "first_word": a, "last_word": min(b + SHINGLE, n) - 1} for t, (share, a, b) in sorted(found.items())])
             kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
             return batch_of(batch.column(0), counts, pa.array(hits, kind))
 
