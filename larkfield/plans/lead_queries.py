@@ -86,8 +86,9 @@ def f1_f4_a3_list_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import normalize_text
 
     rows = joined(spark, sf_dir).withColumn("city_key", F.when(F.col("city").isNotNull(), normalize_text(F.col("city"))))
-    tagged = rows.withColumn("filter", F.explode(F.array_compact(F.array(*[F.when(op.list_filter(AS_OF, **args), n) for n, _, args in FILTERS]))))
-    return tagged.groupBy("filter").agg(F.count("*").alias("n"), F.sum("k").alias("key_sum"))
+    conditions = [(name, op.list_filter(AS_OF, **args)) for name, _, args in FILTERS]
+    counted = rows.agg(F.array(*[F.struct(F.lit(name).alias("filter"), F.count_if(c).alias("n"), F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)).alias("key_sum")) for name, c in conditions]).alias("x"))
+    return counted.select(F.explode("x").alias("x")).select("x.*")
 
 
 @query(f"""{with_views("v_business")} SELECT id FROM v_business WHERE checked_ms IS NULL OR {AS_OF} - checked_ms > {30 * DAY}""")
