@@ -33,13 +33,13 @@ def _rank(c: Column, values: tuple[str, ...]) -> Column:
 
 def first_per_domain(candidates: DataFrame) -> DataFrame:
     """The first candidate of each business and domain (or URL without one) in channel order."""
-    w = Window.partitionBy("business_id", F.coalesce("domain", "url")).orderBy(_rank(F.col("channel"), CHANNELS), "ordinal")
+    w = Window.partitionBy("business_id", F.coalesce("domain", "url")).orderBy(_rank(F.col("channel"), CHANNELS), "ordinal", _rank(F.col("origin"), ORIGINS), "url")
     return candidates.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def cap_fetches(candidates: DataFrame, n: int = MAX_FETCHES) -> DataFrame:
     """Declared, found, derived candidates in this order, ``n`` for each business; ``seq`` is the place."""
-    w = Window.partitionBy("business_id").orderBy(_rank(F.col("origin"), ORIGINS), _rank(F.col("channel"), CHANNELS), "ordinal")
+    w = Window.partitionBy("business_id").orderBy(_rank(F.col("origin"), ORIGINS), _rank(F.col("channel"), CHANNELS), "ordinal", "url")
     return candidates.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= n)
 
 

@@ -86,10 +86,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANDIDATES.replace("FROM lineitem l", f"FROM parquet.`{sf_dir}/lineitem.parquet` l")).groupBy("business_id", "channel", "origin", "ordinal", "domain").agg(F.min("url").alias("url"))
 
 
-FIRSTS = f"WITH c AS (SELECT business_id, channel, origin, ordinal, domain, min(url) AS url FROM ({CANDIDATES}) GROUP BY ALL), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY business_id, coalesce(domain, url) ORDER BY {RANK.format('channel')}, ordinal) = 1)"
+FIRSTS = f"WITH c AS (SELECT business_id, channel, origin, ordinal, domain, min(url) AS url FROM ({CANDIDATES}) GROUP BY ALL), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY business_id, coalesce(domain, url) ORDER BY {RANK.format('channel')}, ordinal, CASE origin WHEN 'declared' THEN 0 WHEN 'found' THEN 1 ELSE 2 END, url) = 1)"
 
 
-@query(f"{FIRSTS} SELECT business_id, url, row_number() OVER (PARTITION BY business_id ORDER BY CASE origin WHEN 'declared' THEN 0 WHEN 'found' THEN 1 ELSE 2 END, {RANK.format('channel')}, ordinal) AS seq FROM f QUALIFY seq <= 14")
+@query(f"{FIRSTS} SELECT business_id, url, row_number() OVER (PARTITION BY business_id ORDER BY CASE origin WHEN 'declared' THEN 0 WHEN 'found' THEN 1 ELSE 2 END, {RANK.format('channel')}, ordinal, url) AS seq FROM f QUALIFY seq <= 14")
 def u2_w5_w7_fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all channels, the first of each domain, fourteen for each business."""
     return op.cap_fetches(op.first_per_domain(candidates(spark, sf_dir))).select("business_id", "url", F.col("seq").cast("long"))
