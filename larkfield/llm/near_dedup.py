@@ -1,18 +1,20 @@
 """SimHash fingerprints of word shingles, their classes within a Hamming radius, and near-duplicate removal.
 
-``simhash_classes`` links fingerprints only; ``drop_near_duplicates`` also
-checks word shingles, so that what it removes really is alike.
+``simhash_classes`` links fingerprints only; ``drop_near_duplicates`` finds
+candidates by MinHash bands over word shingles and checks the shingles
+themselves, so that what it removes really is alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint, map_batches, text_or_empty
@@ -21,6 +23,14 @@ from .hamming import near_links, plan_masks
 
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 15
+#: MinHash bands and the values in each: texts at Jaccard 0.8 agree in no band with a probability of (1 - 0.8 ** 6) ** 20 = 0.0023.
+BANDS, ROWS = 20, 6
+#: Odd factors; each puts the hashes in another order.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs for each member of a key up to which all that are left are compared at once.
+DIRECT = 4
+#: Texts that are compared with one text in one task.
+SHARE = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,6 +69,22 @@ def word_fingerprint(words: list[bytes]) -> bytes:
     return np.packbits(2 * votes > weights.sum()).tobytes()
 
 
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles."""
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(s, 42) for s in shingles(words, size)]), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band: sets of hashes whose Jaccard similarity is J share one with probability J ** ROWS. No hashes: no keys."""
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[k : k + 1024, None] * FACTORS).min(axis=0), out=least)
+    return _as_longs([xxhash.xxh64_digest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]).tolist()
+
+
 def _as_longs(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">i8").astype(np.int64)
 
@@ -97,16 +123,14 @@ def simhash_classes(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     return fps.join(classes, "fp").select(id_col, hex_of("fp").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 7, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each group the row with the smallest id stays.
 
     Two texts are near duplicates if the Jaccard similarity of their sets of
     ``size``-word shingles is at least ``similarity``; groups are what such
-    links connect. Candidates are pairs whose word fingerprints differ in at
-    most ``radius`` bits, of which each text brings its nearest under every
-    key. The two nearest of each text are compared first; of the rest only
-    those between different groups are, one for each text and group. So the
-    comparisons grow with the texts and not with the square of a group.
+    links connect. Texts of the same words are folded to one node. Candidates
+    are nodes that share a MinHash band; every candidate pair is compared,
+    except those whose texts other links have put into one group already.
 
     Edge cases: rows with the same words (null and empty texts among them) are
     copies, of which the smallest id stays, and one of those that also share
@@ -117,41 +141,82 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 7, size: int = 5, simila
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch_of(batch.column(0), batch.column(1), _as_longs([word_fingerprint(words_of(t)) for t in batch.column(2).to_pylist()]))
+            found = [(hashlib.md5(b" ".join(words)).digest(), shingle_hashes(words, size)) for words in map(words_of, batch.column(2).to_pylist())]
+            return batch_of(batch.column(0), batch.column(1), [w for w, _ in found], [len(h) for _, h in found], pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64())))
 
         return step
 
     key = F.unhex(F.md5(text_or_empty(text_col)))
-    marked = map_batches(docs.select(F.col(id_col), key, text_or_empty(text_col)), make, f"id {kind}, copy binary, fp long")
-    texts = checkpoint(marked.groupBy("copy").agg(F.min("id").alias("id"), F.first("fp").alias("fp")))
-    nodes = texts.select(F.col("id").cast("long").alias("node"), "fp").where("node is not null")
-    pairs = checkpoint(near_links(nodes, radius, nearest=True))
-    ends = pairs.select("a", "b", "distance").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    first = ends.withColumn("k", rank).where("k <= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    own = checkpoint(docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").dropDuplicates(["node"]))
-    tried = checkpoint(alike(first, own, size, similarity))
-    groups = components(tried.where("alike"))
-    rest = ends.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group")), side, "left").withColumn(f"{side}_group", F.coalesce(f"{side}_group", side))
-    rest = rest.where("a_group <> b_group").groupBy("a", "b_group").agg(F.min(F.struct("distance", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-    later = alike(rest, own, size, similarity).where("alike").select("a", "b")
-    groups = components(tried.where("alike").select("a", "b").unionByName(later))
+    marked = map_batches(docs.select(F.col(id_col), key, text_or_empty(text_col)), make, f"id {kind}, copy binary, words binary, n long, keys array<long>")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "copy")).alias("x")
+    texts = checkpoint(marked.groupBy("words").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")).select("x.id", "x.copy", "n", "keys"))
+    keyed = texts.where("id is not null").select(F.col("id").cast("long").alias("node"), "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    members = checkpoint(keyed.join(shared, "key").select("key", "node", "n"))
+    own = checkpoint(docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(members.select("node").distinct(), "node").dropDuplicates(["node"]))
+    groups = linked(members, own, size, similarity)
     kept = texts.join(groups.select(F.col("node").cast(kind).alias("id")), "id", "left_anti").select(F.col("id").alias("_kept_id"), F.col("copy").alias("_kept_copy"))
     named = docs.withColumn("_copy", key)
     return named.join(kept, named[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_copy") == F.col("_kept_copy"))).dropDuplicates([id_col, "_copy"]).select(*docs.columns)
 
 
+def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, component) as ``components`` gives them, of the links among nodes that share a key.
+
+    ``members``: key, node, n (distinct shingles of its text); ``texts``:
+    node, text. While more pairs of different groups are left than a few for
+    each member, every key compares one node with its others, another one in
+    each round, which joins most of a large group in work that grows with its
+    nodes; as soon as that no longer halves what is left, or little is left,
+    all untried pairs of different groups are compared. Nodes whose numbers
+    of shingles alone rule the similarity out are not compared.
+    """
+    most = DIRECT * members.count()
+    alone = members.withColumn("group", F.col("node"))
+    named, tried, before = alone, None, float("inf")
+    for k in count():
+        sizes = named.groupBy("key", "group").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "group")).alias("main")).where("main.m < all")
+        sizes = checkpoint(sizes.select("key", F.col("main.group").alias("main"), ((F.col("all") - F.col("main.m")) * F.col("all")).cast("double").alias("pairs")))
+        left = sizes.agg(F.sum("pairs")).first()[0] or 0
+        last = left <= most or left > before / 2
+        open_ = named.join(sizes.select("key", "main"), "key")
+        if last:
+            one = open_.where(F.col("group") != F.col("main"))
+        else:
+            one = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "group"), F.struct(F.xxhash64("node", F.lit(k)), F.col("node"))).alias("x")).select("key", "x.*")
+        both = one.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group")).join(open_.withColumnRenamed("node", "b"), "key")
+        both = both.where((F.col("a_group") != F.col("group")) & (F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")))
+        pairs = both.select(*_ordered("a", "b", k)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select(*_ordered("a", "b", k)), ["a", "b"], "left_anti")
+        new = checkpoint(alike(checkpoint(pairs), texts, size, similarity))
+        tried = new if tried is None else tried.unionByName(new)
+        groups = components(tried.where("alike"))
+        if last:
+            return groups
+        before = left
+        named = checkpoint(alone.drop("group").join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group")))
+    raise AssertionError
+
+
+def _ordered(a: str, b: str, k: int) -> tuple[Column, Column]:
+    """The two nodes in the order of their hashes in round ``k``, so that the node which a key compares with its others comes first."""
+    x, y = (F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("node")) for c in (a, b))
+    return F.least(x, y)["node"].alias("a"), F.greatest(x, y)["node"].alias("b")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b, alike) of every pair: whether the Jaccard similarity of the texts' shingle sets reaches ``similarity``.
 
-    The text of b travels with each pair; that of a is sent once, in front of
-    its pairs. Two texts without words are alike.
+    The text of b travels with each pair; that of a is sent in front of its
+    pairs, once for about ``SHARE`` of them, which are one task's. Two texts
+    without words are alike.
     """
-    of_b = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "text")
-    of_a = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    dealt = of_a.unionByName(of_b).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1")
+    pairs = pairs.join(shares, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).alias("share"))
+    of_b = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "share", "b", "text")
+    of_a = texts.join(pairs.select(F.col("a").alias("node"), "share").distinct(), "node").select(F.col("node").alias("a"), "share", F.lit(None).cast("long").alias("b"), "text")
+    dealt = of_a.unionByName(of_b).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).drop("share")
 
     def make():
         held: list = [None, set()]
