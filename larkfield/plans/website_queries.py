@@ -218,12 +218,26 @@ def d15_concluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     b = build_identity(view(spark, sf_dir, "v_business").drop("identity_status", "identity_confidence", "phone_e164"))
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("s", page_signals(F.col("html"), F.col("url")))
-    keyed = raw.withColumn("host_path", F.concat(F.lit("site"), (F.col("page_id") % 17).cast("string"), F.lit(".de/x"), (F.col("page_id") % 10).cast("string")))
-    pages = keyed.withColumns({"http_status": F.when(F.col("page_id") % 23 == 0, 404).otherwise(200), "fetch_error": F.when(F.col("page_id") % 19 == 0, "timeout"), "retryable": F.lit(True)}).select("host_path", "http_status", "fetch_error", "retryable", "s.*").dropDuplicates(["host_path"])
+    pages = page_table(spark, sf_dir)
     results, statuses = search_tables(spark, sf_dir)
-    hops = spark.sql(HOPS.replace("FROM part p", f"FROM parquet.`{sf_dir}/part.parquet` p"))
-    return op.verify_websites(b, results, statuses, pages, hops)
+    moved = pages.select(F.concat(F.lit("site"), F.col("page_id").cast("string"), F.lit(".de/old")).alias("host_path"), F.concat(F.lit("https://"), "host_path").alias("redirect_to"))
+    hops = spark.sql(HOPS.replace("FROM part p", f"FROM parquet.`{sf_dir}/part.parquet` p")).unionByName(moved)
+    return op.verify_websites(b, results_on_pages(results, pages), statuses, pages.drop("page_id"), hops)
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every given page with its signals, under an address of its own, ``site{page_id}.de/x``; of rows that share a page_id the first by url and html."""
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("first")).select("page_id", "first.*").withColumn("s", page_signals(F.col("html"), F.col("url")))
+    keyed = raw.withColumn("host_path", F.concat(F.lit("site"), F.col("page_id").cast("string"), F.lit(".de/x")))
+    return keyed.withColumns({"http_status": F.when(F.col("page_id") % 23 == 0, 404).otherwise(200), "fetch_error": F.when(F.col("page_id") % 19 == 0, "timeout"), "retryable": F.lit(True)}).select("page_id", "host_path", "http_status", "fetch_error", "retryable", "s.*")
+
+
+def results_on_pages(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """Search results whose made addresses are those of pages, dealt by the hash of query and rank; every third by an old address that is redirected."""
+    end = pages.agg((F.max("page_id") + 1).alias("end"))
+    at = F.pmod(F.xxhash64("query", "rank"), F.col("end")).cast("string")
+    url = F.concat(F.lit("https://www.site"), at, F.when(F.col("rank") % 3 == 0, ".de/old").otherwise(".de/x"))
+    return results.crossJoin(F.broadcast(end)).withColumn("url", F.when(F.col("url").startswith("https://www.site"), F.coalesce(url, "url")).otherwise(F.col("url"))).drop("end")
 
 
 @query(f"{VIEW} SELECT id, row_number() OVER (ORDER BY name_lower, id) AS place FROM lv WHERE excluded_ms IS NULL AND opening_hours_raw = '24/7' QUALIFY place <= 100")

@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from larkfield.operators import identity, leads, website
+from larkfield.plans import website_queries
 from larkfield.sources.records import upsert
 from larkfield.streaming.jobs import admission_stream, research_stream
 
@@ -98,3 +99,15 @@ def test_upsert_keeps_the_newest(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], "k string, t int, v string")
     new = spark.createDataFrame([("a", 2, "z"), ("b", 5, "w"), ("c", 1, "n")], "k string, t int, v string")
     assert {(r.k, r.v) for r in upsert(old, new, ["k"], "t").collect()} == {("a", "z"), ("b", "w"), ("c", "n")}
+
+
+def test_every_page_has_its_own_address(spark):
+    """More pages than made addresses before (170): none is dropped, and search results lead to them, some by a redirect."""
+    sf = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
+    spark.range(400).selectExpr("id AS page_id", "concat('http://x.example.org/', id) AS url", "concat('<p>', id, '</p>') AS html").write.parquet(f"{sf}/pages.parquet")
+    pages = website_queries.page_table(spark, sf)
+    paths = {r.host_path for r in pages.select("host_path").collect()}
+    assert pages.count() == len(paths) == 400
+    made = spark.range(3000).selectExpr("concat('q', id) AS query", "int(id % 10) AS rank", "concat('https://www.site', id % 17, '.de/x', id % 10) AS url")
+    got = {r.url.removeprefix("https://www.") for r in website_queries.results_on_pages(made, pages).collect()}
+    assert {u.replace("/old", "/x") for u in got} <= paths and len(got) > 400
