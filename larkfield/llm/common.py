@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch that goes to Python. Texts can be long, so batches stay short.
-BATCH_ROWS = 500
+#: Rows and about the bytes of a slice that a step works on at a time. Spark's own Arrow batches hold 64 MB at most.
+SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,29 +42,42 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def columns(names: list[str]) -> list[Column]:
+    """The columns of these names, which may hold dots and spaces."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with state for each task.
 
     ``make`` runs once in a task and returns the function from an input batch
+    (of at most ``rows`` rows and, but for one long row, about ``size`` bytes)
     to an output batch.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if (out := step(batch)) is not None and out.num_rows:
-                yield out.cast(arrow) if isinstance(out, pa.Table) else pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, arrow, strict=True)], schema=arrow)
+            for part in slices(batch, rows, size):
+                if (out := step(part)) is not None and out.num_rows:
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of few enough rows and bytes; a row is never cut."""
+    rows = min(rows, batch.num_rows * size // max(batch.nbytes, 1)) or 1
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def batch_of(*columns) -> pa.RecordBatch:
     """A batch of columns by position; ``map_batches`` gives them their names and types."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]

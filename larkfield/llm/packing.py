@@ -7,7 +7,8 @@ no padding and never cross documents; pieces of one length form one bucket,
 from which batches are drawn.
 
 The pass over the documents needs no shuffle. Sequence ids are the partition
-and the place in it, which are the same when a task is run again. A long
+and the place in it: the same when a task is run again, others when the input
+is cut into other partitions. A long
 document gives many rows, never one wide row. ``write_buckets`` lays the
 pieces out by bucket with the writer's partitioning, so that no single task
 gathers a bucket.
@@ -18,16 +19,17 @@ rows are packed each; other columns are not read.
 
 from __future__ import annotations
 
-import struct
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch_of, map_batches, text_or_empty
-from .tokens import load_bpe, packed_words
+from .tokens import SHARED_BYTES, SHARED_ROWS, packed_ids
 
 
 def binary_pieces(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -47,35 +49,30 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, max_len: int = 1
     """One row for each piece: id, start, length, ids (array, if ``with_ids``), ids_crc32, doc_tokens, bucket (log2 of length), sequence_id, offset."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    kind = dict(docs.dtypes)[id_col]
-
     def make():
-        bpe = load_bpe(path)
-        of, tail = packed_words(path).__getitem__, struct.pack("<I", end_id)
+        ids_of = packed_ids(path).of
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, starts, sizes, sums, totals, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                raw = b"".join([struct.pack("<I", bpe.special[words[0]]) if special else b"".join(map(of, words)) for special, words in bpe.pieces(text)]) + tail
-                for start, size in binary_pieces(len(raw) // 4, max_len):
-                    part = raw[4 * start : 4 * (start + size)]
-                    rows.append(k)
-                    starts.append(start)
-                    sizes.append(size)
-                    sums.append(zlib.crc32(part))
-                    totals.append(len(raw) // 4)
-                    if with_ids:
-                        ids.append(part)
-            out = [batch.column(0).take(pa.array(rows, pa.int64())), starts, sizes, sums, totals]
+            found = [(rows, np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))) for rows, ids, bounds in ids_of(batch.column(1))]
+            rows = np.concatenate([rows for rows, _, _ in found])
+            totals = np.concatenate([np.diff(bounds) for _, _, bounds in found])
+            pieces = [binary_pieces(n, max_len) for n in totals.tolist()]
+            starts, sizes = np.array([p for own in pieces for p in own], np.int64).reshape(-1, 2).T
+            views = [memoryview(ids).cast("B")[4 * x : 4 * y] for _, ids, bounds in found for x, y in pairwise(bounds.tolist())]
+            sums = [zlib.crc32(view[4 * start : 4 * (start + size)]) for view, own in zip(views, pieces, strict=True) for start, size in own]
+            of = np.repeat(np.arange(len(rows)), [*map(len, pieces)])
+            out = [batch.column(0).take(pa.array(rows[of])), starts, sizes, sums, totals[of]]
             if with_ids:
-                ends = np.cumsum([0, *sizes]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids for _, ids, _ in found]).astype(np.int32))))
             return batch_of(*out)
 
         return step
 
-    schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = map_batches(docs.select(F.col(id_col), text_or_empty(text_col)), make, schema)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
+    if with_ids:
+        schema.add("ids", T.ArrayType(T.IntegerType()))
+    pieces = map_batches(docs.select(docs[id_col], text_or_empty(text_col)), make, schema, SHARED_ROWS, SHARED_BYTES)
     return pieces.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

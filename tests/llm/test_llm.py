@@ -48,6 +48,56 @@ def test_encoding_is_the_library_s(docs, empty):
     assert bpe_trie.encode_decode(empty, WORD).count() == 0
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_random_texts_are_split_and_merged_as_by_the_library(path):
+    """Words of every kind of letter, all kinds of white space, special strings in either case; the second batch meets a full cache."""
+    import pyarrow as pa
+
+    rng, lib = random.Random(11), Tokenizer.from_file(path)
+    texts = []
+    for _ in range(400):
+        words = ["".join(rng.choice("abcdeéßÅɄIİ'.,!?42½日\u0301 ") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 20))]
+        gaps = [rng.choice([" ", " ", " ", "\n", "  ", " \n", "\n\n", "\t", "\r\n", "\xa0", "\x1c", "<|endoftext|>", " <|EndOfText|> "]) for _ in words]
+        texts.append("".join(w + g for w, g in zip(words, gaps, strict=True)))
+        texts.append(" ".join("".join(rng.choice("abcdeéßÅɄ'.,42") for _ in range(rng.randint(1, 9))) for _ in range(20)) + rng.choice(["", "\nlast line", "it's"]))
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    packed, trie = tokens.PackedIds(path), bpe_trie.TrieTexts(path)
+    for _ in range(2):
+        for rows, ids, bounds in packed.of(pa.array(texts)):
+            assert all(ids[x:y].tolist() == want[k] for k, x, y in zip(rows, bounds, bounds[1:], strict=False))
+        seen = 0
+        for rows, ids, bounds, lines in trie.of(pa.array(texts)):
+            seen += len(rows)
+            assert all(ids[x:y].tolist() == want[k] for k, x, y in zip(rows, bounds, bounds[1:], strict=False))
+            if path == WORD:
+                assert all(line == lib.decode(want[k], skip_special_tokens=False) for k, line in zip(rows, lines.to_pylist(), strict=True))
+        assert seen == len(texts)
+    assert token_counts.Counts(path, token_counts.whole_tokens(path)).of(pa.array(texts)).tolist() == [*map(len, want)]
+
+
+def test_pairs_of_tokens_stay_apart_as_the_merges_say():
+    rng = random.Random(12)
+    for path in (WORD, BYTE):
+        trie = bpe_trie.TrieEncoder(tokens.load_bpe(path))
+        inner = [k for k in trie.inner.values() if trie._stands(-1, k)]
+        wrong = 0
+        for _ in range(3000):
+            a, b = rng.choice(inner), rng.choice(inner)
+            core = trie.names[a] + trie.names[b]
+            wrong += trie._stays_apart(a, b) != (trie.bpe.merge([*core]) == [trie.names[a], trie.names[b]])
+        assert trie.timed and not wrong
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFKC"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not known here"):
+        tokens.Bpe(str(tmp_path / "other.json"))
+
+
 def test_token_counts_are_the_library_s(docs, empty):
     lib = Tokenizer.from_file(BYTE)
     for r in token_counts.token_counts(docs, BYTE).collect():
@@ -65,10 +115,13 @@ def test_whole_tokens_are_proven():
 
 def test_packing_covers_each_token_once(docs, empty):
     lib = Tokenizer.from_file(BYTE)
-    rows = packing.pack_documents(docs.dropDuplicates(["doc_id"]), BYTE).collect()
+    rows = packing.pack_documents(docs, BYTE).collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.length & (r.length - 1) == 0 and r.length <= 1024 and r.offset == 0 for r in rows)
     for k, text in enumerate(TEXTS):
-        own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
+        own = sorted((r for r in rows if r.doc_id == k), key=lambda r: (r.start, r.sequence_id))
+        if k == 3:  # a repeated row is packed twice
+            assert [(r.start, r.length, r.ids) for r in own[::2]] == [(r.start, r.length, r.ids) for r in own[1::2]]
+            own = own[::2]
         ids = [*lib.encode(text or "", add_special_tokens=False).ids, 0]
         assert [i for r in own for i in r.ids] == ids and [r.start for r in own] == [sum(x.length for x in own[:j]) for j in range(len(own))]
         assert all(r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *r.ids)) and r.doc_tokens == len(ids) and 1 << r.bucket == r.length for r in own)
@@ -221,6 +274,44 @@ def test_repeats_are_cut(docs, empty):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
         assert r.kept.encode().split() == kept.split() and (gone or r.kept == (TEXTS[r.doc_id] or ""))
     assert substring_dedup.drop_repeats(empty).count() == 0
+    clashing = docs.select("doc_id", "text", F.lit(1).alias("id.x"), F.lit(2).alias("parts"), F.lit(3).alias("kept"))
+    assert substring_dedup.drop_repeats(clashing).select("`id.x`", "parts").distinct().collect() == [(1, 2)]
+
+
+def test_factors_are_what_their_sources_hold(spark):
+    rng = random.Random(4)
+    pool = [passage(8000 + k, 90).split() for k in range(6)]
+    texts = []
+    for _ in range(40):
+        words: list[str] = []
+        for _ in range(rng.randint(1, 5)):
+            p, x = rng.choice(pool), rng.randrange(30)
+            words += [f"own{rng.randrange(10**6)}" for _ in range(rng.randrange(4))] + p[x : x + rng.randint(45, 60)]
+        texts.append(words)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    first: dict[tuple, int] = {}
+    for k, w in enumerate(texts):
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j : j + 50]), k)
+    want = {(k, x) for k, w in enumerate(texts) for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < k for x in range(j, j + 50)}
+    rows = substring_dedup.factors(df).collect()
+    assert len(rows) > 20 and {(r.id, x) for r in rows for x in range(r.start, r.start + r.length)} == want
+    for r in rows:
+        assert r.length >= 50 and r.source < r.id and texts[r.id][r.start : r.start + r.length] == texts[r.source][r.source_start : r.source_start + r.length]
+    for r in substring_dedup.drop_repeats(df).collect():
+        assert r.n_removed == sum(k == r.doc_id for k, _ in want)
+
+
+def test_run_hashes_tell_runs_apart():
+    import numpy as np
+
+    h = np.random.default_rng(2).integers(0, 1 << 62, 200, dtype=np.uint64)
+    h[100:160] = h[20:80]
+    for n in (1, 2, 12, 50):
+        runs = substring_dedup.run_hashes(h, n, substring_dedup.MULTIPLIERS[1])
+        assert len(runs) == 200 - n + 1
+        assert all((runs[i] == runs[j]) == (h[i : i + n] == h[j : j + n]).all() for i in range(len(runs)) for j in (i, min(i + 80, len(runs) - 1), (7 * i) % len(runs)))
+    assert len(substring_dedup.run_hashes(h[:5], 50, 3)) == 0
 
 
 def test_fingerprints_and_next_documents(docs, empty):
@@ -316,6 +407,8 @@ def test_pipeline_keeps_what_it_should(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, folder)
         assert kept.columns == docs.columns
+        clashing = stage(spark, docs.withColumns({c: F.lit("own") for c in ("toxic", "kept", "row", "id.x", "rest", "_copy")}), folder)
+        assert clashing.select("toxic", "kept", "row", "`id.x`", "rest", "_copy").distinct().collect() == [("own",) * 6]
     left = {r.doc_id: r.text for r in kept.collect()}
     assert set(left) == {0, 2, 3, 4, *range(13, 21)} and left[3] == passage(24, 90) and left[2] == texts[2]
     packed = corpus_pipeline.run(spark, folder)
