@@ -210,10 +210,17 @@ def team_activity(users: DataFrame, calls: DataFrame, leads: DataFrame, as_of_ms
 
 
 def metered_usage(uses: DataFrame, limit: int) -> DataFrame:
-    """Each use with its UTC month, its number in it, and whether it is allowed; refused uses count too."""
-    month = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM")
-    df = uses.withColumn("period", month)
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy("provider", "period").orderBy("ts_ms", "use_id")).cast("long")).withColumn("allowed", F.col("nth") <= limit)
+    """Each use with its UTC month, its number in it, and whether it is allowed; refused uses count too.
+
+    Uses are numbered within an hour, and the hours' sums before it are added,
+    so a provider's month is not one task's.
+    """
+    at = F.timestamp_millis("ts_ms")
+    df = uses.withColumns({"period": F.date_format(at, "yyyy-MM"), "hour": F.floor(F.col("ts_ms") / 3_600_000)})
+    hours = df.groupBy("provider", "period", "hour").agg(F.count("*").alias("n"))
+    before = hours.withColumn("before", F.sum("n").over(Window.partitionBy("provider", "period").orderBy("hour")) - F.col("n")).drop("n")
+    own = df.withColumn("own", F.row_number().over(Window.partitionBy("provider", "period", "hour").orderBy("ts_ms", "use_id")))
+    return own.join(before, ["provider", "period", "hour"]).withColumn("nth", F.col("own") + F.col("before")).withColumn("allowed", F.col("nth") <= limit).drop("hour", "own", "before")
 
 
 def monthly_usage(uses: DataFrame) -> DataFrame:
@@ -241,15 +248,27 @@ def admissions(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
     return folded.select("key", F.explode("out").alias("x")).select("key", "x.*")
 
 
-def run_statistics(items: DataFrame) -> DataFrame:
-    """Counters of each run from its records' outcomes."""
+def run_statistics(items: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """Counters of each run from its records' outcomes and, where ``checks`` (run_id, failed, qualifies) are given, from its verifications."""
     outcomes = ("new", "duplicate", "refreshed", "excluded", "needs_review", "rejected")
-    return items.groupBy("run_id").agg(F.count("*").alias("found"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in outcomes])
+    out = items.groupBy("run_id").agg(F.count("*").alias("found"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in outcomes])
+    if checks is None:
+        return out
+    done = checks.groupBy("run_id").agg(F.count_if(~F.col("failed")).alias("verified"), F.count_if("failed").alias("verification_failures"), F.count_if(~F.col("failed") & F.col("qualifies")).alias("qualified"))
+    return out.join(done, "run_id", "left").na.fill(0, ["verified", "verification_failures", "qualified"])
+
+
+def with_users(rows: DataFrame, users: DataFrame, ts: str = "created_ms", tie: str = "change_id", n: int | None = None) -> DataFrame:
+    """Calls, notes, changes or audit rows with the user's name; with ``n`` the newest ones, newest first."""
+    own = rows if n is None else newest(rows, n, ts, tie)
+    named = own.join(users.select("user_id", "user_name"), "user_id", "left")
+    return named if n is None else named.orderBy(F.desc(ts), F.desc(tie))
 
 
-def with_users(rows: DataFrame, users: DataFrame) -> DataFrame:
-    """Calls, notes, changes or audit rows with the user's name, newest first."""
-    return rows.join(users.select("user_id", "user_name"), "user_id", "left")
+def calls_since(calls: DataFrame, users: DataFrame, since_ms: int) -> DataFrame:
+    """One row: calls that started at or after an instant, and active users."""
+    c = calls.where(F.col("started_ms") >= since_ms).agg(F.count("*").alias("calls"))
+    return c.join(users.where("is_active").agg(F.count("*").alias("active_users")), F.lit(True))
 
 
 def latest_per(rows: DataFrame, key: str, order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -345,10 +345,10 @@ def verify_websites(businesses: DataFrame, search: DataFrame, statuses: DataFram
 def keyword_search(queries: DataFrame, index: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
     """(query_id, doc_id, hits, share, rank): documents with at least ``least`` distinct keywords in the query, by share of their keywords, then hits, then id.
 
-    ``queries``: query_id, text; ``index``: doc_id, keywords.
+    ``queries``: query_id, text; ``index``: doc_id, keywords (normalised).
     """
     q = queries.select("query_id", F.explode(F.array_distinct(F.split(normalize_text(F.col("text")), " "))).alias("word")).where("length(word) >= 2")
-    d = index.withColumn("words", F.array_distinct(F.filter(F.transform("keywords", lambda w: normalize_text(w)), lambda w: F.length(w) >= 2))).select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    d = index.withColumn("words", F.array_distinct(F.filter("keywords", lambda w: F.length(w) >= 2))).select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
     hits = q.join(d, "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= least).withColumn("share", F.col("hits") / F.col("n"))
     w = Window.partitionBy("query_id").orderBy(F.desc("share"), F.desc("hits"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("n")

@@ -90,6 +90,12 @@ def d4_load_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.load_discovered(incoming(spark, sf_dir), pool(spark, sf_dir), view(spark, sf_dir, "v_sources"))
 
 
+@query()
+def u3_verification_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The businesses to verify after the load, new and touched."""
+    return op.verification_queue(d4_load_outcomes(spark, sf_dir))
+
+
 @query(f"""{B}, t AS (SELECT id, list_sort({q.tokens(q.business_key(q.norm("name")))}) AS t FROM v_business) SELECT lower('DE|' || array_to_string(t, '-')) AS brand, count(*) AS locations FROM t WHERE len(t) > 0 GROUP BY 1""")
 def a5_branch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: locations of each brand."""

@@ -232,11 +232,32 @@ def k1_upsert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTCOME = "CASE k % 6 WHEN 0 THEN 'new' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'refreshed' WHEN 3 THEN 'excluded' WHEN 4 THEN 'needs_review' ELSE 'rejected' END"
 
 
-@query(f"""{with_views("v_business")}, i AS (SELECT concat('run', cast(k % 4 AS string)) AS run_id, {OUTCOME} AS outcome FROM v_business) SELECT run_id, count(*) AS found, {", ".join(f"count_if(outcome = '{o}')::bigint AS n_{o}" for o in ("new", "duplicate", "refreshed", "excluded", "needs_review", "rejected"))} FROM i GROUP BY run_id""")
+@query(f"""{with_views("v_business")}, i AS (SELECT concat('run', cast(k % 4 AS string)) AS run_id, {OUTCOME} AS outcome, checked_ms IS NULL AS failed, len({BLOCKERS}) = 0 AS qualifies FROM v_business) SELECT run_id, count(*) AS found, {", ".join(f"count_if(outcome = '{o}')::bigint AS n_{o}" for o in ("new", "duplicate", "refreshed", "excluded", "needs_review", "rejected"))},
+count_if(NOT failed)::bigint AS verified, count_if(failed)::bigint AS verification_failures, count_if(NOT failed AND qualifies)::bigint AS qualified FROM i GROUP BY run_id""")
 def k3_a6_run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome rows of four runs and their counters."""
-    b = view(spark, sf_dir, "v_business").select(F.col("id").alias("incoming_id"), F.col("id").alias("business_id"), F.expr(OUTCOME).alias("outcome"), (F.col("k") % 4).alias("r"))
-    items = run_items(b, "run0").limit(0)
-    for r in range(4):
-        items = items.unionByName(run_items(b.where(F.col("r") == r), f"run{r}"))
-    return op.run_statistics(items)
+    """Outcome rows of four runs, their verifications, and their nine counters."""
+    b = view(spark, sf_dir, "v_business").withColumn("run_id", F.concat(F.lit("run"), (F.col("k") % 4).cast("string")))
+    rows = b.select("run_id", F.col("id").alias("incoming_id"), F.col("id").alias("business_id"), F.expr(OUTCOME).alias("outcome"))
+    checks = b.select("run_id", F.col("checked_ms").isNull().alias("failed"), op.qualify()["qualifies"].alias("qualifies"))
+    return op.run_statistics(run_items(rows, F.col("run_id")), checks)
+
+
+@query(f"""{with_views("v_change", "v_user")} SELECT change_id, lead_id, to_status, created_ms, user_name, row_number() OVER (ORDER BY created_ms DESC, change_id DESC) AS place FROM v_change LEFT JOIN v_user USING (user_id) QUALIFY place <= 200""")
+def j6_newest_with_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit page, the newest rows with names."""
+    from pyspark.sql import Window
+
+    rows = op.with_users(view(spark, sf_dir, "v_change"), view(spark, sf_dir, "v_user"), n=200)
+    return rows.select("change_id", "lead_id", "to_status", "created_ms", "user_name", F.row_number().over(Window.orderBy(F.desc("created_ms"), F.desc("change_id"))).cast("long").alias("place"))
+
+
+@query(f"""{with_views("v_call", "v_user")} SELECT call_id, lead_id, outcome, started_ms, user_name FROM v_call LEFT JOIN v_user USING (user_id)""")
+def j6_calls_with_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with names."""
+    return op.with_users(view(spark, sf_dir, "v_call"), view(spark, sf_dir, "v_user")).select("call_id", "lead_id", "outcome", "started_ms", "user_name")
+
+
+@query(f"""{with_views("v_call", "v_user")} SELECT (SELECT count(*) FROM v_call WHERE started_ms >= {AS_OF - 7 * DAY}) AS calls, (SELECT count(*) FROM v_user WHERE is_active) AS active_users""")
+def a3_calls_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: calls of a week and active users."""
+    return op.calls_since(view(spark, sf_dir, "v_call"), view(spark, sf_dir, "v_user"), AS_OF - 7 * DAY)

@@ -33,21 +33,21 @@ VIEWS = {
     "v_discovered": """SELECT concat('d', lpad(cast(b.k AS string), 10, '0')) AS id, CASE WHEN b.k % 2 = 0 THEN 'map' ELSE 'places' END AS provider, concat('x', cast(b.k AS string)) AS external_id,
         CASE b.k % 12 WHEN 0 THEN concat(upper(b.name), ' KG') WHEN 3 THEN concat(b.name, ' Filiale') WHEN 6 THEN ' ' ELSE b.name END AS name, CASE WHEN b.k % 15 = 0 THEN NULL ELSE b.street END AS street, b.house_number, b.postal_code,
         CASE WHEN b.k % 9 = 0 THEN NULL ELSE b.city END AS city, b.country_code, CASE WHEN b.k % 18 = 0 THEN NULL ELSE b.lat + cast(b.k % 4 AS double) / 4000 END AS lat, b.lon, CASE WHEN b.k % 21 = 0 THEN '+49 89 5551234' ELSE b.phone END AS phone, b.category, b.website
-        FROM v_business b WHERE b.k % 3 = 0
+        FROM v_business b
         UNION ALL SELECT concat('s', lpad(cast(s.s_suppkey AS string), 10, '0')), 'places', concat('y', cast(s.s_suppkey AS string)), s.s_name, 'Ring Road', cast(s.s_suppkey % 40 AS string), '20095', 'Hamburg', 'DE',
         cast(53.5 AS double) + cast(s.s_suppkey % 50 AS double) / 2000, cast(10 AS double), concat('040 ', cast(7000000 + s.s_suppkey % 60 AS string)), NULL, NULL FROM supplier s""",
-    "v_sources": """SELECT CASE WHEN s.s_suppkey % 2 = 0 THEN 'map' ELSE 'places' END AS provider, concat('x', cast((s.s_suppkey * 3) % 200 AS string)) AS external_id, concat('b', lpad(cast((s.s_suppkey * 3) % 200 AS string), 10, '0')) AS business_id,
+    "v_sources": """SELECT CASE WHEN s.s_suppkey % 2 = 0 THEN 'map' ELSE 'places' END AS provider, concat('x', cast(s.s_suppkey * 3 AS string)) AS external_id, concat('b', lpad(cast(s.s_suppkey * 3 AS string), 10, '0')) AS business_id,
         1700000000000 + cast((s.s_suppkey * 37) % 1000 AS bigint) * 1000 + s.s_suppkey AS fetched_ms, concat('{"n":', cast(s.s_suppkey AS string), '}') AS raw_json FROM supplier s""",
-    "v_user": "SELECT concat('u', cast(s.s_suppkey AS string)) AS user_id, s.s_name AS user_name, s.s_suppkey % 5 <> 0 AS is_active FROM supplier s WHERE s.s_suppkey < 40",
+    "v_user": "SELECT concat('u', cast(s.s_suppkey AS string)) AS user_id, s.s_name AS user_name, s.s_suppkey % 5 <> 0 AS is_active FROM supplier s",
     "v_lead": f"""SELECT concat('l', cast(o.o_custkey AS string)) AS lead_id, concat('b', lpad(cast(o.o_custkey AS string), 10, '0')) AS business_id,
         CASE min(o.o_orderkey) % 9 WHEN 0 THEN 'new' WHEN 1 THEN 'ready_to_call' WHEN 2 THEN 'called' WHEN 3 THEN 'no_answer' WHEN 4 THEN 'callback' WHEN 5 THEN 'interested' WHEN 6 THEN 'converted' WHEN 7 THEN 'wrong_number' ELSE 'unknown_status' END AS status,
-        CASE WHEN o.o_custkey % 4 = 0 THEN NULL ELSE concat('u', cast(o.o_custkey % 45 AS string)) END AS assigned_user_id, cast(o.o_custkey % 3 AS int) AS priority, cast(count(*) % 5 AS bigint) AS call_count,
+        CASE WHEN o.o_custkey % 4 = 0 THEN NULL ELSE concat('u', cast(cast(floor(o.o_custkey / 15.0) AS bigint) AS string)) END AS assigned_user_id, cast(o.o_custkey % 3 AS int) AS priority, cast(count(*) % 5 AS bigint) AS call_count,
         CASE WHEN count(*) % 5 = 0 THEN NULL ELSE {AS_OF} - cast(max(o.o_orderkey) AS bigint) * 60000 END AS last_call_ms,
         CASE WHEN o.o_custkey % 5 = 0 THEN {AS_OF} + (cast(o.o_custkey % 7 AS bigint) - 3) * 3600000 ELSE NULL END AS next_callback_ms
-        FROM orders o WHERE o.o_custkey % 2 = 0 GROUP BY o.o_custkey""",
+        FROM orders o GROUP BY o.o_custkey HAVING count(*) >= 9""",
     "v_change": """SELECT o.o_orderkey AS change_id, concat('l', cast(o.o_custkey AS string)) AS lead_id, CASE o.o_orderstatus WHEN 'O' THEN 'called' WHEN 'F' THEN 'no_answer' ELSE 'interested' END AS to_status,
-        1600000000000 + cast((o.o_orderkey * 7919) % 100000 AS bigint) * 60000 AS created_ms, concat('u', cast(o.o_orderkey % 45 AS string)) AS user_id FROM orders o""",
-    "v_call": f"""SELECT e.event_id AS call_id, concat('l', cast(e.user_id % 97 AS string)) AS lead_id, concat('u', cast(e.event_id % 45 AS string)) AS user_id, {AS_OF} - cast((e.event_id * 7919) % 20000 AS bigint) * 60000 AS started_ms, {AS_OF} - cast((e.event_id * 31) % 20000 AS bigint) * 60000 AS updated_ms,
+        1600000000000 + cast((o.o_orderkey * 7919) % 100000 AS bigint) * 60000 AS created_ms, concat('u', cast(cast(floor(o.o_orderkey / 150.0) AS bigint) AS string)) AS user_id FROM orders o""",
+    "v_call": f"""SELECT e.event_id AS call_id, concat('l', cast(e.user_id AS string)) AS lead_id, concat('u', cast(cast(floor(e.event_id / 100.0) AS bigint) AS string)) AS user_id, {AS_OF} - cast((e.event_id * 7919) % 20000 AS bigint) * 60000 AS started_ms, {AS_OF} - cast((e.event_id * 31) % 20000 AS bigint) * 60000 AS updated_ms,
         CASE e.event_type WHEN 'click' THEN 'no_answer' WHEN 'view' THEN 'reached' WHEN 'purchase' THEN 'interested' WHEN 'error' THEN 'wrong_number' ELSE 'other' END AS outcome,
         CASE WHEN e.event_id % 6 = 0 THEN {AS_OF} + cast(e.event_id AS bigint) * 1000 ELSE NULL END AS callback_ms, CASE WHEN e.event_id % 10 = 0 THEN 'meeting' ELSE NULL END AS explicit_status, CASE WHEN e.event_id % 3 = 0 THEN 'new' ELSE 'callback' END AS lead_status FROM events e""",
     "v_use": "SELECT e.event_id AS use_id, e.event_type AS provider, 1704067200000 + cast((e.event_id * 7919) % 250000 AS bigint) * 60000 AS ts_ms, cast(e.user_id AS string) AS key, e.event_id AS event_id FROM events e",

@@ -15,6 +15,7 @@ from .catalog import query
 from .identity_queries import B
 from .lead_queries import VIEW, joined
 from .standins import AS_OF, view, with_views
+from .time_queries import LOCAL, WEEK
 
 HOST = q.host("u")
 QUERIES_SQL = "list_filter([CASE WHEN coalesce(city, '') <> '' THEN '\"' || trim(name) || '\" ' || city END, CASE WHEN coalesce(city, '') <> '' AND coalesce(street, '') <> '' THEN '\"' || trim(name) || '\" ' || street || ' ' || city END, CASE WHEN phone_e164 IS NOT NULL THEN '\"' || trim(name) || '\" ' || phone_e164 END], lambda x: x IS NOT NULL)"
@@ -192,14 +193,14 @@ def d13_website_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("w", op.website_status()).select("business_id", "w.status", "w.confidence")
 
 
-@query(f"""WITH d AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split({q.norm("text")}, ' '), lambda w: length(w) >= 2)) AS w FROM benchmark), x AS (SELECT doc_id, list_distinct(list_filter(string_split({q.norm("substr(text, 1, 200)")}, ' '), lambda w: length(w) >= 2)) AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT query_id, unnest(w) AS word FROM d), i AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM x),
+@query(f"""WITH d AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split({q.norm("text")}, ' '), lambda w: length(w) >= 2)) AS w FROM benchmark), x AS (SELECT doc_id, list_distinct(list_filter(string_split({q.norm("text")}, ' '), lambda w: length(w) >= 2)) AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT query_id, unnest(w) AS word FROM d), i AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM x),
 h AS (SELECT query_id, doc_id, count(*) AS hits, count(*)::double / any_value(n) AS share FROM p JOIN i USING (word) GROUP BY 1, 2 HAVING count(*) >= 2) SELECT query_id, doc_id, hits, round(share, 6) AS share, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, hits DESC, doc_id) AS rank FROM h QUALIFY rank <= 10""")
 def j10_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by keyword overlap with each benchmark item; a document's keywords are the words of its first lines."""
+    """Documents by keyword overlap with each benchmark item; a document's keywords are the words of its whole text."""
     from ..functions.text import normalize_text
 
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    index = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.split(normalize_text(F.substring("text", 1, 200)), " ").alias("keywords"))
+    index = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.split(normalize_text(F.col("text")), " ").alias("keywords"))
     return op.keyword_search(b, index).select("query_id", "doc_id", "hits", F.round("share", 6).alias("share"), F.col("rank").cast("long"))
 
 
@@ -240,11 +241,12 @@ def results_on_pages(results: DataFrame, pages: DataFrame) -> DataFrame:
     return results.crossJoin(F.broadcast(end)).withColumn("url", F.when(F.col("url").startswith("https://www.site"), F.coalesce(url, "url")).otherwise(F.col("url"))).drop("end")
 
 
-@query(f"{VIEW} SELECT id, row_number() OVER (ORDER BY name_lower, id) AS place FROM lv WHERE excluded_ms IS NULL AND opening_hours_raw = '24/7' QUALIFY place <= 100")
+@query(f"""{VIEW}{WEEK.removeprefix(with_views("v_business"))}, c AS (SELECT id, isodow(l) % 7 AS w, hour(l) * 60 + minute(l) AS m FROM (SELECT h.id, {LOCAL.format(str(AS_OF))} AS l FROM h WHERE raw <> '')), o AS (SELECT DISTINCT c.id FROM c JOIN parts p ON p.id = c.id AND p.weekday = c.w AND p.a <= c.m AND c.m < p.b)
+SELECT lv.id, row_number() OVER (ORDER BY name_lower, lv.id) AS place FROM lv JOIN o ON o.id = lv.id WHERE excluded_ms IS NULL QUALIFY place <= 100""")
 def f5_open_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """what is open at any instant, filtered before the page is cut."""
+    """what is open now in its own zone, filtered before the page is cut."""
     from pyspark.sql import Window
 
-    h = parse_opening_hours(F.when(F.col("opening_hours_raw") == "24/7", F.col("opening_hours_raw")), F.col("timezone"))
+    h = parse_opening_hours(F.col("opening_hours_raw"), F.col("timezone"))
     rows = joined(spark, sf_dir).where("excluded_ms is null").withColumn("state", opening_status(h, F.timestamp_millis(F.lit(AS_OF)))["state"]).where("state = 'open'")
     return page_of(rows, "name").select("id", F.row_number().over(Window.orderBy("name_lower", "id")).cast("long").alias("place"))

@@ -67,6 +67,6 @@ def write_verifications(concluded: DataFrame, judged: DataFrame, statements: Dat
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def run_items(outcomes: DataFrame, run_id: str) -> DataFrame:
-    """The log rows of a run: one for each record and its outcome."""
+def run_items(outcomes: DataFrame, run_id: str | Column) -> DataFrame:
+    """The log rows of a run, or of the runs that a column names: one for each record and its outcome."""
     return outcomes.select(F.lit(run_id).alias("run_id"), "incoming_id", "business_id", "outcome")

@@ -7,39 +7,55 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.identity import build_identity, load_discovered
+from ..operators.identity import build_identity, load_discovered, refreshed_pool
+from ..storage import cut
 
 
 def research_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Load a stream of discovery records into the pool under ``path`` (businesses/ and sources/), one micro-batch after the other.
 
-    A batch writes the new businesses and source keys to folders named by its
-    number, so a batch that is run again replaces what it wrote. Known sources
-    are refreshed and make no new business.
+    A batch writes the new businesses, those that its records changed, and the
+    source keys to folders named by its number, so a batch that is run again
+    replaces what it wrote. The row of the latest batch is a business's own
+    (``current_pool``).
     """
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = build_identity(batch.dropDuplicates(["provider", "external_id"]))
-        pool, sources = _earlier(spark, path, "businesses", number, rows.limit(0)), None
+        pool = latest_rows(_earlier(spark, path, "businesses", number, rows.limit(0)))
         keys = rows.select("provider", "external_id", F.col("id").alias("business_id")).limit(0)
-        sources = _earlier(spark, path, "sources", number, keys)
-        out = load_discovered(rows, pool, sources).where("outcome <> 'rejected'")
+        out = cut(load_discovered(rows, pool, _earlier(spark, path, "sources", number, keys).drop("batch")).where("outcome <> 'rejected'"))
         new = out.where("business_id = incoming_id and outcome in ('new', 'needs_review')")
-        rows.join(new.select(F.col("incoming_id").alias("id")), "id").write.mode("overwrite").parquet(f"{path}/businesses/batch={number}")
+        added = rows.join(new.select(F.col("incoming_id").alias("id"), "outcome"), "id").withColumn("identity_status", F.when(F.col("outcome") == "needs_review", "NEEDS_REVIEW").otherwise(F.col("identity_status"))).select(*rows.columns)
+        changed = refreshed_pool(pool.unionByName(added), rows, out)
+        added.join(changed.select("id"), "id", "left_anti").unionByName(changed).write.mode("overwrite").parquet(f"{path}/businesses/batch={number}")
         rows.join(out.where("outcome <> 'refreshed'").select(F.col("incoming_id").alias("id"), "business_id"), "id").select("provider", "external_id", "business_id").write.mode("overwrite").parquet(f"{path}/sources/batch={number}")
 
     return records.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _earlier(spark, path: str, table: str, number: int, empty: DataFrame) -> DataFrame:
-    """What batches before ``number`` wrote."""
+    """What batches before ``number`` wrote, with their numbers; the table's folders are pruned by number."""
     if not number:
-        return empty
-    return spark.read.schema(empty.schema).option("basePath", f"{path}/{table}").parquet(*[f"{path}/{table}/batch={k}" for k in range(number)]).select(*empty.columns)
+        return empty.withColumn("batch", F.lit(0).cast("long"))
+    schema = T.StructType([*empty.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(f"{path}/{table}").where(F.col("batch") < number)
+
+
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """The row of the latest batch of each id."""
+    names = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*names), "batch").alias("row")).select("row.*")
+
+
+def current_pool(spark, path: str) -> DataFrame:
+    """The pool under ``path`` as all loads have left it."""
+    return latest_rows(spark.read.option("basePath", f"{path}/businesses").parquet(f"{path}/businesses"))
 
 
 def admission_stream(events: DataFrame, limit: int, window_ms: int) -> DataFrame:

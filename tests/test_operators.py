@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkfield.operators import identity, leads, website
 from larkfield.plans import website_queries
 from larkfield.sources.records import upsert
-from larkfield.streaming.jobs import admission_stream, research_stream
+from larkfield.streaming.jobs import admission_stream, current_pool, research_stream
 
 RECORD = "id string, provider string, external_id string, name string, street string, house_number string, postal_code string, city string, country_code string, lat double, lon double, phone string, category string"
 
@@ -45,7 +45,7 @@ def test_load_is_repeatable_and_streams_alike(spark):
     first = {r.incoming_id: (r.business_id, r.outcome) for r in identity.load_discovered(built, none, sources.limit(0)).collect()}
     assert first == {"a": ("a", "new"), "b": ("a", "duplicate"), "c": ("c", "new"), "d": (None, "rejected")}
     again = {r.outcome for r in identity.load_discovered(built, none, sources).collect()}
-    assert again == {"refreshed"}
+    assert again == {"refreshed", "rejected"}  # a record without a name is rejected, known or not
     folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
     rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
@@ -53,6 +53,30 @@ def test_load_is_repeatable_and_streams_alike(spark):
     assert sorted(r.id for r in spark.read.parquet(f"{folder}/out/businesses").collect()) == ["a", "c"]
 
 
+def test_load_outcomes_follow_the_sequential_rules(spark):
+    other = ("Ring", "9", "80331", "Muenchen", "DE", 48.1, 11.5)
+    pool = identity.build_identity(records(spark, ("p", "Optik Nord", *FULL)))
+    rows = records(spark, ("a", "Optik Nord", *FULL[:7], "030 7777777", "shop"), ("b", "Blumen Petra", *other, "089 7654321", "shop"), ("c", "Autohaus Zentrum", "Allee", "1", "80331", "Muenchen", "DE", 48.9, 11.9, "089 7654321", "shop"), ("d", "Blumen Petra GmbH", "Ring", "9", "80331", "Muenchen", "DE", 48.1, 11.5, "089 1111111", "shop"), ("e", "  ", *other, "089 2222222", "shop"), ("f", "Optik Nord", *FULL))
+    built = identity.build_identity(rows)
+    sources = built.where("id in ('e', 'f')").select("provider", "external_id", F.lit("p").alias("business_id"))
+    found = {r.incoming_id: (r.business_id, r.outcome) for r in identity.load_discovered(built, pool, sources).collect()}
+    assert found == {"a": ("p", "needs_review"), "b": ("b", "new"), "c": ("c", "needs_review"), "d": ("b", "needs_review"), "e": (None, "rejected"), "f": ("p", "refreshed")}
+    out = spark.createDataFrame([(k, *v) for k, v in found.items()], "incoming_id string, business_id string, outcome string")
+    assert {(r.business_id, r.is_new) for r in identity.verification_queue(out).collect()} == {("p", False), ("b", True), ("c", True)}
+    assert {r.business_id for r in identity.verification_queue(out, only_new=True).collect()} == {"b", "c"}
+
+
+def test_second_load_fills_what_the_pool_lacks(spark):
+    folder = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
+    for k, phone in enumerate((None, "030 1234567")):
+        rows = records(spark, ("a", "Optik Nord", *FULL[:7], phone, "shop"))
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        research_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+        pool = current_pool(spark, f"{folder}/out").collect()
+        assert [(r.id, r.phone_e164) for r in pool] == [("a", "+49301234567" if k else None)]
+
+
 def test_admissions_batch_and_stream(spark):
     rows = spark.createDataFrame([("k", 0, 1), ("k", 10, 2), ("k", 20, 3), ("k", 105, 4), ("z", 5, 5)], "key string, ts_ms long, event_id long")
     batch = {(r.event_id, r.allowed, r.remaining, r.retry_after_ms) for r in leads.admissions(rows, 2, 100).collect()}
