@@ -9,6 +9,12 @@ template of which ``containment`` is there is missed with a probability of at
 most ``miss``; every such pair is then checked exactly: the share of the
 template's shingles that the window has must be at least ``containment``.
 
+Versions and variants of a license share most of their words. Where hits
+overlap, only the one with the highest containment stays, of equal ones the
+longest, so a version is told by the words that only it has; hits that are
+equal in both stay together. Full license bodies are templates like any
+other: ``read_templates`` takes them from a folder of texts.
+
 MinHash values are computed once for short blocks; a window's value is the
 least of its blocks', so all widths cost little more than one. The job is one
 pass without a shuffle, and the templates' index is a bounded closure.
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import ceil, log, log2
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +43,17 @@ GROUP = 100_000
 TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT-notice": "Released under the MIT License.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -169,6 +182,18 @@ class TemplateIndex:
                 found[t] = share, places[0], places[-1]
 
 
+def read_templates(folder: str) -> dict[str, str]:
+    """The license texts of a folder, each named by its file; links to another file of the folder are left out."""
+    return {p.name: p.read_text("utf-8", "replace") for p in sorted(Path(folder).iterdir()) if p.is_file() and not p.is_symlink()}
+
+
+def told_apart(found: dict[int, tuple[float, int, int]], sizes: list[int]) -> dict[int, tuple[float, int, int]]:
+    """The hits without those that overlap a better one: higher containment, then more shingles."""
+    rank = {t: (share, sizes[t]) for t, (share, _, _) in found.items()}
+    beaten = {t for t, (_, a, b) in found.items() if any(rank[o] > rank[t] and x <= b and a <= y for o, (_, x, y) in found.items())}
+    return {t: hit for t, hit in found.items() if t not in beaten}
+
+
 class WordCache(dict):
     def __missing__(self, word: bytes) -> bytes:
         value = xxhash.xxh64_digest(word)
@@ -207,7 +232,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
             counts, hits = [], []
             for n, found in scanned(batch.column(1).to_pylist()):
                 counts.append(n)
-                hits.append([{"license": index.names[t], "containment": share, "first_word": a, "last_word": min(b + SHINGLE, n) - 1} for t, (share, a, b) in sorted(found.items())])
+                hits.append([{"license": index.names[t], "containment": share, "first_word": a, "last_word": min(b + SHINGLE, n) - 1} for t, (share, a, b) in sorted(told_apart(found, index.sizes).items())])
             kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
             return batch_of(batch.column(0), counts, pa.array(hits, kind))
 
