@@ -14,11 +14,13 @@ import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import SLICE_BYTES, SLICE_ROWS, slices, text_or_empty
 from .hamming import BITS, signed
 from .near_dedup import hex_of, word_fingerprint, words_of
 
@@ -50,23 +52,27 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, col: st
 def in_order(rows: DataFrame, parts: int, id_col: str) -> DataFrame:
     """``rows`` dealt into ``parts`` ranges of ids, each followed by a copy (``ghost``) of the row that comes after it.
 
-    Columns ``part`` and ``ghost`` are added; partitions hold whole ranges,
+    Columns ``part`` and ``ghost`` are added; a partition holds one range,
     sorted. After the last range comes the first row of all. Range limits are
-    quantiles of all ids; the driver sees only them and each range's first id.
+    quantiles of all ids, found by binary search; the driver sees only them
+    and each range's first id. Ids are whole numbers.
     """
-    limits = sorted(set(rows.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts)))
-    x = F.col(id_col).cast("double")
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(v) for v in limits]), lambda v: v <= x)), F.lit(-1)) if limits else F.when(x.isNull(), -1).otherwise(0)
-    placed = rows.withColumn("part", part)
-    heads = sorted(placed.groupBy("part").agg(F.min(id_col).alias("head")).collect())
+    shares = [k / parts for k in range(1, parts)]
+    limits = np.array(sorted(set(rows.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", shares, 0.1 / parts) if shares else [])))
+
+    @F.pandas_udf("int")
+    def range_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.where(x.isna(), -1, np.searchsorted(limits, x, side="right")).astype(np.int32))
+
+    placed = rows.withColumn("part", range_of(F.col(id_col).cast("double")))
+    heads = sorted(placed.groupBy("part").agg(F.min(id_col).alias("head")).collect(), key=lambda r: r.part)
     before = [heads[k - 1].part for k in range(len(heads))]
     kind = dict(rows.dtypes)[id_col]
     to = placed.sparkSession.createDataFrame([(h.head, b) for h, b in zip(heads, before, strict=True)], f"head {kind}, earlier int")
-    both = placed.join(F.broadcast(to), F.col(id_col).eqNullSafe(F.col("head")), "left")
-    own = F.struct(F.col("part").cast("int").alias("part"), F.lit(False).alias("ghost"))
-    ghost = F.struct(F.col("earlier").alias("part"), F.lit(True).alias("ghost"))
-    spread = both.withColumn("place", F.explode(F.when(F.col("earlier").isNull(), F.array(own)).otherwise(F.array(own, ghost))))
-    return spread.select(*rows.columns, "place.part", "place.ghost").repartition(parts, "part").sortWithinPartitions("part", "ghost", *rows.columns)
+    first = F.row_number().over(Window.partitionBy("head").orderBy(*[c for c in rows.columns if c != id_col]))
+    lead = rows.join(F.broadcast(to), F.col(id_col).eqNullSafe(F.col("head"))).withColumn("nth", first).where("nth = 1")
+    both = placed.withColumn("ghost", F.lit(False)).unionByName(lead.select(*rows.columns, F.col("earlier").alias("part"), F.lit(True).alias("ghost")))
+    return both.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part", "ghost", *rows.columns)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -87,14 +93,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = in_order(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), parts, "id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
     kind = dict(docs.dtypes)[id_col]
     schema = f"{id_col} {kind}, n_chars long, edited_sha256 string, fp long, edited_fp long, next_fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         of = lambda text: int.from_bytes(word_fingerprint(words_of(text)), "big", signed=True)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, SLICE_ROWS, SLICE_BYTES)):
             out = []
             for key, text, part, ghost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fp = of(text)
