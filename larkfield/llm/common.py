@@ -41,7 +41,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it from there."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

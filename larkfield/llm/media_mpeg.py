@@ -17,13 +17,15 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch_of, map_batches, text_or_empty
+from .common import batch_of, columns, map_batches, text_or_empty
 
 # Fixed values of the format: kbit/s by (MPEG-1?, layer) and index, and samples a second by version bits.
 BITRATES = {
@@ -34,6 +36,8 @@ BITRATES = {
     (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+# Bits of a subband's allocation in layer II, as (bits, subbands) from the lowest subband on.
+ALLOCATIONS = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 CRC_POLYNOMIAL = 0x8005
 
@@ -68,6 +72,8 @@ class Header:
     samples: int
     protected: bool
     mono: bool
+    #: The first subband whose allocation both channels share (layers I and II).
+    bound: int = 32
 
     @property
     def side(self) -> int:
@@ -91,7 +97,8 @@ def parse_header(raw: bytes) -> Header | None:
             kbps, hz, pad = BITRATES[mpeg1, layer][bits], RATES[version][rate], (raw[2] >> 1) & 1
             samples = 384 if layer == 1 else 576 if layer == 3 and not mpeg1 else 1152
             size = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
-            found = Header(layer, mpeg1, kbps, hz, size, samples, not raw[1] & 1, raw[3] >> 6 == 3)
+            bound = 4 * ((raw[3] >> 4 & 3) + 1) if raw[3] >> 6 == 1 else 32
+            found = Header(layer, mpeg1, kbps, hz, size, samples, not raw[1] & 1, raw[3] >> 6 == 3, bound)
     if len(_headers) < 10_000:
         _headers[raw] = found
     return found
@@ -104,6 +111,8 @@ class Audio:
     starts: list[int] = field(default_factory=list)
     samples: int = 0
     rate: int = 0
+    #: Samples by rate, as a stream may change it.
+    at_rate: dict[int, int] = field(default_factory=dict)
     kbps_sum: int = 0
     checked: int = 0
     wrong: int = 0
@@ -112,6 +121,20 @@ class Audio:
     tags: dict[str, str] = field(default_factory=dict)
     table: dict = field(default_factory=dict)
 
+    @property
+    def duration_us(self) -> int:
+        """Whole microseconds of the exact sum of samples over rates."""
+        return int(sum((Fraction(n * 1_000_000, rate) for rate, n in self.at_rate.items()), Fraction(0)))
+
+    @property
+    def table_agrees(self) -> bool:
+        """Whether the seek table has the stream's frames and, if it holds places, each is that of its frame."""
+        n, size = len(self.offsets), self.table.get("bytes")
+        if self.table.get("frames") != n:
+            return False
+        toc = self.table.get("toc")
+        return not toc or not size or not n or all(abs((self.offsets[n * k // 100] - self.table["at"]) * 256 // size - place) <= 1 or place == 255 for k, place in enumerate(toc))
+
 
 def syncsafe(raw: bytes) -> int:
     return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
@@ -190,10 +213,11 @@ def read_audio(data: bytes) -> Audio:
             out.starts.append(out.samples)
             out.samples += head.samples
             out.rate = out.rate or head.rate
+            out.at_rate[head.rate] = out.at_rate.get(head.rate, 0) + head.samples
             out.kbps_sum += head.kbps
-            if head.protected and head.layer == 3:
+            if head.protected:
                 out.checked += 1
-                out.wrong += not crc_holds(data[at : at + 6 + head.side])
+                out.wrong += not (crc_holds(data[at : at + 6 + head.side]) if head.layer == 3 else allocation_crc_holds(data[at : at + head.size], head))
         at += head.size
     out.skipped += end - at
     return out
@@ -213,6 +237,38 @@ def crc_holds(front: bytes) -> bool:
     return crc == front[4] << 8 | front[5]
 
 
+def crc_of_bits(data: bytes, n: int, crc: int) -> int:
+    """The checksum goes on over the first ``n`` bits."""
+    for k in range(n):
+        bit = data[k >> 3] >> (7 - (k & 7)) & 1
+        crc = ((crc << 1) & 0xFFFF) ^ (CRC_POLYNOMIAL if (crc >> 15) ^ bit else 0)
+    return crc
+
+
+def allocation_crc_holds(frame: bytes, head: Header) -> bool:
+    """Whether the checksum of a frame of layer I or II fits the header's last two bytes and the bits of its allocation (in layer II also of its scale factor selection)."""
+    body, channels = frame[6:], 1 if head.mono else 2
+    if head.layer == 1:
+        n = 4 * (channels * head.bound + 32 - head.bound)
+    else:
+        each = head.kbps // channels
+        if not head.mpeg1:
+            table = "low"
+        elif each <= 48:
+            table = "d" if head.rate == 32000 else "c"
+        else:
+            table = "a" if head.rate == 48000 or each <= 80 else "b"
+        bits = int.from_bytes(body[:128], "big") << 1024 - 8 * min(len(body), 128)
+        at, used = 0, 0
+        for k, width in enumerate([w for w, times in ALLOCATIONS[table] for _ in range(times)]):
+            for _ in range(channels if k < head.bound else 1):
+                value = bits >> (1024 - at - width) & ((1 << width) - 1)
+                used += bool(value) * (1 if k < head.bound else channels)
+                at += width
+        n = at + 2 * used
+    return n <= 8 * len(body) and crc_of_bits(body, n, crc16(frame[2:4])) == frame[4] << 8 | frame[5]
+
+
 # The writer's frames: MPEG-1 layer III, 32 kHz, one channel.
 _SIDE, _RATE_INDEX = 17, 2
 
@@ -247,8 +303,10 @@ def write_audio(payload: bytes) -> bytes:
     return tag + xing + bytes(first - len(xing)) + b"".join(frames)
 
 
-def read_payload(data: bytes, audio: Audio) -> bytes:
-    """The payload that ``write_audio`` stored."""
+def read_payload(data: bytes, audio: Audio) -> bytes | None:
+    """The payload that ``write_audio`` stored; None for streams of other writers."""
+    if not audio.tags.get("payload_bytes", "").isdecimal():
+        return None
     return b"".join([data[at + ROOM : at + size] for at, size in zip(audio.offsets, audio.sizes, strict=True)])[: int(audio.tags["payload_bytes"])]
 
 
@@ -261,8 +319,8 @@ def padded(text: str) -> bytes:
 def feature_of(audio: Audio) -> str:
     """One line: frames, samples, rate, duration in microseconds, mean bitrate, checksums, damage, table and a checksum of the seek offsets."""
     seek = zlib.crc32(struct.pack(f"<{len(audio.offsets)}Q", *audio.offsets))
-    agrees = int(audio.table.get("frames") == len(audio.offsets))
-    micro = audio.samples * 1_000_000 // audio.rate if audio.rate else 0
+    agrees = int(audio.table_agrees)
+    micro = audio.duration_us
     mean = audio.kbps_sum * 1000 // max(1, len(audio.offsets))
     return f"frames={len(audio.offsets)};samples={audio.samples};rate={audio.rate};duration_us={micro};mean_bps={mean};crc={audio.checked - audio.wrong}/{audio.checked};resyncs={audio.resyncs};skipped={audio.skipped};table={audio.table.get('name', '')}:{agrees};seek_crc32={seek:08x}"
 
@@ -280,43 +338,53 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(docs.select(F.col(id_col), text_or_empty(text_col)), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, media binary")
 
 
-def read_media(media: DataFrame, col: str = "media") -> DataFrame:
-    """``media`` with one struct column ``audio`` for each stream: tags, durations, checksums, damage and seek table.
+def read_media(media: DataFrame, col: str = "media", out: str = "audio") -> DataFrame:
+    """``media`` with one struct column ``out`` for each stream: tags, durations, checksums, damage and seek table.
 
     A null or foreign value gives no frames. Offsets and first samples are
-    those of every frame, so a seek is exact.
+    those of every frame, so a seek is exact; ``rate`` is the first frame's,
+    the duration follows every frame's own. A column named ``out`` is replaced.
     """
-    kind = media.schema.simpleString()
-    fields = "samples long, rate int, duration_us long, checked int, wrong int, resyncs int, skipped long, table string, tags map<string,string>, offsets array<long>, starts array<long>"
-    names = [f.split()[0] for f in fields.split(", ")]
+    kinds = {"samples": (T.LongType(), pa.int64()), "rate": (T.IntegerType(), pa.int32()), "duration_us": (T.LongType(), pa.int64()), "checked": (T.IntegerType(), pa.int32()), "wrong": (T.IntegerType(), pa.int32()), "resyncs": (T.IntegerType(), pa.int32()), "skipped": (T.LongType(), pa.int64()), "table": (T.StringType(), pa.string()), "table_agrees": (T.BooleanType(), pa.bool_()), "tags": (T.MapType(T.StringType(), T.StringType()), pa.map_(pa.string(), pa.string())), "offsets": (T.ArrayType(T.LongType()), pa.list_(pa.int64())), "starts": (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [read_audio(x or b"") for x in batch.column(1).to_pylist()]
-            rows = [(a.samples, a.rate, a.samples * 1_000_000 // a.rate if a.rate else 0, a.checked, a.wrong, a.resyncs, a.skipped, a.table.get("name"), [*a.tags.items()], a.offsets, a.starts) for a in found]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            audio = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+            rows = [(a.samples, a.rate, a.duration_us, a.checked, a.wrong, a.resyncs, a.skipped, a.table.get("name"), a.table_agrees, [*a.tags.items()], a.offsets, a.starts) for a in found]
+            audio = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds.values())], [*kinds])
             return batch_of(batch.column(0), audio)
 
         return step
 
-    rows = media.select(F.struct(*media.columns).alias("row"), F.col(col).alias("media"))
-    return map_batches(rows, make, f"row {kind}, audio struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>").select("row.*", "audio")
+    carried = [c for c in media.columns if c != out]
+    rows = media.select(F.struct(*columns(carried)).alias("row"), *[c.cast("binary").alias("media") for c in columns([col])])
+    schema = T.StructType([rows.schema["row"], T.StructField(out, T.StructType([T.StructField(n, t) for n, (t, _) in kinds.items()]))])
+    return map_batches(rows, make, schema).select(*[F.col("row")[c].alias(c) for c in carried], *columns([out]))
 
 
 def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The digest columns of stored texts, all from the bytes of the ``media`` column read back."""
+    """The digest columns of stored texts, all from the bytes of the ``media`` column read back.
+
+    A null value has null digests; a stream that another writer made has null
+    payload columns, and its own size, digest and feature.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[], [], [], [], [], []]
             for data in batch.column(2).to_pylist():
-                audio = read_audio(data)
-                payload = read_payload(data, audio)
-                for col, x in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(audio)), strict=True):
+                row: tuple = (None,) * 6
+                if data is not None:
+                    audio = read_audio(data)
+                    payload = read_payload(data, audio)
+                    of_payload = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+                    row = (*of_payload, len(data), hashlib.sha256(data).hexdigest(), feature_of(audio))
+                for col, x in zip(cols, row, strict=True):
                     col.append(x)
             return batch_of(batch.column(0), batch.column(1), *cols)
 
         return step
 
-    return map_batches(media.select(id_col, "n_bytes", "media"), make, f"{id_col} {dict(media.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
+    schema = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), *[T.StructField(c, t) for c, t in names.items()]])
+    return map_batches(media.select(id_col, "n_bytes", "media"), make, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_trie import encode_decode
-from .common import checkpoint, documents
+from .common import checkpoint, documents, stored
 from .fingerprints import fingerprint_documents, with_near_counts
 from .licenses import scan_licenses
 from .media_mpeg import media_digests, store_texts
@@ -56,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(store_texts(documents(spark, sf_dir)))
+    return media_digests(stored(store_texts(documents(spark, sf_dir))))
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
