@@ -4,7 +4,8 @@ A record is a row: record_type, record_id, date, target_uri, content_type,
 headers (a map of further named fields), block (bytes). ``responses`` makes
 response records of a table of pages; ``derive`` turns response records from
 anywhere into one metadata record and one plain-text conversion record each;
-``write_warc`` and ``read_warc`` store records as WARC/1.1 files.
+``read_warc`` reads WARC/1.0 and 1.1 files; ``write_warc`` stores records whose
+blocks are UTF-8, as all derivatives are, as WARC/1.1 files.
 
 Every step is one pass without a shuffle. Identifiers are name-based UUIDs of
 what the record holds, so a job that runs again gives the same ones.
@@ -17,12 +18,17 @@ import hashlib
 import html as htmllib
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batch_of, map_batches
+from .common import SLICE_ROWS, batch_of, map_batches
 
 RECORD = "record_type string, record_id string, date string, target_uri string, content_type string, headers map<string,string>, block binary"
 SPACE = uuid.NAMESPACE_URL
@@ -32,6 +38,8 @@ BREAKS = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt
 TAG = re.compile(r"<[a-zA-Z/][^>]*>")
 TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
 LINK = re.compile(r"""(?is)<(a|area|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+CHUNK_SIZE = re.compile(rb"[0-9a-fA-F]{1,15}")
+VERSION, START = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"(?<=\r\n\r\n)WARC/1\.[01]\r\n")
 CHARSET = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
 
 
@@ -63,8 +71,40 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines)], body
 
 
+def unchunked(body: bytes) -> bytes:
+    """The body without the sizes of a chunked transfer; as it is, if it is not of that form."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not CHUNK_SIZE.fullmatch(size):
+            return body
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def entity(body: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The body after its transfer and content encodings; what is broken or of an unknown encoding is left as it is."""
+    named = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in named.get("transfer-encoding", ""):
+        body = unchunked(body)
+    for coding in reversed([c.strip() for c in named.get("content-encoding", "").split(",")]):
+        modes = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ())
+        for mode in modes:
+            try:
+                body = zlib.decompressobj(mode).decompress(body)
+                break
+            except zlib.error:
+                continue
+    return body
+
+
 def decoded(body: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
     """The body's text and the character set used: that of the headers, then of the page, then UTF-8."""
+    body = entity(body, headers)
     declared = next((v for k, v in headers if k.lower() == "content-type"), "")
     found = CHARSET.search(declared) or CHARSET.search(body[:2048].decode("latin-1"))
     name = found[1] if found else "utf-8"
@@ -80,7 +120,11 @@ def response_block(markup: str) -> bytes:
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id") -> DataFrame:
-    """(id, response record) of pages (id, url, html). A null page has an empty body; a null url an empty target."""
+    """(id, response record) of pages (id, url, html).
+
+    A null page has an empty body; a null url an empty target; repeated rows
+    give equal records; other columns are not read; no rows give none.
+    """
     kind = dict(pages.dtypes)[id_col]
 
     def make():
@@ -157,7 +201,11 @@ def record_bytes(row: dict) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write records whose blocks are UTF-8 as WARC files, one for each partition, compressed."""
+    """Write records whose blocks are UTF-8 as WARC files, one for each partition, compressed.
+
+    A block that is not UTF-8 fails the job, as Spark's text writer would
+    change it.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -169,28 +217,67 @@ def write_warc(records: DataFrame, path: str) -> None:
     map_batches(rows, make, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def unpacked(data: bytes) -> bytes:
+    """What a file holds: gzip members, one for each record or one for all, are joined; a broken member gives what can be read of it."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            nxt = data.find(b"\x1f\x8b\x08", 2)
+            data = data[nxt:] if nxt > 0 else b""
+            continue
+        data = member.unused_data
+    return b"".join(out)
+
+
+def records_of(data: bytes) -> Iterator[tuple]:
+    """The records of a WARC file (1.0 or 1.1), by their Content-Length.
+
+    What cannot be read as a record, up to the next place where a record
+    starts after an empty line, becomes one with the record type ``broken``.
+    """
+    at = 0
+    while at < len(data):
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+        if at >= len(data):
+            return
+        gap = data.find(b"\r\n\r\n", at)
+        front = data[at : gap if gap >= 0 else len(data)].decode("utf-8", "replace")
+        named = [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in front.split("\r\n")[1:] if ":" in line)]
+        fields = {k.lower(): v for k, v in named}
+        size = fields.get("content-length", "")
+        start = gap + 4
+        if VERSION.match(data, at) and gap >= 0 and size.isascii() and size.isdigit() and start + int(size) <= len(data):
+            end = start + int(size)
+            own = {"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-type", "content-length"}
+            yield fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-date"), fields.get("warc-target-uri"), fields.get("content-type"), [x for x in dict(named).items() if x[0].lower() not in own], data[start:end]
+        else:
+            found = START.search(data, at + 1)
+            end = found.start() if found else len(data)
+            yield "broken", fields.get("warc-record-id"), fields.get("warc-date"), fields.get("warc-target-uri"), fields.get("content-type"), [], data[at:end]
+        at = end
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of UTF-8 WARC files, split at record starts by Spark's text reader.
+    """The records of WARC files of any content, plain or gzip.
 
-    A piece that is not as long as its Content-Length says (its block holds
-    what looks like a record's start) has the record type ``broken``.
+    Spark's binary reader gives a file to one task, so files should have the
+    usual size of up to a gigabyte; the records go on in slices. An empty
+    file has none; see ``records_of`` for damaged ones.
     """
+    kind = T._parse_datatype_string(RECORD)
+    arrow = to_arrow_schema(kind)
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                front, _, block = text.partition("\r\n\r\n")
-                named = [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in front.split("\r\n") if ":" in line)]
-                fields = dict(named)
-                raw = block.encode("utf-8", "surrogatepass")
-                size = int(fields.get("Content-Length") or 0)
-                whole = len(raw) >= size and not raw[size:].strip(b"\r\n")
-                own = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Type", "Content-Length"}
-                rows.append((fields.get("WARC-Type") if whole else "broken", fields.get("WARC-Record-ID"), fields.get("WARC-Date"), fields.get("WARC-Target-URI"), fields.get("Content-Type"), [x for x in named if x[0] not in own], raw[:size]))
-            s = pa.string()
-            return batch_of(*[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [s, s, s, s, s, pa.map_(s, s), pa.binary()], strict=True)])
-
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = records_of(unpacked(batch.column(0)[k].as_py() or b""))
+                while part := [*islice(rows, SLICE_ROWS // 10)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), arrow, strict=True)], schema=arrow)
 
-    return map_batches(spark.read.option("lineSep", "WARC/1.1\r\n").text(path).where("value <> ''"), make, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, kind)
