@@ -7,12 +7,14 @@ output is the expected grade, and a document is toxic if P(grade >= 1) is at
 least one half.
 
 The labels only say toxic or not, so the grades of the training rows are made
-from them: a row that is not toxic has grade 0; a toxic row has grade 1, 2 or
-3 by how many different words it holds that mark toxic rows (see GRADES).
-
-The fit uses a bounded sample of labelled rows and at most ``features``
-features; feature counts are summed in Spark, and the driver only sees the
-chosen features and, for each sampled row, which of them it has.
+from a score that has not seen them: the rows are dealt into folds, a binary
+model of the other folds scores each, and toxic rows have grade 1, 2 or 3 by
+the third of the toxic rows' scores they are in. Other rows have grade 0.
+
+The fit uses a bounded sample of labelled rows (``sample``) and is itself
+bounded: the ``features`` with the strongest association are weighted, all
+others have weight zero. Feature counts are summed in Spark, and the driver
+only sees the chosen features and, for each sampled row, which it has.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch_of, map_batches, text_or_empty
+from .common import batch_of, columns, map_batches, text_or_empty
 
-#: Different marked words from which a toxic row has grade 2 and grade 3.
-GRADES = (3, 5)
-#: How many times more frequent in toxic rows a feature is that marks them, and the least rows that have a feature.
-MARKED, LEAST_ROWS = 20.0, 5
+#: Grades of toxic rows, and folds and steps of the scores that they are made from.
+GRADES, FOLDS, FOLD_STEPS = 3, 2, 150
+#: The least rows that have a feature.
+LEAST_ROWS = 5
 PREFIX = 5
 #: ASCII punctuation becomes a space.
 SPACED = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -41,7 +44,7 @@ def text_words(text: str) -> set[bytes]:
 
 def features_of(word: bytes) -> list[bytes]:
     """The word itself (as ``=word``) and its first letters (as ``^first``)."""
-    return [b"=" + word[:64], b"^" + word[:PREFIX]] if len(word) >= PREFIX else [b"=" + word]
+    return [b"=" + word, b"^" + word[:PREFIX]] if len(word) >= PREFIX else [b"=" + word]
 
 
 @dataclass
@@ -86,10 +89,34 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
     return params[:n_features], params[n_features] + np.concatenate([[0], np.cumsum(np.exp(params[n_features + 1 :]))])
 
 
+def severity_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """0 for rows that are not toxic, else 1 to GRADES by the rank of the row's cross-fitted score among the toxic rows; equal scores have one grade."""
+    n, score = len(toxic), np.zeros(len(toxic))
+    fold = np.zeros(n, int)
+    for kind in (0, 1):  # each fold has its share of both
+        own = np.flatnonzero(toxic == kind)
+        fold[own] = np.arange(len(own)) % FOLDS
+    for k in range(FOLDS):
+        seen = fold != k
+        if toxic[seen].min() == toxic[seen].max():
+            continue
+        place, own = np.cumsum(seen) - 1, seen[rows]
+        weights, _ = fit_ordinal(place[rows[own]], cols[own], toxic[seen], n_features, FOLD_STEPS)
+        score[~seen] = np.bincount(rows, weights[cols], n)[~seen]
+    grades, bad = np.zeros(n, int), np.flatnonzero(toxic == 1)
+    distinct, counts = np.unique(score[bad].round(9), return_counts=True)
+    below = (np.cumsum(counts) - counts)[np.searchsorted(distinct, score[bad].round(9))]
+    grades[bad] = 1 + GRADES * below // len(bad)
+    return grades
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most about ``sample`` labelled rows, taken by a hash of their ids.
 
-    Without both toxic and other labelled rows the model finds nothing toxic.
+    Rows without a label or with a null id are passed over; a document that is
+    labelled twice is toxic if one label says so; of rows that share an id the
+    text that comes first counts. Without both toxic and other labelled rows
+    the model finds nothing toxic.
     """
     marks = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     size = marks.count()
@@ -105,37 +132,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, featu
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(marks, "id").select("id", "toxic", "text")
     kind = dict(rows.dtypes)["id"]
-    worded = map_batches(rows, make, f"id {kind}, toxic int, words array<binary>").dropDuplicates(["id"])
+    worded = map_batches(rows, make, f"id {kind}, toxic int, words array<binary>").groupBy("id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
     totals = {r.toxic: r.n for r in worded.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nothing = OrdinalModel({}, [1e3, 2e3, 3e3])
     if not totals.get(0) or not totals.get(1):
         return nothing
     long = F.length("word") >= PREFIX
-    both = F.when(long, F.array(F.concat(F.lit(b"="), F.substring("word", 1, 64)), F.concat(F.lit(b"^"), F.substring("word", 1, PREFIX)))).otherwise(F.array(F.concat(F.lit(b"="), F.col("word"))))
+    both = F.when(long, F.array(F.concat(F.lit(b"="), F.col("word")), F.concat(F.lit(b"^"), F.substring("word", 1, PREFIX)))).otherwise(F.array(F.concat(F.lit(b"="), F.col("word"))))
     held = worded.select("id", "toxic", F.explode("words").alias("word")).select("id", "toxic", F.explode(both).alias("feature")).distinct()
     counts = held.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(F.col("bad") + F.col("good") >= LEAST_ROWS)
     odds = F.log((F.col("bad") + 0.5) / (totals[1] + 1)) - F.log((F.col("good") + 0.5) / (totals[0] + 1))
     chosen = counts.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "feature").limit(features).collect()
     index = {bytes(r.feature): k for k, r in enumerate(chosen)}
-    marked = {bytes(r.feature) for r in chosen if r.odds >= np.log(MARKED)}
 
     def make_rows():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            grades, found = [], []
-            for toxic, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n = sum(any(f in marked for f in features_of(w)) for w in words)
-                grades.append(1 + sum(n >= g for g in GRADES) if toxic else 0)
-                found.append(sorted({index[f] for w in words for f in features_of(w) if f in index}))
-            return batch_of(grades, pa.array(found, pa.list_(pa.int32())))
+            found = [sorted({index[f] for w in words for f in features_of(w) if f in index}) for words in batch.column(2).to_pylist()]
+            return batch_of(batch.column(1), pa.array(found, pa.list_(pa.int32())))
 
         return step
 
-    sampled = map_batches(worded, make_rows, "grade int, found array<int>").collect()
-    sampled.sort(key=lambda r: (r.grade, r.found))
-    grades = np.array([r.grade for r in sampled])
+    sampled = map_batches(worded, make_rows, "toxic int, found array<int>").collect()
+    sampled.sort(key=lambda r: (r.toxic, r.found))
     lengths = [len(r.found) for r in sampled]
+    at, cols = np.repeat(np.arange(len(sampled)), lengths), np.array([c for r in sampled for c in r.found], int)
+    grades = severity_grades(at, cols, np.array([r.toxic for r in sampled]), len(index))
     grades = np.unique(grades, return_inverse=True)[1]  # grades that occur, from 0 without gaps
-    weights, thresholds = fit_ordinal(np.repeat(np.arange(len(sampled)), lengths), np.array([c for r in sampled for c in r.found], int), grades, len(index))
+    weights, thresholds = fit_ordinal(at, cols, grades, len(index))
     return OrdinalModel({f: float(weights[k]) for f, k in index.items()}, thresholds.tolist())
 
 
@@ -147,7 +170,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text")
     with these names are replaced.
     """
     carried = [c for c in docs.columns if c not in ("severity", "grade", "toxic")]
-    rows = docs.select(F.struct(*carried).alias("row"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.struct(*columns(carried)).alias("row"), text_or_empty(text_col).alias("text"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -156,5 +179,5 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text")
 
         return step
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return map_batches(rows, make, f"row {kind}, severity double, grade int, toxic boolean").select("row.*", "severity", "grade", "toxic")
+    schema = T.StructType([rows.schema["row"], T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
+    return map_batches(rows, make, schema).select(*[F.col("row")[c].alias(c) for c in carried], "severity", "grade", "toxic")
