@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..refdata import DAY_NAMES, DAY_WORDS, UNREAD_RULE_WORDS
+from ..refdata import DAY_NAMES, DAY_WORDS, HOURS_RULE, UNREAD_RULE_WORDS
 from .text import BLANK, let
 
 DAY_MINUTES = 1440
-RULE = r"(?i)^([A-Za-zÀ-ÿ,\-. ]+?)\s*(off|closed|geschlossen|[\d:.,\- ]+)$"
+RULE = HOURS_RULE
 INTERVALS = "array<struct<start:int,end:int>>"
 
 

@@ -14,12 +14,9 @@ from ..functions.address import postal_key, street_key
 from ..functions.phone import compare_phones, normalize_phone
 from ..functions.text import coverage_of, distinctive_tokens, let, normalize_text
 from ..functions.web import domain_overlap, domains_in, handle_domains, hostname, is_link_page, is_social, is_social_or_directory, normalize_url, registrable_domain, social_profile
+from ..refdata import WEIGHTS
 from ..storage import cut
 
-WEIGHTS = {
-    "phone_match": 45, "postal_match": 20, "street_match": 15, "city_match": 8, "name_match": 20, "name_match_partial": 10, "structured_match": 12,
-    "domain_overlap": 8, "declared_link": 20, "phone_conflict": -40, "postal_conflict": -20, "name_absent": -15,
-}
 ACCEPT, PROBABLE = 70, 45
 MAX_FETCHES, MAX_SEARCH, MAX_GUESSES, MAX_PROFILES, MAX_LINK_PAGES, MAX_HOPS, MAX_LISTINGS = 14, 6, 6, 3, 2, 5, 5
 CHANNELS = ("provider_field", "search_engine", "social_profile", "domain_guess", "directory")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..refdata import GENERIC_WORDS, LEGAL_FORMS, PHONE_RULES, STREET_WORDS, TWO_LEVEL_SUFFIXES
+from ..refdata import GENERIC_WORDS, LEGAL_FORMS, PHONE_RULES, STREET_COMPOUND, STREET_WORDS, TWO_LEVEL_SUFFIXES
 
 
 def quoted(values) -> str:
@@ -47,7 +47,7 @@ def clean(x: str) -> str:
 
 
 def street(x: str) -> str:
-    out = f"regexp_replace({norm(x)}, '(\\w{{3,}}?)(strasse|str)\\b', '\\1 str', 'g')"
+    out = f"regexp_replace({norm(x)}, '{STREET_COMPOUND}', '\\1 str', 'g')"
     for word, short in STREET_WORDS:
         out = f"regexp_replace({out}, '\\b{word}\\b', '{short}', 'g')"
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, html, phone, text, web
-from ..refdata import CONTENT_PARTS, DIRECTORY_HOSTS, ENTITIES, LINK_PAGE_HOSTS, NAME_PREFIXES, PARKED_TEXTS, PLATFORMS, SHORTENERS, SOCIAL_HOSTS, TEXT_TLDS, UNFINISHED_TEXTS
+from ..refdata import CONTENT_PARTS, DIRECTORY_HOSTS, ENTITIES, LINK_PAGE_HOSTS, NAME_PREFIXES, NUMBER_FIRST, NUMBER_LAST, PARKED_TEXTS, PLATFORMS, POSTAL_BRITISH, POSTAL_DIGITS, SHORTENERS, SOCIAL_HOSTS, TEXT_TLDS, UNFINISHED_TEXTS
 from ..sources.records import read_pages
 from . import sqltext as q
 from .catalog import query
@@ -29,7 +29,7 @@ def x01_x07_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE = "CASE WHEN k % 3 = 0 THEN concat(coalesce(house_number, '7 b'), ', ', coalesce(street, 'Weg')) ELSE concat(coalesce(street, ''), ' ', coalesce(house_number, '')) END"
-BACK, FRONT = r"^(.*?)[\s,]+(\d+\s*[-/]?\s*\d*\s*[a-zA-Z]?)$", r"^(\d+\s*[a-zA-Z]?)[\s,]+(.+)$"
+BACK, FRONT = NUMBER_LAST, NUMBER_FIRST
 
 
 @query(f"""{B}, l AS (SELECT *, {q.clean(LINE)} AS line FROM v_business), s AS (SELECT *, regexp_matches(line, '{BACK}') AND regexp_extract(line, '{BACK}', 1) <> '' AS at_end, regexp_matches(line, '{FRONT}') AS at_front FROM l)
@@ -78,7 +78,7 @@ def x17_x26_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOMAIN_RE = rf"(?i)\b((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+(?:{'|'.join(TEXT_TLDS)}))\b"
 
 
-@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), x AS (SELECT doc_id, regexp_extract_all(text, '\\b(\\d{{4,5}})\\b', 1) AS p, list_transform(regexp_extract_all(text, '(?i)\\b([A-Z]{{1,2}}\\d{{1,2}}[A-Z]?\\s?\\d[A-Z]{{2}})\\b', 1), lambda x: regexp_replace(upper(x), '\\s+', '', 'g')) AS uk,
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), x AS (SELECT doc_id, regexp_extract_all(text, '{POSTAL_DIGITS}', 1) AS p, list_transform(regexp_extract_all(text, '{POSTAL_BRITISH}', 1), lambda x: regexp_replace(upper(x), '\\s+', '', 'g')) AS uk,
 list_transform(list_filter(regexp_extract_all(text, '((?:\\+|00)?[\\d][\\d\\s()/.\\-]{{5,24}}\\d)', 1), lambda r: length(regexp_replace(r, '\\D', '', 'g')) BETWEEN 6 AND 16), lambda r: {q.e164("r")}) AS ph,
 list_transform(list_filter(list_transform(regexp_extract_all(text, '{DOMAIN_RE}', 1), lambda x: lower(x)), lambda x: NOT regexp_matches(x, '\\.(?:jpg|jpeg|png|gif|webp|pdf|mp4)$')), lambda x: regexp_replace(x, '^www\\.', '')) AS dom FROM d)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(p, uk))), ' ') AS postal_codes, array_to_string(list_sort(list_distinct(list_filter(ph, lambda x: x IS NOT NULL))), ' ') AS phones, array_to_string(list_sort(list_distinct(dom)), ' ') AS domains FROM x""")
@@ -107,7 +107,7 @@ def _collapsed(x: str) -> str:
 
 @query(f"""WITH t AS (SELECT page_id, url, html, {_collapsed(_decoded(STRIPPED))} AS text, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw_title FROM pages), n AS (SELECT *, {q.norm("text")} AS plain FROM t)
 SELECT page_id, CASE WHEN raw_title <> '' THEN {_collapsed(_decoded("raw_title"))} END AS title, md5(text) AS text_md5, md5(plain) AS plain_md5, length(text) < 60 AS is_empty, {" OR ".join(f"contains(plain, '{m}')" for m in PARKED_TEXTS)} AS is_parked, {" OR ".join(f"contains(plain, '{m}')" for m in UNFINISHED_TEXTS)} AS is_placeholder,
-array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\b(\\d{{4,5}})\\b', 1), list_transform(regexp_extract_all(text, '(?i)\\b([A-Z]{{1,2}}\\d{{1,2}}[A-Z]?\\s?\\d[A-Z]{{2}})\\b', 1), lambda x: regexp_replace(upper(x), '\\s+', '', 'g'))))), ' ') AS postal_codes,
+array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '{POSTAL_DIGITS}', 1), list_transform(regexp_extract_all(text, '{POSTAL_BRITISH}', 1), lambda x: regexp_replace(upper(x), '\\s+', '', 'g'))))), ' ') AS postal_codes,
 array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(text, '((?:\\+|00)?[\\d][\\d\\s()/.\\-]{{5,24}}\\d)', 1), lambda r: length(regexp_replace(r, '\\D', '', 'g')) BETWEEN 6 AND 16), lambda r: {q.e164("r")}), lambda x: x IS NOT NULL))), ' ') AS phones,
 array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(html, '(?i)<a\\b[^>]*href=["'']([^"'']+)["'']', 1), lambda h: NOT starts_with(h, '#') AND NOT starts_with(h, 'mailto:') AND NOT starts_with(h, 'tel:')), lambda h: CASE WHEN regexp_matches(h, '^https?://[^/?#]+$') THEN h || '/' WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN h
 WHEN starts_with(h, '//') THEN regexp_extract(url, '^([a-z]+):', 1) || ':' || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || h ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]+(/(?:.*/)?)', 1), ''), '/') || h END))), ' ') AS links FROM n""")

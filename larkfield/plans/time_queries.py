@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, hours, timeutil
-from ..refdata import DAY_NAMES, DAY_WORDS, UNREAD_RULE_WORDS
+from ..refdata import DAY_NAMES, DAY_WORDS, HOURS_RULE, UNREAD_RULE_WORDS
 from . import sqltext as q
 from .catalog import query
 from .standins import AS_OF, view, with_views
@@ -32,7 +32,7 @@ def h1_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_business").select("id", hours.parse_clock(F.expr(x)).alias("minutes"))
 
 
-RULE = r"(?i)^([A-Za-zÀ-ÿ,\-. ]+?)\s*(off|closed|geschlossen|[\d:.,\- ]+)$"
+RULE = HOURS_RULE
 DAY_MAP = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in DAY_WORDS.items()) + "}"
 CLOCK = "CASE WHEN regexp_matches(trim({0}), '^\\d{{1,2}}([:.]\\d{{2}})?$') AND regexp_extract(trim({0}), '^(\\d{{1,2}})', 1)::int <= 24 AND coalesce(nullif(regexp_extract(trim({0}), '[:.](\\d{{2}})$', 1), ''), '0')::int <= 59 THEN regexp_extract(trim({0}), '^(\\d{{1,2}})', 1)::int * 60 + coalesce(nullif(regexp_extract(trim({0}), '[:.](\\d{{2}})$', 1), ''), '0')::int END"
 START, END = CLOCK.format("string_split(s, '-')[1]"), CLOCK.format("string_split(s, '-')[2]")

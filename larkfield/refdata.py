@@ -106,6 +106,27 @@ CATEGORIES = (
     ("retail", ("shop=florist", "shop=clothes"), ("florist", "boutique", "gadget", "ring")),
 )
 
+# What texts count as a street compound, a house number, a postal code, a telephone number, a link or an
+# opening-hours rule. Results depend on each of these patterns bit for bit.
+STREET_COMPOUND = r"(\w{3,}?)(strasse|str)\b"
+NUMBER_LAST = r"^(.*?)[\s,]+(\d+\s*[-/]?\s*\d*\s*[a-zA-Z]?)$"
+NUMBER_FIRST = r"^(\d+\s*[a-zA-Z]?)[\s,]+(.+)$"
+POSTAL_DIGITS = r"\b(\d{4,5})\b"
+POSTAL_BRITISH = r"(?i)\b([A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2})\b"
+PHONE_RUN = r"((?:\+|00)?[\d][\d\s()/.\-]{5,24}\d)"
+LINK_TARGET = r"""(?i)<a\b[^>]*href=["']([^"']+)["']"""
+TELEPHONE_LINK = r"""(?i)href=["']tel:([^"']+)["']"""
+JSON_LD_BLOCK = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+HOURS_RULE = r"(?i)^([A-Za-zÀ-ÿ,\-. ]+?)\s*(off|closed|geschlossen|[\d:.,\- ]+)$"
+DOMAIN_BEFORE_ENDING = r"(?i)\b((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:{endings}))\b"
+
+# Points of an identity and of a website candidate.
+POINTS = {"phone": 35, "full_address": 30, "partial_address": 15, "coordinates": 10, "distinctive_name": 8, "category": 4, "corroboration": 15}
+WEIGHTS = {
+    "phone_match": 45, "postal_match": 20, "street_match": 15, "city_match": 8, "name_match": 20, "name_match_partial": 10, "structured_match": 12,
+    "domain_overlap": 8, "declared_link": 20, "phone_conflict": -40, "postal_conflict": -20, "name_absent": -15,
+}
+
 
 def accent_table() -> tuple[str, str]:
     """Lower-case letters with accents and the base letters they have; marks that combine have none and stand last."""
