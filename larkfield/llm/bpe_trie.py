@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, map_batches, text_or_empty
+from .common import batch_of, map_batches, text_or_empty, worker_state
 from .tokens import CACHE_CHARS, SHARED_BYTES, SHARED_ROWS, SPECIAL, Bpe, WordCache, coded, gathered, letters_of, load_bpe
 
 #: Pairs of tokens whose compatibility a worker keeps.
@@ -211,11 +210,6 @@ class TrieTexts:
             yield rows, *gathered([x for x, _ in values], codes, bounds), pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), decoded), " ")
 
 
-@lru_cache(4)
-def trie_texts(path: str) -> TrieTexts:
-    return TrieTexts(path)
-
-
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_values: bool = True) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row; with ``with_values`` also ids (array) and decoded (text).
 
@@ -224,7 +218,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def make():
-        texts = trie_texts(path)
+        texts = worker_state(("trie", path), lambda: TrieTexts(path))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, counts, sums, decoded_sums, ids, decoded = [], [], [], [], [], []

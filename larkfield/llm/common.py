@@ -50,6 +50,20 @@ def columns(names: list[str]) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in names]
 
 
+#: What the tasks of this Python worker share, by its key; one entry at most.
+_shared: dict[tuple, object] = {}
+_asked = [False]
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for further tasks of this worker until a task of another operator starts in it."""
+    _asked[0] = True
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = make()
+    return _shared[key]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -65,7 +79,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _asked[0] = False
         step = make()
+        if not _asked[0]:
+            _shared.clear()
         for batch in batches:
             for part in slices(batch, rows, size):
                 if (out := step(part)) is not None and out.num_rows:

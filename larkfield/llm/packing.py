@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, map_batches, text_or_empty
-from .tokens import SHARED_BYTES, SHARED_ROWS, packed_ids
+from .common import batch_of, map_batches, text_or_empty, worker_state
+from .tokens import SHARED_BYTES, SHARED_ROWS, PackedIds
 
 
 def binary_pieces(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -50,7 +50,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, max_len: int = 1
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     def make():
-        ids_of = packed_ids(path).of
+        ids_of = worker_state(("packed", path), lambda: PackedIds(path)).of
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [(rows, np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))) for rows, ids, bounds in ids_of(batch.column(1))]

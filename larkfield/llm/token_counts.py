@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, map_batches, text_or_empty
+from .common import batch_of, map_batches, text_or_empty, worker_state
 from .tokens import CACHE_WORDS, SHARED_BYTES, SHARED_ROWS, SPECIAL, WordCache, coded, letter_bytes, letters_of, load_bpe
 
 
@@ -61,7 +61,7 @@ class Counts:
             words = bpe.words_of(chunk)
             return sum(map(self.known.__getitem__, words)) if len(words) > 1 else sum(len(tokenize(letters_of(w))) for w in words)
 
-        self.known = WordCache(merged, 2 * CACHE_WORDS)
+        self.known = WordCache(merged, CACHE_WORDS * 3 // 2)
 
     def of(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -74,18 +74,12 @@ class Counts:
         return out
 
 
-#: The counters of a worker by path.
-COUNTERS: dict[str, Counts] = {}
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
     proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def make():
-        if path not in COUNTERS:
-            COUNTERS[path] = Counts(path, proven.value)
-        count = COUNTERS[path].of
+        count = worker_state(("counts", path), lambda: Counts(path, proven.value)).of
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1)

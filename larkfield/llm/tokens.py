@@ -281,14 +281,9 @@ class PackedIds:
             ids = [t.id for w in words for t in tokenize(letters_of(w))]
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.known = WordCache(packed, 2 * CACHE_WORDS)
+        self.known = WordCache(packed, CACHE_WORDS * 3 // 2)
 
     def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, ids, bounds) of groups of texts: row ``rows[k]`` has ``ids[bounds[k] : bounds[k + 1]]``."""
         for rows, bounds, codes, chunks in coded(self.bpe, texts):
             yield rows, *gathered([*map(self.known.__getitem__, chunks)], codes, bounds)
-
-
-@lru_cache(8)
-def packed_ids(path: str) -> PackedIds:
-    return PackedIds(path)
