@@ -11,9 +11,6 @@ from ..functions.geo import KM_PER_DEGREE, distance_m
 from ..functions.text import normalize_text
 from ..refdata import CATEGORIES, accent_table
 
-#: Gazetteer rows up to which the table is sent to every task.
-SMALL = 10_000
-
 
 def within_radius(rows: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     """Rows within ``km`` of a point: a box that a scan can push down, then the exact distance."""
@@ -40,17 +37,25 @@ def nearest_place(rows: DataFrame, places: DataFrame, km: float = 25.0) -> DataF
     p = places.select("ordinal", "label", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / step).alias("band")).withColumn("cell", F.floor(F.col("p_lon") / width(F.col("band"))))
     r = rows.where("lat is not null and lon is not null").select("id", "lat", "lon", F.explode(F.sequence(F.floor(F.col("lat") / step) - 1, F.floor(F.col("lat") / step) + 1)).alias("band"))
     w = width(F.col("band"))
-    r = r.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lon") / w) - 1, F.floor(F.col("lon") / w) + 1)))
+    at = F.explode(F.array_compact(F.array("lon", F.when(F.abs("lon") > 180 - 2 * w, F.col("lon") - 360 * F.signum("lon")))))  # also from the other side of the 180th meridian
+    r = r.withColumn("at", at).withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / w) - 1, F.floor(F.col("at") / w) + 1)))
     near = r.join(p, ["band", "cell"]).withColumn("metres", distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("metres") <= km * 1000)
     return near.groupBy("id").agg(F.min(F.struct("metres", "ordinal", "label")).alias("x")).select("id", "x.label", "x.metres")
 
 
 def lookup_places(queries: DataFrame, places: DataFrame) -> DataFrame:
-    """(query, label): the first place whose alias the normalised query contains; a gazetteer of at most SMALL rows."""
-    known = places.select("ordinal", "label", normalize_text(F.col("alias")).alias("alias")).limit(SMALL + 1)
-    if known.count() > SMALL:
-        raise ValueError(f"the gazetteer has more than {SMALL} rows")
-    hits = queries.select("query", normalize_text(F.col("query")).alias("text")).distinct().join(F.broadcast(known), F.contains(F.col("text"), F.col("alias")))
+    """(query, label): the first place whose alias the normalised query contains.
+
+    The pieces of a query that are as long as some alias meet the aliases in
+    an equality join, so the gazetteer may have any size; the driver sees only
+    the lengths that occur.
+    """
+    known = places.select("ordinal", "label", normalize_text(F.col("alias")).alias("alias")).where("alias <> ''")
+    lengths = sorted(r.n for r in known.select(F.length("alias").alias("n")).distinct().collect())
+    asked = queries.select("query", normalize_text(F.col("query")).alias("text")).distinct()
+    spots = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda k: F.substring("text", k, F.lit(n)))
+    pieces = F.flatten(F.array(*[F.when(F.length("text") >= n, spots(n)).otherwise(F.array().cast("array<string>")) for n in lengths])) if lengths else F.array().cast("array<string>")
+    hits = asked.select("query", F.explode(F.array_distinct(pieces)).alias("alias")).join(known, "alias")
     return hits.groupBy("query").agg(F.min(F.struct("ordinal", "label")).alias("x")).select("query", "x.label")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import identity as op
 from ..operators import places as pl
 from ..refdata import CATEGORIES
+from ..storage import cut
 from . import sqltext as q
 from .catalog import query
 from .standins import view, with_views
@@ -55,13 +56,13 @@ def j3_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PAIRS} SELECT incoming_id, business_id FROM pairs")
 def j2_u1_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs of the four keys."""
-    return op.blocking_pairs(incoming(spark, sf_dir), pool(spark, sf_dir))
+    return op.blocking_pairs(cut(incoming(spark, sf_dir)), cut(pool(spark, sf_dir)))
 
 
 @query(f"{DECIDED} SELECT * FROM best")
 def j02_d02_w04_match_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best decision of each discovered record."""
-    i, p = incoming(spark, sf_dir), pool(spark, sf_dir)
+    i, p = cut(incoming(spark, sf_dir)), cut(pool(spark, sf_dir))
     return op.best_match(op.decide_pairs(op.blocking_pairs(i, p), i, p)).select("incoming_id", "business_id", "kind", "score", "reason_code")
 
 
@@ -70,7 +71,7 @@ SELECT id, coalesce(phone_e164, xp) AS phone_e164, coalesce(street, xs) AS stree
 CASE WHEN c1 OR c2 THEN 'NEEDS_REVIEW' WHEN touched AND identity_status <> 'NEEDS_REVIEW' AND identity_confidence + 15 >= 70 THEN 'CONFIRMED' ELSE identity_status END AS identity_status, CASE WHEN touched AND NOT (c1 OR c2) THEN least(100, identity_confidence + 15) ELSE identity_confidence END AS identity_confidence FROM j""")
 def d3_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: pool rows after matched records fill them."""
-    i, p = incoming(spark, sf_dir), pool(spark, sf_dir)
+    i, p = cut(incoming(spark, sf_dir)), cut(pool(spark, sf_dir))
     best = op.best_match(op.decide_pairs(op.blocking_pairs(i, p), i, p)).where("kind = 'same'")
     first = best.groupBy("business_id").agg(F.min("incoming_id").alias("id"))
     merged = op.merge_matched(p, i.join(first, "id"))

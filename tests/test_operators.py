@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from larkfield.operators import identity, leads, website
+from larkfield.operators import identity, leads, places, website
 from larkfield.plans import website_queries
 from larkfield.sources.records import upsert
 from larkfield.streaming.jobs import admission_stream, current_pool, research_stream
@@ -77,6 +77,15 @@ def test_second_load_fills_what_the_pool_lacks(spark):
         assert [(r.id, r.phone_e164) for r in pool] == [("a", "+49301234567" if k else None)]
 
 
+def test_places_near_the_180th_meridian_and_in_queries(spark):
+    rows = spark.createDataFrame([("a", -17.0, 179.95), ("b", -17.0, -179.95), ("c", -17.0, 179.0), ("d", None, 1.0)], "id string, lat double, lon double")
+    spots = spark.createDataFrame([(0, "West", "suva west", -17.0, -179.99), (1, "East", "suva", -17.0, 178.95)], "ordinal int, label string, alias string, lat double, lon double")
+    assert {(r.id, r.label) for r in places.nearest_place(rows, spots).collect()} == {("a", "West"), ("b", "West"), ("c", "East")}
+    asked = spark.createDataFrame([("Cafés in SUVA West",), ("in Suva",), ("",), (None,), ("suv",)], "query string")
+    assert {(r.query, r.label) for r in places.lookup_places(asked, spots).collect()} == {("Cafés in SUVA West", "West"), ("in Suva", "East")}
+    assert places.lookup_places(asked, spots.limit(0)).count() == 0
+
+
 def test_admissions_batch_and_stream(spark):
     rows = spark.createDataFrame([("k", 0, 1), ("k", 10, 2), ("k", 20, 3), ("k", 105, 4), ("z", 5, 5)], "key string, ts_ms long, event_id long")
     batch = {(r.event_id, r.allowed, r.remaining, r.retry_after_ms) for r in leads.admissions(rows, 2, 100).collect()}
