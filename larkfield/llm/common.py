@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows and about the bytes of a slice that a step works on at a time. Spark's own Arrow batches hold 64 MB at most.
-SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
+#: Rows and about the bytes of a slice that a step works on at a time.
+SLICE_ROWS, SLICE_BYTES = 1_000, 8 << 20
+#: The setting for the rows of Arrow batches and its default, which is lowered to SLICE_ROWS: texts are long, and both sides hold whole batches.
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,13 +79,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _asked[0] = False
         step = make()
         if not _asked[0]:
             _shared.clear()
-        for batch in batches:
+        for batch in gathered_batches(batches, rows, size):
             for part in slices(batch, rows, size):
                 if (out := step(part)) is not None and out.num_rows:
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, arrow, strict=True)], schema=arrow)
@@ -91,6 +94,24 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, kind)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lower the rows of the session's Arrow batches, unless someone has set them."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(SLICE_ROWS))
+
+
+def gathered_batches(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches joined while they hold few rows and bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows > rows or sum(b.nbytes for b in held) + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in parts of few enough rows and bytes; a row is never cut."""
     rows = min(rows, batch.num_rows * size // max(batch.nbytes, 1)) or 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, SLICE_ROWS, slices, text_or_empty
+from .common import SLICE_BYTES, SLICE_ROWS, short_batches, slices, text_or_empty
 from .hamming import BITS, signed
 from .near_dedup import hex_of, word_fingerprint, words_of
 
@@ -91,6 +91,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     are not read.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = in_order(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), parts, "id")
     kind = dict(docs.dtypes)[id_col]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batch_of, map_batches, text_or_empty, worker_state
-from .tokens import CACHE_WORDS, SHARED_BYTES, SHARED_ROWS, SPECIAL, WordCache, coded, letter_bytes, letters_of, load_bpe
+from .tokens import SHARED_BYTES, SHARED_ROWS, SPECIAL, WordCache, coded, letter_bytes, letters_of, load_bpe
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -61,7 +61,7 @@ class Counts:
             words = bpe.words_of(chunk)
             return sum(map(self.known.__getitem__, words)) if len(words) > 1 else sum(len(tokenize(letters_of(w))) for w in words)
 
-        self.known = WordCache(merged, CACHE_WORDS * 3 // 2)
+        self.known = WordCache(merged)
 
     def of(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import tokenizers
 
 #: Words kept in one generation of a worker's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 
 #: Latin letters and number signs: their classes are the same in every Unicode version since 5.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "0-9²³¹¼-¾"
@@ -281,7 +281,7 @@ class PackedIds:
             ids = [t.id for w in words for t in tokenize(letters_of(w))]
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.known = WordCache(packed, CACHE_WORDS * 3 // 2)
+        self.known = WordCache(packed)
 
     def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, ids, bounds) of groups of texts: row ``rows[k]`` has ``ids[bounds[k] : bounds[k + 1]]``."""
