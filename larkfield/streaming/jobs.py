@@ -58,11 +58,13 @@ def current_pool(spark, path: str) -> DataFrame:
     return latest_rows(spark.read.option("basePath", f"{path}/businesses").parquet(f"{path}/businesses"))
 
 
-def admission_stream(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """Stream form of ``admissions``: state for each key is the window's end and its count, and times out with the window.
+def admission_stream(events: DataFrame, limit: int, window_ms: int, delay: str = "1 hour") -> DataFrame:
+    """Stream form of ``admissions``: state for each key is the window's end and its count, until event time passes the end.
 
-    ``events``: key, ts_ms, event_id. Events of a micro-batch are taken in
-    time order.
+    ``events``: key, ts_ms, event_id. Windows and their states live in event
+    time, so pauses between micro-batches and replays change nothing; events
+    more than ``delay`` behind the latest one are dropped. Events of a
+    micro-batch are taken in time order.
     """
     schema = "key string, ts_ms long, event_id long, allowed boolean, remaining int, retry_after_ms long"
 
@@ -78,7 +80,8 @@ def admission_stream(events: DataFrame, limit: int, window_ms: int) -> DataFrame
             n += 1
             rows.append((key[0], r.ts_ms, r.event_id, n <= limit, max(0, limit - n), 0 if n <= limit else reset - r.ts_ms))
         state.update((int(reset), int(n)))
-        state.setTimeoutDuration(max(1, window_ms))
+        state.setTimeoutTimestamp(max(int(reset), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["key", "ts_ms", "event_id", "allowed", "remaining", "retry_after_ms"])
 
-    return events.groupBy("key").applyInPandasWithState(step, schema, "reset long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select("key", "ts_ms", "event_id", F.timestamp_millis("ts_ms").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("key").applyInPandasWithState(step, schema, "reset long, n int", "append", GroupStateTimeout.EventTimeTimeout)
