@@ -14,12 +14,12 @@ from itertools import accumulate, count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, map_batches, text_or_empty
+from .common import batch_of, checkpoint, columns, map_batches, stored, text_or_empty
 from .components import components
-from .hamming import near_links, plan_masks
+from .hamming import near_links
 
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 15
@@ -27,7 +27,7 @@ CHUNK = 1 << 15
 BANDS, ROWS = 20, 6
 #: Odd factors; each puts the hashes in another order.
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Pairs for each member of a key up to which all that are left are compared at once.
+#: Pairs for each member of a key up to which keys are not compared in further rounds.
 DIRECT = 4
 #: Texts that are compared with one text in one task.
 SHARE = 256
@@ -129,13 +129,15 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Two texts are near duplicates if the Jaccard similarity of their sets of
     ``size``-word shingles is at least ``similarity``; groups are what such
     links connect. Texts of the same words are folded to one node. Candidates
-    are nodes that share a MinHash band; every candidate pair is compared,
-    except those whose texts other links have put into one group already.
+    are nodes that share a MinHash band; no candidate pair that is alike is
+    left out, except where other links have put its texts into one group.
 
     Edge cases: rows with the same words (null and empty texts among them) are
-    copies, of which the smallest id stays, and one of those that also share
-    the id; a row with a null id stays unless it is a copy; rows that share an
-    id stay or go together as near duplicates; columns are kept as they are.
+    copies, of which the smallest id stays; of rows that share id and text the
+    one whose other columns come first as JSON stays; a row with a null id
+    stays unless it is a copy; different texts that share an id count as one
+    node and go together as near duplicates; columns of any name are kept as
+    they are. Ids are whole numbers.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -147,17 +149,20 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
         return step
 
     key = F.unhex(F.md5(text_or_empty(text_col)))
-    marked = map_batches(docs.select(F.col(id_col), key, text_or_empty(text_col)), make, f"id {kind}, copy binary, words binary, n long, keys array<long>")
+    marked = map_batches(docs.select(docs[id_col], key, text_or_empty(text_col)), make, f"id {kind}, copy binary, words binary, n long, keys array<long>")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "copy")).alias("x")
-    texts = checkpoint(marked.groupBy("words").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")).select("x.id", "x.copy", "n", "keys"))
+    texts = stored(marked.groupBy("words").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")).select("x.id", "x.copy", "n", "keys"))
     keyed = texts.where("id is not null").select(F.col("id").cast("long").alias("node"), "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = checkpoint(keyed.join(shared, "key").select("key", "node", "n"))
-    own = checkpoint(docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(members.select("node").distinct(), "node").dropDuplicates(["node"]))
-    groups = linked(members, own, size, similarity)
-    kept = texts.join(groups.select(F.col("node").cast(kind).alias("id")), "id", "left_anti").select(F.col("id").alias("_kept_id"), F.col("copy").alias("_kept_copy"))
-    named = docs.withColumn("_copy", key)
-    return named.join(kept, named[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_copy") == F.col("_kept_copy"))).dropDuplicates([id_col, "_copy"]).select(*docs.columns)
+    whole = docs.select(F.struct(*columns(docs.columns)).alias("row"), docs[id_col].alias("id"), key.alias("copy"))
+    own = whole.select(F.col("id").cast("long").alias("node"), "copy", F.col("row")[text_col].cast("string").alias("text"))
+    chosen = texts.join(members.select(F.col("node").cast(kind).alias("id")).distinct(), "id").select(F.col("id").cast("long").alias("node"), "copy")
+    groups = linked(members, stored(own.join(chosen, ["node", "copy"]).dropDuplicates(["node"]).select("node", F.coalesce("text", F.lit("")).alias("text"))), size, similarity)
+    kept = texts.join(groups.select(F.col("node").cast(kind).alias("id")), "id", "left_anti").select(F.col("id").alias("kept_id"), F.col("copy").alias("kept_copy"))
+    rest = [F.col("row")[c] for c in docs.columns if c not in (id_col, text_col)]
+    of_one = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("copy") == F.col("kept_copy"))).groupBy("id", "copy")
+    return of_one.agg(F.min_by("row", F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("row")).select("row.*")
 
 
 def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -167,26 +172,27 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -
     node, text. While more pairs of different groups are left than a few for
     each member, every key compares one node with its others, another one in
     each round, which joins most of a large group in work that grows with its
-    nodes; as soon as that no longer halves what is left, or little is left,
-    all untried pairs of different groups are compared. Nodes whose numbers
-    of shingles alone rule the similarity out are not compared.
+    nodes. When that no longer halves what is left, or little is left, the
+    nodes of keys that several groups share are compared across groups as far
+    as their rarest shingles allow a link (``across_groups``), which misses no
+    pair that is alike.
     """
     most = DIRECT * members.count()
     alone = members.withColumn("group", F.col("node"))
     named, tried, before = alone, None, float("inf")
     for k in count():
         sizes = named.groupBy("key", "group").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "group")).alias("main")).where("main.m < all")
-        sizes = checkpoint(sizes.select("key", F.col("main.group").alias("main"), ((F.col("all") - F.col("main.m")) * F.col("all")).cast("double").alias("pairs")))
+        sizes = checkpoint(sizes.select("key", ((F.col("all") - F.col("main.m")) * F.col("all")).cast("double").alias("pairs")))
         left = sizes.agg(F.sum("pairs")).first()[0] or 0
+        open_ = named.join(sizes.select("key"), "key")
         last = left <= most or left > before / 2
-        open_ = named.join(sizes.select("key", "main"), "key")
         if last:
-            one = open_.where(F.col("group") != F.col("main"))
+            pairs = across_groups(open_.select("node", "group").distinct(), texts, size, similarity)
         else:
             one = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "group"), F.struct(F.xxhash64("node", F.lit(k)), F.col("node"))).alias("x")).select("key", "x.*")
-        both = one.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group")).join(open_.withColumnRenamed("node", "b"), "key")
-        both = both.where((F.col("a_group") != F.col("group")) & (F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")))
-        pairs = both.select(*_ordered("a", "b", k)).distinct()
+            both = one.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group")).join(open_.withColumnRenamed("node", "b"), "key")
+            pairs = both.where((F.col("a_group") != F.col("group")) & (F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")))
+        pairs = pairs.select(*_ordered("a", "b", k)).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select(*_ordered("a", "b", k)), ["a", "b"], "left_anti")
         new = checkpoint(alike(checkpoint(pairs), texts, size, similarity))
@@ -199,6 +205,42 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -
     raise AssertionError
 
 
+def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, group) of different groups, among them all whose shingle sets reach ``similarity``.
+
+    Every node's shingles are put in one order, the rarest first. If the first
+    shingle that two sets of n and m have in common is the i-th of one and the
+    j-th of the other, they have n - i + 1 and m - j + 1 in common at most, so
+    the i-th shingle of a set can only be the first of a link to sets of up to
+    ``cap`` shingles. Pairs that share no such shingle are not looked at. One
+    side of a pair is never of the group that most sets of the shingle are in,
+    so what a shingle makes grows with the sets outside that group.
+    """
+    hashed = texts.join(nodes, "node").select("node", "group", "text")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingle_hashes(words_of(t), size).view(np.int64) for t in batch.column(2).to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [*map(len, found)])
+            sizes = np.array([*map(len, found)])
+            return batch_of(batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), sizes[rows], np.concatenate(found)) if len(rows) else None
+
+        return step
+
+    shingle = stored(map_batches(hashed, make, "node long, group long, n int, h long"))
+    rarity = shingle.groupBy("h").agg(F.count("*").alias("sets"), (F.min("group") < F.max("group")).alias("mixed"))
+    order = Window.partitionBy("node").orderBy("sets", "h")
+    cap = (1 + 1 / similarity) * (F.col("n") - F.col("at") + 1) - F.col("n") + 1e-6
+    front = shingle.join(rarity, "h").withColumn("at", F.row_number().over(order)).where("mixed").withColumn("cap", cap).where(F.col("cap") >= similarity * F.col("n"))
+    front = stored(front.select("h", "node", "group", "n", "cap"))
+    of_groups = front.groupBy("h", "group").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+    of_all = of_groups.groupBy("h").agg(F.min("least").alias("least"), F.max(F.struct("m", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    useful = stored(front.join(of_all, "h").where("cap >= least").select("h", "node", "group", "n", "cap", (F.col("group") == F.col("main.group")).alias("main")))
+    x, y = useful.where("not main").alias("x"), useful.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.group") != F.col("y.group")) & (F.col("x.n") <= F.col("y.cap")) & (F.col("y.n") <= F.col("x.cap")))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def _ordered(a: str, b: str, k: int) -> tuple[Column, Column]:
     """The two nodes in the order of their hashes in round ``k``, so that the node which a key compares with its others comes first."""
     x, y = (F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("node")) for c in (a, b))

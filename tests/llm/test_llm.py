@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -316,7 +317,9 @@ def test_run_hashes_tell_runs_apart():
 
 def test_fingerprints_and_next_documents(docs, empty):
     fp = lambda t: near_dedup.word_fingerprint(near_dedup.words_of(t)).hex()
-    rows = fingerprints.with_near_counts(fingerprints.fingerprint_documents(docs.dropDuplicates(["doc_id"]), parts=5)).collect()
+    found = fingerprints.fingerprint_documents(docs.dropDuplicates(["doc_id"]), parts=5)
+    assert found.rdd.getNumPartitions() == 5
+    rows = fingerprints.with_near_counts(found).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         text, following = TEXTS[r.doc_id] or "", TEXTS[(r.doc_id + 1) % len(TEXTS)] or ""
@@ -327,6 +330,32 @@ def test_fingerprints_and_next_documents(docs, empty):
     assert fingerprints.edited_text("abcde", "x") == "abcx" and fingerprints.edited_text("abcde", "xyz") == "abcxy"
 
 
+def test_next_documents_of_repeated_and_null_ids(spark):
+    """Rows of one id follow each other in the order of their texts; null ids come first."""
+    rows = [(None, "first of all"), (3, "b text"), (3, "a text"), (3, "a text"), (9, None), (-4, "minus")]
+    order = [(None, "first of all"), (-4, "minus"), (3, "a text"), (3, "a text"), (3, "b text"), (9, "")]
+    want = sorted((str(k), len(t), hashlib.sha256(fingerprints.edited_text(t, order[(j + 1) % 6][1]).encode()).hexdigest()) for j, (k, t) in enumerate(order))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 2, 8):
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint_documents(df, parts=parts).collect()) == want
+
+
+def test_search_within_the_radius_is_complete(spark):
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(400):
+        x = rng.choice(fps)
+        for _ in range(rng.randint(0, 3)):
+            x ^= 1 << rng.randrange(64)
+        fps.append(x)
+    found = spark.createDataFrame([(k, hamming.signed(x)) for k, x in enumerate(fps)], "doc_id long, fp long")
+    distance = lambda a, b: (fps[a] ^ fps[b]).bit_count()
+    pairs = {(hamming.signed(fps[a]), hamming.signed(fps[b])): distance(a, b) for a in range(0, len(fps), 50) for b in range(len(fps)) if distance(a, b) <= 3}
+    assert {(r.query, r.fp): r.distance for r in fingerprints.within_radius(found.where("doc_id % 50 = 0"), found).collect()} == pairs
+    for r in fingerprints.with_near_counts(found).collect():
+        assert r.n_near == (sum(distance(r.doc_id, b) <= 3 for b in range(len(fps))) - 1 if r.doc_id % 50 == 0 else None)
+
+
 def test_media_round_trip_and_damage(docs, spark):
     for r in media_mpeg.media_digests(media_mpeg.store_texts(docs)).collect():
         payload = media_mpeg.padded(TEXTS[r.doc_id] or "")
@@ -340,8 +369,51 @@ def test_media_round_trip_and_damage(docs, spark):
     flipped = bytearray(data)
     flipped[whole.offsets[1] + 10] ^= 1
     assert media_mpeg.read_audio(bytes(flipped)).wrong == 1 and media_mpeg.read_audio(b"").offsets == [] and media_mpeg.read_audio(b"no audio at all").offsets == []
-    audio = media_mpeg.read_media(media_mpeg.store_texts(docs)).select("audio").first().audio
-    assert audio.duration_us == audio.samples * 1_000_000 // audio.rate
+    media = media_mpeg.store_texts(docs).withColumns({"audio": F.lit("own"), "a.b": F.lit(1)})
+    read = media_mpeg.read_media(media)
+    audio = read.select("audio").first().audio
+    assert audio.duration_us == audio.samples * 1_000_000 // audio.rate and audio.table_agrees and read.columns == ["doc_id", "n_bytes", "media", "a.b", "audio"]
+    foreign = spark.createDataFrame([(1, 0, None), (2, 3, b"abc"), (3, 0, bytes(data[: whole.offsets[1]]))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media_mpeg.media_digests(foreign).collect()}
+    assert (got[1].media_bytes, got[1].feature, got[2].media_bytes, got[2].payload_bytes) == (None, None, 3, None) and got[3].media_sha256 == hashlib.sha256(data[: whole.offsets[1]]).hexdigest()
+    assert media_mpeg.media_digests(media_mpeg.store_texts(docs.limit(0))).count() == 0
+
+
+def test_foreign_frames_by_hand():
+    """Frames put together bit by bit: layers I to III, a change of rate, checksums over the allocation, a seek table that lies."""
+
+    def crc(bits: str) -> int:
+        value = 0xFFFF
+        for b in bits:
+            value = (value << 1) & 0x1FFFF
+            value = (value & 0xFFFF) ^ (0x8005 if (value >> 16) ^ int(b) else 0)
+        return value
+
+    def frame(header: bytes, size: int, covered: str) -> bytes:
+        bits = "".join(f"{b:08b}" for b in header[2:4]) + covered
+        body = int(covered.ljust(-(-len(covered) // 8) * 8, "0"), 2).to_bytes(-(-len(covered) // 8), "big") if covered else b""
+        return (header + struct.pack(">H", crc(bits)) + body).ljust(size, b"\x55")
+
+    rng = random.Random(3)
+    # layer I, 44.1 kHz, 128 kbit/s, mono: 32 allocations of 4 bits; 12 * 128000 / 44100 = 34 slots of 4 bytes
+    one = [frame(b"\xff\xfe\x40\xc0", 136, "".join(f"{rng.randrange(15):04b}" for _ in range(32))) for _ in range(5)]
+    # layer II, 48 kHz, 64 kbit/s, mono: 27 subbands of 4, 3 and 2 bits, two more bits for each that is used; 144 * 64000 / 48000 = 192 bytes
+    two = []
+    for _ in range(4):
+        widths = [4] * 11 + [3] * 12 + [2] * 4
+        values = [rng.choice([0, 1, 2]) for _ in widths]
+        two.append(frame(b"\xff\xfc\x44\xc0", 192, "".join(f"{v:0{w}b}" for v, w in zip(values, widths, strict=True)) + "10" * sum(map(bool, values))))
+    audio = media_mpeg.read_audio(b"".join(one + two))
+    assert (len(audio.offsets), audio.checked, audio.wrong, audio.samples) == (9, 9, 0, 5 * 384 + 4 * 1152)
+    assert audio.duration_us == int(5 * 384 * 1_000_000 / 44100 + 4 * 1152 * 1_000_000 / 48000) and audio.offsets == [0, 136, 272, 408, 544, 680, 872, 1064, 1256]
+    for hurt in (one[2][:8] + bytes([one[2][8] ^ 16]) + one[2][9:], two[1][:7] + bytes([two[1][7] ^ 1]) + two[1][8:]):
+        other = [hurt if f in (one[2],) and len(hurt) == 136 else hurt if f == two[1] and len(hurt) == 192 else f for f in one + two]
+        assert media_mpeg.read_audio(b"".join(other)).wrong == 1
+    data = bytearray(media_mpeg.write_audio(b"x" * 50_000))
+    assert media_mpeg.read_audio(bytes(data)).table_agrees
+    at = data.index(b"Xing") + 16
+    data[at + 50] ^= 64
+    assert not media_mpeg.read_audio(bytes(data)).table_agrees
 
 
 def test_warc_links_and_files(spark):
@@ -362,6 +434,30 @@ def test_warc_links_and_files(spark):
     assert {(r.record_id, bytes(r.block)) for r in back.collect()} == {(r.record_id, bytes(r.block)) for r in rows}
 
 
+def test_foreign_warc_files(spark, tmp_path):
+    """Files put together by hand: both versions, a gzip member for each record, binary blocks, a block that looks like a record, bad lengths, encodings."""
+    import gzip
+
+    def record(version: str, block: bytes, size: str | None = None, kind: str = "response") -> bytes:
+        return f"WARC/{version}\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:{zlib.crc32(block)}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: http://a.de/\r\nContent-Length: {len(block) if size is None else size}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    page = "<title>Größe</title><p>Ünïcode</p>".encode("latin-1")
+    packed = gzip.compress(page)
+    chunks = b"".join(f"{len(packed[k : k + 20]):x}\r\n".encode() + packed[k : k + 20] + b"\r\n" for k in range(0, len(packed), 20)) + b"0\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks
+    blocks = [http, bytes(range(256)), b"text\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\n", b"", page]
+    (tmp_path / "plain.warc").write_bytes(b"".join(record("1.0", b) for b in blocks))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(record("1.1", b)) for b in blocks))
+    (tmp_path / "broken.warc").write_bytes(record("1.1", b"one") + record("1.1", b"two", "many") + record("1.0", b"three"))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.block) for r in rows if r.record_type == "response") == sorted([*blocks, *blocks, b"one", b"three"])
+    assert [b"two" in bytes(r.block) for r in rows if r.record_type == "broken"] == [True]
+    found = warc.derive(warc.read_warc(spark, str(tmp_path)).withColumn("page_id", F.lit(1))).where("record_type = 'conversion'").collect()
+    assert len(found) == 12 and sum(bytes(r.block).decode() == "Größe\nÜnïcode" for r in found) == 2
+    assert warc.entity(b"no chunk", [("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")]) == b"no chunk"
+
+
 def test_licenses(spark, empty):
     mit = licenses.TEMPLATES["MIT"].split()
     texts = [None, "", passage(4, 500) + "\nReleased under the MIT License.\n" + passage(5, 300), " ".join(mit[:45] + ["changed"] + mit[46:]), " ".join(mit[:20]), passage(6, 3000), "Licensed under the Apache License, Version 2.0."]
@@ -371,6 +467,52 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+HEADERS = [n for n in licenses.TEMPLATES if n.endswith("-header")]
+
+
+@pytest.mark.parametrize("name", [*HEADERS, "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "MPL-2.0"])
+def test_versions_and_variants_are_told_apart(name):
+    index = licenses.TemplateIndex(licenses.TEMPLATES, 0.8, 1e-5, 128)
+    for text in (licenses.TEMPLATES[name], f"{passage(60, 70)} {licenses.TEMPLATES[name]} {passage(61, 90)}"):
+        found = index.scan([licenses.shingle_hashes(licenses.license_words(text))])[0]
+        assert [index.names[t] for t in licenses.told_apart(found, index.sizes)] == [name]
+
+
+def test_license_hits_against_every_window():
+    """Templates with edits at random places of long texts: what the bands find is what a scan of every window finds."""
+    rng = random.Random(13)
+    index = licenses.TemplateIndex(licenses.TEMPLATES, 0.8, 1e-5, 128)
+    texts = []
+    for k in range(150):
+        words = passage(9000 + k, rng.randrange(400)).split()
+        for _ in range(rng.randint(0, 3)):
+            own = licenses.TEMPLATES[rng.choice(index.names)].split()
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        texts.append(" ".join(words))
+    hashes = [licenses.shingle_hashes(licenses.license_words(t)) for t in texts]
+    found, missed, total = index.scan(hashes), 0, 0
+    for h, got in zip(hashes, found, strict=True):
+        shingles = h.tolist()
+        for t, own in enumerate(index.sets):
+            best = max((len(own.intersection(shingles[k : k + index.sizes[t] + 10])) / len(own) for k in range(len(shingles))), default=0)
+            total += best >= 0.8
+            missed += best >= 0.8 and t not in got
+        assert all(share >= 0.8 and len(index.sets[t].intersection(shingles)) >= 0.8 * len(index.sets[t]) for t, (share, _, _) in got.items())
+    assert total > 200 and not missed
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no license texts on this machine")
+def test_full_bodies_are_templates_too():
+    bodies = licenses.read_templates("/usr/share/common-licenses")
+    index = licenses.TemplateIndex(bodies, 0.8, 1e-5, 128)
+    for name in ("GPL-2", "GPL-3", "LGPL-2.1", "Apache-2.0", "MPL-2.0"):
+        found = index.scan([licenses.shingle_hashes(licenses.license_words(f"{passage(70, 300)} {bodies[name]} {passage(71, 200)}"))])[0]
+        assert [index.names[t] for t in licenses.told_apart(found, index.sizes)] == [name]
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rng = random.Random(5)
     bad = ["vile", "rotten", "nasty", "foul", "wretch"]
@@ -392,6 +534,46 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.score_toxicity(docs, nothing).where("toxic").count() == 0 and toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_ordinal_fit_is_the_best_of_its_likelihood():
+    """The penalised likelihood, written out row by row, has no slope at the fitted values; scores are sums of the features' weights."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (300, 6))
+    grades = np.clip((x @ np.array([2, 1, 0, -1, 0, 1]) + rng.normal(0, 1, 300)).round(), 0, 3).astype(int)
+    rows, cols = np.nonzero(x)
+    weights, thresholds = toxicity.fit_ordinal(rows, cols, grades, 6, steps=3000)
+
+    def loss(w, t):
+        total = 0.5 * (w**2).sum()
+        for own, g in zip(x, grades, strict=True):
+            above = [1.0, *[1 / (1 + np.exp(-(own @ w - k))) for k in t], 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total
+
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-4
+        assert abs(loss(weights + step, thresholds) - loss(weights - step, thresholds)) / 2e-4 < 0.5
+    assert loss(weights, thresholds) < min(loss(weights * 0.9, thresholds), loss(weights * 1.1, thresholds), loss(weights, thresholds + 0.1), loss(weights, thresholds - 0.1))
+    model = toxicity.OrdinalModel({b"=vile": 2.0, b"^rotte": 1.0, b"=rotten": 0.5}, [1.0, 2.0])
+    assert model.score("Vile, ROTTEN vile!") == 3.5 and model.at_least(1.0)[0] == 0.5
+
+
+def test_grades_follow_scores_that_have_not_seen_the_row():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    toxic = np.arange(600) % 3 == 0
+    x = (rng.random((600, 8)) < np.where(toxic[:, None], 0.55, 0.1)).astype(int)
+    rows, cols = np.nonzero(x)
+    grades = toxicity.severity_grades(rows, cols, toxic.astype(int), 8)
+    assert set(grades[~toxic]) == {0} and set(grades[toxic]) == {1, 2, 3}
+    held = x[toxic].sum(axis=1)
+    assert held[grades[toxic] == 3].mean() > held[grades[toxic] == 2].mean() > held[grades[toxic] == 1].mean()
+    tied = toxicity.severity_grades(np.repeat(np.arange(6), 1), np.zeros(6, int), np.array([1, 1, 1, 1, 0, 0]), 1)
+    assert tied.tolist() == [1, 1, 1, 1, 0, 0]
+
+
 def test_pipeline_keeps_what_it_should(spark):
     import tempfile
 
