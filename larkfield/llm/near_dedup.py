@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Callable
 from itertools import accumulate, count
 
 import numpy as np
@@ -165,7 +166,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     return of_one.agg(F.min_by("row", F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("row")).select("row.*")
 
 
-def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, retained: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) as ``components`` gives them, of the links among nodes that share a key.
 
     ``members``: key, node, n (distinct shingles of its text); ``texts``:
@@ -175,7 +176,9 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -
     nodes. When that no longer halves what is left, or little is left, the
     nodes of keys that several groups share are compared across groups as far
     as their rarest shingles allow a link (``across_groups``), which misses no
-    pair that is alike.
+    pair that is alike. With ``retained`` (rows (a, b), one for each key that
+    they share, to distinct pairs worth a comparison) only what it keeps is
+    compared, and few enough pairs are met through their keys to the end.
     """
     most = DIRECT * members.count()
     alone = members.withColumn("group", F.col("node"))
@@ -186,13 +189,15 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -
         left = sizes.agg(F.sum("pairs")).first()[0] or 0
         open_ = named.join(sizes.select("key"), "key")
         last = left <= most or left > before / 2
-        if last:
-            pairs = across_groups(open_.select("node", "group").distinct(), texts, size, similarity)
+        if last and (retained is None or left > most):
+            pairs = across_groups(open_.select("node", "group").distinct(), texts, size, similarity).select(*_ordered("a", "b", k)).distinct()
         else:
-            one = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "group"), F.struct(F.xxhash64("node", F.lit(k)), F.col("node"))).alias("x")).select("key", "x.*")
-            both = one.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group")).join(open_.withColumnRenamed("node", "b"), "key")
+            other = open_ if last else open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "group"), F.struct(F.xxhash64("node", F.lit(k)), F.col("node"))).alias("x")).select("key", "x.*")
+            other = other.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group"))
+            both = open_.withColumnRenamed("node", "b").join(other, "key")  # the side with few rows of a key stands right, where a merge join holds a key's rows
             pairs = both.where((F.col("a_group") != F.col("group")) & (F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")))
-        pairs = pairs.select(*_ordered("a", "b", k)).distinct()
+            pairs = pairs.where("a < b") if last else pairs
+            pairs = (retained or DataFrame.distinct)(pairs.select(*_ordered("a", "b", k)))
         if tried is not None:
             pairs = pairs.join(tried.select(*_ordered("a", "b", k)), ["a", "b"], "left_anti")
         new = checkpoint(alike(checkpoint(pairs), texts, size, similarity))
@@ -237,7 +242,7 @@ def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     of_all = of_groups.groupBy("h").agg(F.min("least").alias("least"), F.max(F.struct("m", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
     useful = stored(front.join(of_all, "h").where("cap >= least").select("h", "node", "group", "n", "cap", (F.col("group") == F.col("main.group")).alias("main")))
     x, y = useful.where("not main").alias("x"), useful.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.group") != F.col("y.group")) & (F.col("x.n") <= F.col("y.cap")) & (F.col("y.n") <= F.col("x.cap")))
+    met = y.join(x, (F.col("x.h") == F.col("y.h")) & (F.col("x.group") != F.col("y.group")) & (F.col("x.n") <= F.col("y.cap")) & (F.col("y.n") <= F.col("x.cap")))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
