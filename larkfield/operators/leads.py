@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..refdata import LEAD_STATUSES, OUTCOME_STATUS
+from ..storage import cut
+from .ordering import ranked, window_starts, with_last
 
 LEAST_CONFIDENCE = 70
+#: Events of a key up to which its windows are folded in one expression.
+FOLD = 500
 MANUAL = ("REQUIRES_MANUAL_CHECK", "WEBSITE_UNCERTAIN", "IDENTITY_UNVERIFIED")
 #: What a list can be sorted by: name -> column of the joined view.
 SORT_KEYS = {
@@ -67,7 +71,7 @@ def promote(businesses: DataFrame, leads: DataFrame, requested: DataFrame, as_of
 
 def exclude(businesses: DataFrame, leads: DataFrame, ids: DataFrame, as_of_ms: int) -> tuple[DataFrame, DataFrame]:
     """Businesses with the given ids (id, reason; a null reason restores) marked excluded, and the leads that are left."""
-    own = ids.dropDuplicates(["id"]).withColumn("asked", F.lit(True))
+    own = ids.groupBy("id").agg(F.max("reason").alias("reason")).withColumn("asked", F.lit(True))  # of several requests a reason wins
     df = businesses.drop("exclusion_reason").join(own.withColumnRenamed("reason", "exclusion_reason"), "id", "left")
     out = df.withColumn("excluded_ms", F.when(F.col("asked") & F.col("exclusion_reason").isNotNull(), F.lit(as_of_ms).cast("long")).when(F.col("asked"), F.lit(None).cast("long")).otherwise(F.col("excluded_ms"))).drop("asked")
     return out, leads.join(own.where("reason is not null").select(F.col("id").alias("business_id")), "business_id", "left_anti")
@@ -228,17 +232,35 @@ def monthly_usage(uses: DataFrame) -> DataFrame:
     return uses.groupBy("provider", F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM").alias("period")).agg(F.count("*").alias("uses"))
 
 
-def admissions(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
+def admissions(events: DataFrame, limit: int, window_ms: int, fold: int = FOLD) -> DataFrame:
     """Fixed windows that open at a key's first event after the last one ended; the first ``limit`` events of a window are admitted.
 
-    The window's start hangs on the data, so each key's sorted times are
-    folded in one expression; keys are folded apart from each other.
+    The window's start hangs on the data. Keys with at most ``fold`` events
+    are folded in one expression each; the others' windows are found by
+    doubling pointers over their sorted times (``window_starts``), which
+    never holds a key in one task. Both ways give the same rows. Rows with a
+    null key are one key's; null times have no window and are left out.
     """
+    named = events.where("ts_ms is not null").select(F.struct("key").alias("key"), "ts_ms", "event_id")  # a struct is never null
+    sizes = cut(named.groupBy("key").agg(F.count("*").alias("size")))
+    small = _folded(named.join(sizes.where(F.col("size") <= fold).select("key"), "key"), limit, window_ms)
+    if not sizes.where(F.col("size") > fold).limit(1).count():
+        return small.select("key.key", *small.columns[1:])
+    large = cut(named.join(sizes.where(F.col("size") > fold).select("key"), "key"))
+    starts = window_starts(large.select("key", F.col("ts_ms").alias("at")).distinct(), window_ms)
+    placed = ranked(with_last(large, starts, "ts_ms"), ["key", "start"], ["ts_ms", "event_id"])
+    ok, n = F.col("k") < limit, F.col("k") + 1
+    rows = placed.select("key", "ts_ms", "event_id", ok.alias("allowed"), F.greatest(F.lit(0), limit - n).cast("int").alias("remaining"), F.when(ok, 0).otherwise(F.col("start") + window_ms - F.col("ts_ms")).cast("long").alias("retry_after_ms"))
+    return small.unionByName(rows).select("key.key", *rows.columns[1:])
+
+
+def _folded(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
+    """``admissions`` of keys with few events: their sorted times are folded to the windows' starts and numbers, one after the other."""
     state = "struct<reset:long,n:int,out:array<struct<ts_ms:long,event_id:long,allowed:boolean,remaining:int,retry_after_ms:long>>>"
-    empty = F.expr(f"cast(named_struct('reset', cast(-1 as bigint), 'n', 0, 'out', array()) as {state})")
+    empty = F.expr(f"cast(named_struct('reset', cast(null as bigint), 'n', 0, 'out', array()) as {state})")
 
     def step(acc: Column, e: Column) -> Column:
-        fresh = (acc["reset"] < 0) | (e["ts_ms"] >= acc["reset"])
+        fresh = acc["reset"].isNull() | (e["ts_ms"] >= acc["reset"])
         reset, n = F.when(fresh, e["ts_ms"] + window_ms).otherwise(acc["reset"]), F.when(fresh, 1).otherwise(acc["n"] + 1)
         ok = n <= limit
         row = F.struct(e["ts_ms"].alias("ts_ms"), e["event_id"].alias("event_id"), ok.alias("allowed"), F.greatest(F.lit(0), limit - n).cast("int").alias("remaining"), F.when(ok, 0).otherwise(reset - e["ts_ms"]).cast("long").alias("retry_after_ms"))
@@ -249,9 +271,19 @@ def admissions(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
 
 
 def run_statistics(items: DataFrame, checks: DataFrame | None = None) -> DataFrame:
-    """Counters of each run from its records' outcomes and, where ``checks`` (run_id, failed, qualifies) are given, from its verifications."""
-    outcomes = ("new", "duplicate", "refreshed", "excluded", "needs_review", "rejected")
-    out = items.groupBy("run_id").agg(F.count("*").alias("found"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in outcomes])
+    """Counters of each run from its records' outcomes and, where ``checks`` (run_id, failed, qualifies) are given, from its verifications.
+
+    ``items``: run_id, outcome and conflict (a record that met a business with
+    another phone or postal code). A rejected record is excluded; a matched
+    record with a conflict is a duplicate and needs review; a refreshed one
+    with a conflict is refreshed and needs review.
+    """
+    is_ = lambda *names: F.col("outcome").isin(*names)
+    conflict = F.coalesce(F.col("conflict"), F.lit(False))
+    out = items.groupBy("run_id").agg(
+        F.count("*").alias("found"), F.count_if(is_("new")).alias("n_new"), F.count_if(is_("duplicate") | (is_("needs_review") & conflict)).alias("n_duplicate"), F.count_if(is_("refreshed")).alias("n_refreshed"),
+        F.count_if(is_("needs_review") | (is_("refreshed", "duplicate") & conflict)).alias("n_needs_review"), F.count_if(is_("rejected", "excluded")).alias("n_excluded"),
+    )
     if checks is None:
         return out
     done = checks.groupBy("run_id").agg(F.count_if(~F.col("failed")).alias("verified"), F.count_if("failed").alias("verification_failures"), F.count_if(~F.col("failed") & F.col("qualifies")).alias("qualified"))

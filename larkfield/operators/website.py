@@ -7,6 +7,9 @@ join, so HTML is not shuffled.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from ..functions.text import coverage_of, distinctive_tokens, let, normalize_tex
 from ..functions.web import domain_overlap, domains_in, handle_domains, hostname, is_link_page, is_social, is_social_or_directory, normalize_url, registrable_domain, social_profile
 from ..refdata import WEIGHTS
 from ..storage import cut
+from .identity import build_identity
+from .leads import stale
 
 ACCEPT, PROBABLE = 70, 45
 MAX_FETCHES, MAX_SEARCH, MAX_GUESSES, MAX_PROFILES, MAX_LINK_PAGES, MAX_HOPS, MAX_LISTINGS = 14, 6, 6, 3, 2, 5, 5
@@ -91,17 +96,20 @@ def search_channel(businesses: DataFrame, results: DataFrame, statuses: DataFram
     return hits.select("business_id", "kind", "ordinal", "url", "domain"), channel
 
 
-def social_channel(businesses: DataFrame, urls: DataFrame, results: DataFrame, statuses: DataFrame, pages: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, channel rows) from social profiles.
+def social_channel(businesses: DataFrame, urls: DataFrame, results: DataFrame, statuses: DataFrame, pages: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(candidates, channel rows, profiles, link pages) from social profiles.
 
     ``urls``: business_id, ordinal, url of social pages; ``pages``: host_path,
     links and fetch_error of crawled pages. Three profiles are worked on, by
     platform. Handles give derived addresses and a search, whose hits and
     snippets give found ones and link pages; links on two link pages are
-    declared. What was collected before a failure stays.
+    declared. What was collected before a failure stays. Profiles are all
+    distinct ones; link pages are those followed or, where something failed,
+    all that were met before.
     """
     p = urls.withColumn("p", social_profile(F.col("url"))).where("p is not null").select("business_id", "ordinal", "p.*")
     p = p.withColumn("k", F.row_number().over(Window.partitionBy("business_id", "platform", F.coalesce("handle", "url")).orderBy("ordinal"))).where("k = 1")
+    profiles = p.select("business_id", "platform", "handle", "url", "ordinal")
     place = F.when(F.col("platform") == "facebook", 0).when(F.col("platform") == "instagram", 1).when(F.col("platform") == "tiktok", 2).otherwise(3)
     p = p.withColumn("k", F.row_number().over(Window.partitionBy("business_id").orderBy(place, "ordinal"))).where(F.col("k") <= MAX_PROFILES)
     derived = p.where("handle is not null").select("business_id", F.lit("derived").alias("origin"), "k", F.posexplode(handle_domains(F.col("handle"))).alias("n", "url"))
@@ -114,7 +122,8 @@ def social_channel(businesses: DataFrame, urls: DataFrame, results: DataFrame, s
     found = hits.select("business_id", F.lit("found").alias("origin"), "k", "rank", F.posexplode(F.concat(F.array(normalize_url(F.col("url"))), named)).alias("m", "url")).where("url is not null").withColumn("n", F.col("rank") * 1000 + F.col("m"))
     link_pages = found.where(is_link_page(F.col("url"))).groupBy("business_id", normalize_url(F.col("url")).alias("page")).agg(F.min(F.struct("k", "n")).alias("at"))
     whole = asked.groupBy("business_id").agg(F.first("failed").alias("failed"))
-    link_pages = link_pages.join(whole.where("failed is null").select("business_id"), "business_id").withColumn("j", F.row_number().over(Window.partitionBy("business_id").orderBy("at", "page"))).where(F.col("j") <= MAX_LINK_PAGES)
+    met = link_pages.withColumn("j", F.row_number().over(Window.partitionBy("business_id").orderBy("at", "page")))
+    link_pages = met.join(whole.where("failed is null").select("business_id"), "business_id").where(F.col("j") <= MAX_LINK_PAGES)
     key = F.concat(hostname(F.col("page")), F.regexp_replace(F.regexp_replace(F.regexp_replace("page", r"^[a-z]+://[^/?#]+", ""), r"[?#].*$", ""), "/$", ""))
     followed = link_pages.withColumn("host_path", key).join(pages.select("host_path", "links", "fetch_error", F.lit(True).alias("crawled")), "host_path", "left")
     bad = F.min(F.when(F.col("fetch_error").isNotNull() | F.col("crawled").isNull(), F.col("j"))).over(Window.partitionBy("business_id"))
@@ -128,7 +137,8 @@ def social_channel(businesses: DataFrame, urls: DataFrame, results: DataFrame, s
     every = without_seen(every, seen).withColumn("ordinal", F.row_number().over(Window.partitionBy("business_id").orderBy(step, "k", "n")))
     status = F.coalesce(F.first("failed.status"), F.when(F.max("bad").isNotNull(), "error"), F.lit("ok"))
     channel = businesses.select(F.col("id").alias("business_id")).join(whole, "business_id", "left").join(followed.groupBy("business_id").agg(F.max("bad").alias("bad")), "business_id", "left").groupBy("business_id").agg(F.lit("social_profile").alias("channel"), status.alias("status"))
-    return every.select("business_id", F.lit("social_profile").alias("channel"), "origin", "ordinal", "url", "domain"), channel
+    shown = met.join(channel.select("business_id", "status"), "business_id").where((F.col("status") != "ok") | (F.col("j") <= MAX_LINK_PAGES)).select("business_id", F.col("page").alias("url"), F.col("j").alias("ordinal"))
+    return every.select("business_id", F.lit("social_profile").alias("channel"), "origin", "ordinal", "url", "domain"), channel, profiles, shown
 
 
 def directory_status(listings: Column) -> Column:
@@ -142,18 +152,29 @@ def host_path(url: Column) -> Column:
     return F.concat(hostname(url), F.regexp_replace(rest, "/$", ""))
 
 
-def follow_redirects(candidates: DataFrame, hops: DataFrame, most: int = MAX_HOPS) -> DataFrame:
-    """Candidates with final_url and the chain of redirects; ``hops``: host_path, redirect_to. More than ``most`` hops leave too_many set.
+def redirect_paths(hops: DataFrame, steps: int) -> DataFrame:
+    """(at, path): where each address leads in up to ``steps`` redirects, at the most 2 * steps - 1; ``hops``: host_path, redirect_to.
 
-    Each hop is one join on narrow rows; targets that are not there end the chain.
+    Paths are put together from paths half as long, so log steps joins of the
+    hop table resolve it for all candidates; of two redirects of one address
+    the first in order counts.
     """
-    df = candidates.withColumns({"final_url": F.col("url"), "redirects": F.array().cast("array<string>")})
-    h = hops.where("redirect_to is not null").select(F.col("host_path").alias("at"), "redirect_to").dropDuplicates(["at"])
-    for _ in range(most):
-        df = df.withColumn("at", host_path(F.col("final_url"))).join(h, "at", "left")
-        df = df.withColumns({"redirects": F.when(F.col("redirect_to").isNotNull(), F.concat("redirects", F.array("redirect_to"))).otherwise(F.col("redirects")), "final_url": F.coalesce("redirect_to", "final_url")}).drop("at", "redirect_to")
-    last = df.withColumn("at", host_path(F.col("final_url"))).join(h, "at", "left")
-    return last.withColumn("too_many", F.col("redirect_to").isNotNull()).drop("at", "redirect_to")
+    one = hops.where("redirect_to is not null").groupBy(F.col("host_path").alias("at")).agg(F.min("redirect_to").alias("to"))
+    paths, n = one.select("at", F.array("to").alias("path")), 1
+    while n < steps:
+        paths = cut(paths)
+        on = paths.select(F.col("at").alias("end"), F.col("path").alias("more"))
+        both = paths.withColumn("end", host_path(F.element_at("path", -1))).join(on, "end", "left")
+        paths, n = both.select("at", F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path")), 2 * n
+    return paths
+
+
+def follow_redirects(candidates: DataFrame, hops: DataFrame, most: int = MAX_HOPS) -> DataFrame:
+    """Candidates with final_url and the chain of redirects. More than ``most`` hops leave too_many set; targets that are not there end a chain."""
+    paths = redirect_paths(hops, most + 1).select("at", F.slice("path", 1, most).alias("redirects"), (F.size("path") > most).alias("too_many"))
+    df = candidates.withColumn("at", host_path(F.col("url"))).join(paths, "at", "left").drop("at")
+    df = df.withColumns({"redirects": F.coalesce("redirects", F.array().cast("array<string>")), "too_many": F.coalesce("too_many", F.lit(False))})
+    return df.select(*candidates.columns, F.coalesce(F.try_element_at("redirects", F.lit(-1)), "url").alias("final_url"), "redirects", "too_many")
 
 
 def score_page() -> Column:
@@ -247,7 +268,7 @@ def channel_summary(channels: DataFrame) -> DataFrame:
 def candidate_summary(judged: DataFrame) -> DataFrame:
     """For each business: the best accepted and probable candidate, and whether any is unreachable, parked though declared, or ambiguous."""
     best = lambda d: F.max_by(F.struct("url", "score"), F.when(F.col("decision") == d, F.struct(F.col("score"), (-F.col("seq")).alias("k"))))
-    negative = F.exists("signals", lambda s: s.isin("phone_conflict", "postal_conflict", "name_absent"))
+    negative = F.exists("signals", lambda s: s.isin(*NEGATIVE))
     named = F.exists("signals", lambda s: s.isin("name_match", "name_match_partial"))
     return judged.groupBy("business_id").agg(
         best("ACCEPTED").alias("accepted"),
@@ -286,24 +307,61 @@ def website_status(least_channels: int = 2) -> Column:
     )
 
 
-def evidence(judged: DataFrame, channels: DataFrame, concluded: DataFrame) -> DataFrame:
-    """Statements of each verification in a stable order: identity, candidates, channels, conclusion; each supports, contradicts or is neutral."""
-    stance = F.when(F.col("decision") == "ACCEPTED", "supports").when(F.col("decision") == "REJECTED", "contradicts").otherwise("neutral")
-    rows = (
-        concluded.select("business_id", F.lit(0).alias("part"), F.lit(0).alias("k"), F.lit("identity").alias("kind"), F.col("identity_status").alias("code"), F.when(F.col("identity_status") == "CONFIRMED", "supports").otherwise("neutral").alias("stance"))
-        .unionByName(judged.select("business_id", F.lit(1).alias("part"), F.col("seq").alias("k"), F.lit("candidate").alias("kind"), F.concat_ws(":", "decision", "url").alias("code"), stance.alias("stance")))
-        .unionByName(channels.select("business_id", F.lit(2).alias("part"), _rank(F.col("channel"), CHANNELS).alias("k"), F.lit("channel").alias("kind"), F.concat_ws(":", "channel", "status").alias("code"), F.lit("neutral").alias("stance")))
-        .unionByName(concluded.select("business_id", F.lit(9).alias("part"), F.lit(0).alias("k"), F.lit("conclusion").alias("kind"), F.col("website_status").alias("code"), F.when(F.col("website_status").isin("VERIFIED_WEBSITE", "VERIFIED_NO_WEBSITE"), "supports").otherwise("neutral").alias("stance")))
-    )
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("business_id").orderBy("part", "k"))).drop("part", "k")
+@dataclass
+class Verified:
+    """What ``verify_websites`` found: conclusions, judged candidates, channel rows, and the social profiles, link pages and directory listings met."""
+
+    concluded: DataFrame
+    judged: DataFrame
+    channels: DataFrame
+    profiles: DataFrame
+    link_pages: DataFrame
+    listings: DataFrame
+
 
+#: Signals that count against a candidate.
+NEGATIVE = ("phone_conflict", "postal_conflict", "name_absent")
 
-def verify_websites(businesses: DataFrame, search: DataFrame, statuses: DataFrame, pages: DataFrame, hops: DataFrame, least_channels: int = 2, max_businesses: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(concluded businesses, judged candidates, channel rows) of all given businesses.
 
-    A business that comes out of no step gets REQUIRES_MANUAL_CHECK with
-    confidence 0, so a failed check never looks like a result. With
-    ``max_businesses`` only the first by id are checked.
+def evidence(found: Verified) -> DataFrame:
+    """(business_id, kind, code, url, stance, seq): the statements of each verification in a stable order.
+
+    Identity, candidates, channels, social profiles, followed link pages, up to
+    ``MAX_LISTINGS`` directory listings, conclusion. An accepted candidate
+    supports; a rejected one contradicts only if a signal speaks against it; a
+    channel that should have run and could not contradicts.
+    """
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, part: int, k: Column, kind: Column, code: Column, url: Column, stance: Column) -> DataFrame:
+        return df.select("business_id", F.lit(part).alias("part"), k.cast("long").alias("k"), kind.alias("kind"), code.cast("string").alias("code"), url.alias("url"), stance.alias("stance"))
+
+    against = F.exists("signals", lambda s: s.isin(*NEGATIVE))
+    of_candidate = F.when(F.col("decision") == "ACCEPTED", "supports").when((F.col("decision") == "REJECTED") & against, "contradicts").otherwise("neutral")
+    of_channel = F.when(F.col("status").isin("ok", "skipped"), "neutral").otherwise("contradicts")
+    neutral, zero = F.lit("neutral"), F.lit(0)
+    sure = F.when(F.col("identity_status") == "CONFIRMED", "supports").otherwise("neutral")
+    settled = F.when(F.col("website_status").isin("VERIFIED_WEBSITE", "VERIFIED_NO_WEBSITE"), "supports").otherwise("neutral")
+    parts = [
+        rows(found.concluded, 0, zero, F.lit("identity"), F.col("identity_status"), none, sure),
+        rows(found.judged, 1, F.col("seq"), F.concat(F.lit("candidate_"), F.lower("decision")), F.col("domain"), F.coalesce("final_url", "url"), of_candidate),
+        rows(found.channels, 2, _rank(F.col("channel"), CHANNELS), F.concat(F.lit("channel_"), "channel"), F.col("status"), none, of_channel),
+        rows(found.profiles, 3, F.col("ordinal"), F.lit("social_profile"), F.concat_ws(":", "platform", "handle"), F.col("url"), neutral),
+        rows(found.link_pages, 4, F.col("ordinal"), F.lit("link_in_bio"), registrable_domain(F.col("url")), F.col("url"), neutral),
+        rows(found.listings.where(F.col("ordinal") <= MAX_LISTINGS), 5, F.col("ordinal"), F.lit("directory_listing"), registrable_domain(F.col("url")), F.col("url"), neutral),
+        rows(found.concluded, 9, zero, F.lit("conclusion"), F.col("website_status"), F.col("website_url"), settled),
+    ]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("seq", F.row_number().over(Window.partitionBy("business_id").orderBy("part", "k", "url"))).drop("part", "k")
+
+
+def verify_websites(businesses: DataFrame, search: DataFrame, statuses: DataFrame, pages: DataFrame, hops: DataFrame, least_channels: int = 2, max_businesses: int | None = None) -> Verified:
+    """All given businesses against search results, crawled pages and redirects.
+
+    ``businesses`` may have ``social_urls``, social pages that the source
+    states beside the website. A business that comes out of no step gets
+    REQUIRES_MANUAL_CHECK with confidence 0, so a failed check never looks like
+    a result. With ``max_businesses`` only the first by id are checked.
     """
     if max_businesses is not None:
         businesses = businesses.orderBy("id").limit(max_businesses)
@@ -316,27 +374,65 @@ def verify_websites(businesses: DataFrame, search: DataFrame, statuses: DataFram
     found = hits.where("kind = 'candidate'").select("business_id", F.lit("search_engine").alias("channel"), F.lit("found").alias("origin"), "ordinal", "url", "domain")
     seen = declared.unionByName(found)
     social_urls = field.where("kind = 'social'").select("business_id", F.lit(0).alias("ordinal"), "url").unionByName(hits.where("kind = 'social'").select("business_id", "ordinal", "url"))
-    social_urls = cut(social_urls)
-    social, social_rows = social_channel(ready, social_urls, search, statuses, pages, seen)
-    social, social_rows = cut(social), cut(social_rows)
+    if "social_urls" in ready.columns:  # they come before the website field
+        stated = ready.select(F.col("id").alias("business_id"), F.posexplode("social_urls").alias("n", "url")).where(is_social(F.col("url")))
+        social_urls = social_urls.unionByName(stated.select("business_id", (F.col("n") - (1 << 20)).alias("ordinal"), "url"))
+    social_urls = cut(social_urls.groupBy("business_id", "url").agg(F.min("ordinal").alias("ordinal")))
+    social, social_rows, profiles, link_pages = (cut(x) for x in social_channel(ready, social_urls, search, statuses, pages, seen))
     guesses = ready.select(F.col("id").alias("business_id"), F.posexplode(domain_guesses()).alias("ordinal", "url")).withColumn("domain", registrable_domain(F.col("url")))
     guesses = without_seen(guesses, seen.select("business_id", "domain").unionByName(social.select("business_id", "domain"))).select("business_id", F.lit("domain_guess").alias("channel"), F.lit("derived").alias("origin"), "ordinal", "url", "domain")
     queue = cap_fetches(first_per_domain(seen.unionByName(social).unionByName(guesses)))
     judged = cut(judge_candidates(follow_redirects(cut(queue), hops), ready, pages))
-    listings = hits.where("kind = 'directory'").groupBy("business_id").agg(F.count("*").alias("n"))
+    listings = hits.where("kind = 'directory'").select("business_id", "url", "ordinal")
+    counted = listings.groupBy("business_id").agg(F.count("*").alias("n"))
     ids = ready.select(F.col("id").alias("business_id"))
     rows = search_rows.select("business_id", "channel", "status").unionByName(social_rows)
     for name in ("provider_field", "domain_guess"):
         rows = rows.unionByName(ids.select("business_id", F.lit(name).alias("channel"), F.lit("ok").alias("status")))
-    rows = rows.unionByName(ids.join(listings, "business_id", "left").select("business_id", F.lit("directory").alias("channel"), directory_status(F.col("n")).alias("status")))
-    profiles = social_urls.groupBy("business_id").agg(F.count("*").alias("n_profiles"))
+    rows = cut(rows.unionByName(ids.join(counted, "business_id", "left").select("business_id", F.lit("directory").alias("channel"), directory_status(F.col("n")).alias("status"))))
+    n_profiles = profiles.groupBy("business_id").agg(F.count("*").alias("n_profiles"))
     as_site = field.select("business_id", (F.col("kind") == "social").alias("social_as_website"))
     joined = businesses.select(F.col("id").alias("business_id"), "identity_status", "identity_confidence")
-    for part in (channel_summary(rows), candidate_summary(judged), profiles, as_site):
+    for part in (channel_summary(rows), candidate_summary(judged), n_profiles, as_site):
         joined = joined.join(part, "business_id", "left")
     joined = joined.withColumn("w", website_status(least_channels))
     concluded = joined.select("business_id", "identity_status", F.coalesce("w.status", F.lit("REQUIRES_MANUAL_CHECK")).alias("website_status"), F.coalesce("w.confidence", F.lit(0)).alias("website_confidence"), F.coalesce("accepted.url", "probable.url").alias("website_url"), "ok_channels", "blocked")
-    return cut(concluded), judged, cut(rows)
+    return Verified(cut(concluded), judged, rows, profiles, link_pages, listings)
+
+
+#: What a source's JSON says of websites.
+STATED = "website string, socialUrls array<string>"
+
+
+def check_stale(businesses: DataFrame, sources: DataFrame, search: DataFrame, statuses: DataFrame, pages: DataFrame, hops: DataFrame, as_of_ms: int, ttl_days: int = 30, failed: DataFrame | None = None) -> tuple[DataFrame, Verified]:
+    """(the businesses after the check, what was found): verify those that were never checked or too long ago.
+
+    ``sources``: provider, external_id, business_id, fetched_ms, raw_json. One
+    aggregation gives the latest payload, whose website and social pages are
+    looked at, and the number of sources, which corroborates the identity;
+    the stored identity status and confidence win over the computed ones.
+    Checked rows get website_status, website_confidence, website_url and
+    checked_ms; those in ``failed`` (business_id), whose check broke off, get
+    REQUIRES_MANUAL_CHECK with confidence 0 and no address. Others stay as
+    they are, so a second run at the same instant checks nothing.
+    """
+    due = stale(businesses, as_of_ms, ttl_days)
+    latest = sources.groupBy("business_id").agg(F.max_by("raw_json", F.struct("fetched_ms", "provider", "external_id")).alias("raw_json"), F.count("*").cast("int").alias("n_sources"))
+    raw = F.from_json("raw_json", STATED)
+    joined = due.join(latest.withColumnRenamed("business_id", "id"), "id", "left").withColumns({"stored_status": F.col("identity_status"), "stored_confidence": F.col("identity_confidence"), "website": raw["website"], "social_urls": raw["socialUrls"], "sources": F.coalesce("n_sources", F.lit(0)), "phone": F.coalesce(F.nullif("phone_e164", F.lit("")), "phone")})
+    built = build_identity(joined.drop("identity_status", "identity_confidence", "phone_e164")).withColumns({"identity_status": F.col("stored_status"), "identity_confidence": F.col("stored_confidence")})
+    found = verify_websites(built, search, statuses, pages, hops)
+    done = found.concluded.select(F.col("business_id").alias("id"), F.col("website_status").alias("new_status"), F.col("website_confidence").alias("new_confidence"), F.col("website_url").alias("new_url"))
+    if failed is not None:
+        broke = failed.select(F.col("business_id").alias("id"), F.lit(True).alias("broke")).distinct()
+        lost = F.coalesce("broke", F.lit(False))
+        done = done.join(broke, "id", "left").select("id", F.when(lost, "REQUIRES_MANUAL_CHECK").otherwise(F.col("new_status")).alias("new_status"), F.when(lost, 0).otherwise(F.col("new_confidence")).alias("new_confidence"), F.when(~lost, F.col("new_url")).alias("new_url"))
+    new = {"website_status": F.col("new_status"), "website_confidence": F.col("new_confidence"), "website_url": F.col("new_url"), "checked_ms": F.lit(as_of_ms).cast("long")}
+    checked = F.col("new_status").isNotNull()
+    out = businesses if "website_url" in businesses.columns else businesses.withColumn("website_url", F.lit(None).cast("string"))
+    names = out.columns
+    out = out.join(done, "id", "left").withColumns({c: F.when(checked, x).otherwise(F.col(c)) for c, x in new.items()})
+    return out.select(*names), found
 
 
 def keyword_search(queries: DataFrame, index: DataFrame, least: int = 2, k: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import identity as op
+from ..operators import matching
 from ..operators import places as pl
 from ..refdata import CATEGORIES
 from ..storage import cut
@@ -62,8 +63,7 @@ def j2_u1_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{DECIDED} SELECT * FROM best")
 def j02_d02_w04_match_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best decision of each discovered record."""
-    i, p = cut(incoming(spark, sf_dir)), cut(pool(spark, sf_dir))
-    return op.best_match(op.decide_pairs(op.blocking_pairs(i, p), i, p)).select("incoming_id", "business_id", "kind", "score", "reason_code")
+    return matching.match_records(incoming(spark, sf_dir), pool(spark, sf_dir))
 
 
 @query(f"""{DECIDED}, m AS (SELECT business_id, min(incoming_id) AS incoming_id FROM best WHERE kind = 'same' GROUP BY business_id), j AS (SELECT p.*, m.incoming_id IS NOT NULL AS touched, x.phone_e164 AS xp, x.street AS xs, x.postal_code AS xc, x.city AS xt, x.lat AS xlat, coalesce(p.phone_e164 <> x.phone_e164, false) AS c1, coalesce(p.postal_code <> x.postal_code, false) AS c2 FROM pool p LEFT JOIN m ON m.business_id = p.id LEFT JOIN inc x ON x.id = m.incoming_id)
@@ -72,7 +72,7 @@ CASE WHEN c1 OR c2 THEN 'NEEDS_REVIEW' WHEN touched AND identity_status <> 'NEED
 def d3_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: pool rows after matched records fill them."""
     i, p = cut(incoming(spark, sf_dir)), cut(pool(spark, sf_dir))
-    best = op.best_match(op.decide_pairs(op.blocking_pairs(i, p), i, p)).where("kind = 'same'")
+    best = matching.match_records(i, p).where("kind = 'same'")
     first = best.groupBy("business_id").agg(F.min("incoming_id").alias("id"))
     merged = op.merge_matched(p, i.join(first, "id"))
     return merged.select("id", "phone_e164", "street", "postal_code", "city", "lat", F.array_join("conflicts", ",").alias("conflicts"), "identity_status", "identity_confidence")

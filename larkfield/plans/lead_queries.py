@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import leads as op
 from ..refdata import LEAD_STATUSES, OUTCOME_STATUS
-from ..sources.records import run_items, upsert
+from ..sources.records import read_verifications, run_items, upsert, write_verifications
+from ..storage import shared_folder
 from . import sqltext as q
 from .catalog import query
 from .standins import AS_OF, view, with_views
@@ -229,15 +232,34 @@ def k1_upsert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(s, new, ["provider", "external_id"], "fetched_ms").select("provider", "external_id", "business_id", "fetched_ms", "raw_json")
 
 
-OUTCOME = "CASE k % 6 WHEN 0 THEN 'new' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'refreshed' WHEN 3 THEN 'excluded' WHEN 4 THEN 'needs_review' ELSE 'rejected' END"
+@query(f"""{with_views("v_verification", "v_judged", "v_channel")}, c AS (SELECT business_id AS verification_id, count(*) AS n, max(score) AS best FROM v_judged GROUP BY 1), e AS (SELECT business_id AS verification_id, count(*) AS n FROM v_channel GROUP BY 1)
+SELECT verification_id, concat('run', cast(finished_ms % 3 AS string)) AS run, status, coalesce(c.n, 0) AS candidates, c.best, coalesce(e.n, 0) AS statements FROM v_verification LEFT JOIN c USING (verification_id) LEFT JOIN e USING (verification_id)""")
+def k2_verification_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: three runs written with their candidates and statements, one of them twice, and read back and joined."""
+    path = f"{shared_folder(spark)}/verifications-{uuid.uuid4().hex}"
+    v = view(spark, sf_dir, "v_verification").withColumn("run_of", F.concat(F.lit("run"), (F.col("finished_ms") % 3).cast("string")))
+    judged, channels = (view(spark, sf_dir, name).withColumnRenamed("business_id", "verification_id") for name in ("v_judged", "v_channel"))
+    for run in ("run0", "run1", "run2", "run1"):
+        own = v.where(F.col("run_of") == run).drop("run_of")
+        ids = own.select("verification_id")
+        write_verifications(own, judged.join(ids, "verification_id"), channels.join(ids, "verification_id"), path, run)
+    t = read_verifications(spark, path)
+    c = t["candidates"].groupBy("run", "verification_id").agg(F.count("*").alias("candidates"), F.max("score").alias("best"))
+    e = t["evidence"].groupBy("run", "verification_id").agg(F.count("*").alias("statements"))
+    rows = t["verifications"].join(c, ["run", "verification_id"], "left").join(e, ["run", "verification_id"], "left")
+    return rows.select("verification_id", "run", "status", F.coalesce("candidates", F.lit(0)).alias("candidates"), "best", F.coalesce("statements", F.lit(0)).alias("statements"))
+
+
+OUTCOME = "CASE k % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'refreshed' WHEN 3 THEN 'needs_review' ELSE 'rejected' END"
 
 
-@query(f"""{with_views("v_business")}, i AS (SELECT concat('run', cast(k % 4 AS string)) AS run_id, {OUTCOME} AS outcome, checked_ms IS NULL AS failed, len({BLOCKERS}) = 0 AS qualifies FROM v_business) SELECT run_id, count(*) AS found, {", ".join(f"count_if(outcome = '{o}')::bigint AS n_{o}" for o in ("new", "duplicate", "refreshed", "excluded", "needs_review", "rejected"))},
+@query(f"""{with_views("v_business")}, i AS (SELECT concat('run', cast(k % 4 AS string)) AS run_id, {OUTCOME} AS outcome, k % 5 <> 0 AND k % 5 <> 1 AND k % 3 = 0 AS conflict, checked_ms IS NULL AS failed, len({BLOCKERS}) = 0 AS qualifies FROM v_business)
+SELECT run_id, count(*) AS found, count_if(outcome = 'new')::bigint AS n_new, count_if(outcome = 'duplicate')::bigint + count_if(outcome = 'needs_review' AND conflict)::bigint AS n_duplicate, count_if(outcome = 'refreshed')::bigint AS n_refreshed, count_if(outcome = 'needs_review')::bigint + count_if(outcome = 'refreshed' AND conflict)::bigint AS n_needs_review, count_if(outcome = 'rejected')::bigint AS n_excluded,
 count_if(NOT failed)::bigint AS verified, count_if(failed)::bigint AS verification_failures, count_if(NOT failed AND qualifies)::bigint AS qualified FROM i GROUP BY run_id""")
 def k3_a6_run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome rows of four runs, their verifications, and their nine counters."""
+    """Outcome rows of four runs, their verifications, and their counters."""
     b = view(spark, sf_dir, "v_business").withColumn("run_id", F.concat(F.lit("run"), (F.col("k") % 4).cast("string")))
-    rows = b.select("run_id", F.col("id").alias("incoming_id"), F.col("id").alias("business_id"), F.expr(OUTCOME).alias("outcome"))
+    rows = b.select("run_id", F.col("id").alias("incoming_id"), F.col("id").alias("business_id"), F.expr(OUTCOME).alias("outcome"), F.expr("k % 5 <> 0 AND k % 5 <> 1 AND k % 3 = 0").alias("conflict"))
     checks = b.select("run_id", F.col("checked_ms").isNull().alias("failed"), op.qualify()["qualifies"].alias("qualifies"))
     return op.run_statistics(run_items(rows, F.col("run_id")), checks)
 

@@ -96,4 +96,4 @@ def domain(h: str) -> str:
 
 def metres(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     h = f"(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
-    return f"(2 * 6371000.0 * asin(least(1.0, sqrt({h}))))"
+    return f"(2 * 6371000.0 * asin(CASE WHEN {h} > 1 THEN 1.0 ELSE sqrt({h}) END))"

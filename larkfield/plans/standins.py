@@ -20,7 +20,7 @@ HOURS = "CASE {k} % 8 WHEN 0 THEN 'Mo-Fr 09:00-18:00; Sa 10:00-14:00' WHEN 1 THE
 ZONE = "CASE {k} % 3 WHEN 0 THEN 'Europe/Berlin' WHEN 1 THEN 'America/New_York' ELSE 'UTC' END"
 
 VIEWS = {
-    "v_business": f"""SELECT c.c_custkey AS k, concat('b', lpad(cast(c.c_custkey AS string), 10, '0')) AS id, {NAME} AS name, {STREET} AS street,
+    "v_business": f"""SELECT p.p_partkey AS k, concat('b', lpad(cast(p.p_partkey AS string), 10, '0')) AS id, {NAME} AS name, {STREET} AS street,
         CASE WHEN {{k}} % 11 = 0 THEN NULL ELSE cast({{k}} % 90 + 1 AS string) END AS house_number, CASE WHEN {{k}} % 13 = 0 THEN NULL ELSE cast(10115 + ({{k}} % 40) * 7 AS string) END AS postal_code,
         {CITY} AS city, 'DE' AS country_code, CASE WHEN {{k}} % 17 = 0 THEN NULL ELSE 48 + cast({{k}} % 40 AS double) / 100 + cast({{k}} % 9 AS double) / 5000 END AS lat,
         CASE WHEN {{k}} % 17 = 0 THEN NULL ELSE 11 + cast({{k}} % 30 AS double) / 100 + cast({{k}} % 7 AS double) / 3000 END AS lon, {PHONE} AS phone,
@@ -29,7 +29,7 @@ VIEWS = {
         cast(50 + {{k}} % 51 AS int) AS identity_confidence, CASE {{k}} % 7 WHEN 0 THEN 'VERIFIED_WEBSITE' WHEN 1 THEN 'PROBABLE_WEBSITE' WHEN 2 THEN 'WEBSITE_UNCERTAIN' WHEN 3 THEN 'REQUIRES_MANUAL_CHECK' WHEN 4 THEN 'IDENTITY_UNVERIFIED' WHEN 5 THEN 'VERIFIED_NO_WEBSITE' ELSE CASE WHEN {{k}} % 2 = 0 THEN 'NOT_CHECKED' ELSE 'VERIFIED_NO_WEBSITE' END END AS website_status,
         CASE WHEN {{k}} % 12 = 0 THEN NULL ELSE cast(40 + {{k}} % 60 AS int) END AS website_confidence, CASE WHEN {{k}} % 6 = 0 THEN NULL ELSE {AS_OF} - cast({{k}} % 60 AS bigint) * 86400000 END AS checked_ms,
         CASE WHEN {{k}} % 19 = 0 THEN cast(1700000000000 AS bigint) ELSE NULL END AS excluded_ms, {{k}} % 23 = 0 AS is_demo
-        FROM customer c JOIN part p ON p.p_partkey = c.c_custkey""".replace("{k}", "c.c_custkey"),
+        FROM part p LEFT JOIN customer c ON c.c_custkey = p.p_partkey""".replace("{k}", "p.p_partkey"),
     "v_discovered": """SELECT concat('d', lpad(cast(b.k AS string), 10, '0')) AS id, CASE WHEN b.k % 2 = 0 THEN 'map' ELSE 'places' END AS provider, concat('x', cast(b.k AS string)) AS external_id,
         CASE b.k % 12 WHEN 0 THEN concat(upper(b.name), ' KG') WHEN 3 THEN concat(b.name, ' Filiale') WHEN 6 THEN ' ' ELSE b.name END AS name, CASE WHEN b.k % 15 = 0 THEN NULL ELSE b.street END AS street, b.house_number, b.postal_code,
         CASE WHEN b.k % 9 = 0 THEN NULL ELSE b.city END AS city, b.country_code, CASE WHEN b.k % 18 = 0 THEN NULL ELSE b.lat + cast(b.k % 4 AS double) / 4000 END AS lat, b.lon, CASE WHEN b.k % 21 = 0 THEN '+49 89 5551234' ELSE b.phone END AS phone, b.category, b.website
@@ -44,7 +44,7 @@ VIEWS = {
         CASE WHEN o.o_custkey % 4 = 0 THEN NULL ELSE concat('u', cast(cast(floor(o.o_custkey / 15.0) AS bigint) AS string)) END AS assigned_user_id, cast(o.o_custkey % 3 AS int) AS priority, cast(count(*) % 5 AS bigint) AS call_count,
         CASE WHEN count(*) % 5 = 0 THEN NULL ELSE {AS_OF} - cast(max(o.o_orderkey) AS bigint) * 60000 END AS last_call_ms,
         CASE WHEN o.o_custkey % 5 = 0 THEN {AS_OF} + (cast(o.o_custkey % 7 AS bigint) - 3) * 3600000 ELSE NULL END AS next_callback_ms
-        FROM orders o GROUP BY o.o_custkey HAVING count(*) >= 9""",
+        FROM orders o GROUP BY o.o_custkey""",
     "v_change": """SELECT o.o_orderkey AS change_id, concat('l', cast(o.o_custkey AS string)) AS lead_id, CASE o.o_orderstatus WHEN 'O' THEN 'called' WHEN 'F' THEN 'no_answer' ELSE 'interested' END AS to_status,
         1600000000000 + cast((o.o_orderkey * 7919) % 100000 AS bigint) * 60000 AS created_ms, concat('u', cast(cast(floor(o.o_orderkey / 150.0) AS bigint) AS string)) AS user_id FROM orders o""",
     "v_call": f"""SELECT e.event_id AS call_id, concat('l', cast(e.user_id AS string)) AS lead_id, concat('u', cast(cast(floor(e.event_id / 100.0) AS bigint) AS string)) AS user_id, {AS_OF} - cast((e.event_id * 7919) % 20000 AS bigint) * 60000 AS started_ms, {AS_OF} - cast((e.event_id * 31) % 20000 AS bigint) * 60000 AS updated_ms,

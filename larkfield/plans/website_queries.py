@@ -206,24 +206,42 @@ def j10_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d9_d14_d15_verify_websites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole verification of businesses against the given pages; its statements in order."""
-    concluded, judged, rows = verified(spark, sf_dir)
-    return op.evidence(judged, rows, concluded)
+    """The whole verification of businesses against the given pages; its statements in order."""
+    return op.evidence(verified(spark, sf_dir))
 
 
 @query()
 def d15_concluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conclusion for each business."""
-    return verified(spark, sf_dir)[0]
+    return verified(spark, sf_dir).concluded
 
 
-def verified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b = build_identity(view(spark, sf_dir, "v_business").drop("identity_status", "identity_confidence", "phone_e164"))
+#: Social pages that a source states beside the website.
+STATED = "CASE k % 7 WHEN 1 THEN array(concat('https://www.instagram.com/shop', cast(k AS string)), 'https://example.com/no-profile') WHEN 3 THEN array(concat('https://www.facebook.com/p', cast(k AS string))) END"
+
+
+def crawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(search results, query statuses, pages, redirects)."""
     pages = page_table(spark, sf_dir)
     results, statuses = search_tables(spark, sf_dir)
     moved = pages.select(F.concat(F.lit("site"), F.col("page_id").cast("string"), F.lit(".de/old")).alias("host_path"), F.concat(F.lit("https://"), "host_path").alias("redirect_to"))
     hops = spark.sql(HOPS.replace("FROM part p", f"FROM parquet.`{sf_dir}/part.parquet` p")).unionByName(moved)
-    return op.verify_websites(b, results_on_pages(results, pages), statuses, pages.drop("page_id"), hops)
+    return results_on_pages(results, pages), statuses, pages.drop("page_id"), hops
+
+
+def verified(spark: SparkSession, sf_dir: str) -> op.Verified:
+    b = view(spark, sf_dir, "v_business").drop("identity_status", "identity_confidence", "phone_e164").withColumn("social_urls", F.expr(STATED))
+    return op.verify_websites(build_identity(b), *crawled(spark, sf_dir))
+
+
+@query()
+def d15_stale_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D15 as a job: what is due is checked with the latest payload and the number of sources, and written back; every 50th check breaks off."""
+    b, sources = view(spark, sf_dir, "v_business"), view(spark, sf_dir, "v_sources")
+    payload = F.to_json(F.struct(F.when(F.col("fetched_ms") % 3 > 0, F.concat(F.lit("https://www.site"), (F.col("fetched_ms") % 90).cast("string"), F.lit(".de/x"))).alias("website"), F.array(F.concat(F.lit("https://www.facebook.com/"), "external_id")).alias("socialUrls")))
+    failed = b.where("k % 50 = 0").select(F.col("id").alias("business_id"))
+    after, _ = op.check_stale(b, sources.withColumn("raw_json", payload), *crawled(spark, sf_dir), as_of_ms=AS_OF, failed=failed)
+    return after.select("id", "identity_status", "website_status", "website_confidence", "website_url", "checked_ms")
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURE = "type string, id long, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"
 PLACE = "id string, displayName struct<text:string>, addressComponents array<struct<longText:string,types:array<string>>>, formattedAddress string, location struct<latitude:double,longitude:double>, internationalPhoneNumber string, websiteUri string, primaryType string"
@@ -61,12 +63,35 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], newest:
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new")
 
 
-def write_verifications(concluded: DataFrame, judged: DataFrame, statements: DataFrame, path: str) -> None:
-    """Three related tables in three folders."""
-    for name, df in (("verifications", concluded), ("candidates", judged), ("evidence", statements)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+#: The related tables of a verification run.
+RELATED = ("verifications", "candidates", "evidence")
+
+
+def write_verifications(concluded: DataFrame, judged: DataFrame, statements: DataFrame, path: str, run: str) -> None:
+    """Three related tables of one run under ``path``, visible all at once.
+
+    Each attempt writes folders of its own; the run's row in ``manifest``,
+    which names the attempt, is written last and replaces an earlier one. What
+    a broken attempt has left is named by no row and so never read.
+    """
+    spark, attempt = concluded.sparkSession, uuid.uuid4().hex
+    for name, df in zip(RELATED, (concluded, judged, statements), strict=True):
+        df.write.parquet(f"{path}/{name}/run={run}/attempt={attempt}")
+    spark.range(1).select(F.lit(attempt).alias("attempt")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/run={run}")
+
+
+def read_verifications(spark: SparkSession, path: str, schemas: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
+    """The related tables of all committed runs, each with ``run``; only the folders of the attempts that the manifest names are read."""
+    manifest = spark.read.schema("attempt string, run string").option("basePath", f"{path}/manifest").parquet(f"{path}/manifest")
+    committed = sorted((r.run, r.attempt) for r in manifest.collect())  # a row for each run
+    out = {}
+    for name in RELATED:
+        folders = [f"{path}/{name}/run={run}/attempt={attempt}" for run, attempt in committed]
+        reader = spark.read if schemas is None else spark.read.schema(schemas[name])
+        out[name] = reader.option("basePath", f"{path}/{name}").parquet(*folders).drop("attempt").withColumn("run", F.col("run").cast("string"))
+    return out
 
 
 def run_items(outcomes: DataFrame, run_id: str | Column) -> DataFrame:
-    """The log rows of a run, or of the runs that a column names: one for each record and its outcome."""
-    return outcomes.select(F.lit(run_id).alias("run_id"), "incoming_id", "business_id", "outcome")
+    """The log rows of a run, or of the runs that a column names: one for each record, its outcome, and whether it met a conflict."""
+    return outcomes.select(F.lit(run_id).alias("run_id"), "incoming_id", "business_id", "outcome", "conflict")
