@@ -11,12 +11,12 @@ in two halves while they have more than ``GROUP`` words; an interval of one
 place leaves only the words that differ there, which the alphabet bounds.
 
 A group is one sorted list (of reversed words, where the words share their
-ends). It is scanned once: the rows of the edit matrix, three cells wide, of
-all words of the group against a prefix of the list are kept on a stack, and
-the next word takes up the row at the length of the prefix that it shares with
-the one before. Words whose row exceeds one edit leave the stack at once, and
-the range of the list that shares a prefix is skipped as soon as only one word
-is left.
+ends). The edit matrix of a word against the list is three cells wide. A row
+is worked out once for a range of neighbours, as long as their LCPs say that
+they share a prefix, and taken on by the ranges that share one code point more;
+a range whose row exceeds one edit is skipped with all its words. The rows of
+all words and groups of a slice are carried from one prefix length to the next
+together.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint, map_batches, stored, text_or_empty
 
-#: Letters of a run, and what lower-cases A-Z only.
-RUN, LOWER = re.compile("[A-Za-zÀ-ÿ]+"), {k: k + 32 for k in range(65, 91)}
-#: Words of a group above which it is split.
-GROUP = 1_000
+#: Letters of a run.
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: Words of a group above which it is split, and about the code points of groups that are scanned together.
+GROUP, CELLS = 250, 100_000
 #: A code point that no word has; more than one edit.
 NONE, FAR = -1, 2
 
@@ -53,9 +53,10 @@ def count_words(docs: DataFrame, least_length: int = 5, least_count: int = 3, dr
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            total: Counter = Counter()
+            total: dict[str, int] = {}
+            get = total.get
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Counter(RUN.findall(text.translate(LOWER)))
+                own = Counter(RUN.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")))  # bytes lower A-Z only
                 if drop_of:
                     head = crc32(f"{key}:".encode())
                     for word, n in own.items():
@@ -64,11 +65,11 @@ def count_words(docs: DataFrame, least_length: int = 5, least_count: int = 3, dr
                             at = h % len(word)
                             word = word[:at] + word[at + 1 :]
                         if len(word) >= least_length:
-                            total[word] += n
+                            total[word] = get(word, 0) + n
                 else:
                     for word, n in own.items():
                         if len(word) >= least_length:
-                            total[word] += n
+                            total[word] = get(word, 0) + n
             return batch_of([*total], [*total.values()]) if total else None
 
         return step
@@ -111,75 +112,91 @@ def shared_prefix(a: str, b: str) -> int:
     return low
 
 
-def near_in_sorted(words: list[str]) -> list[tuple[int, int]]:
-    """(i, j), i < j, of all words of a sorted list of distinct words that are one edit apart."""
-    lcp = [0, *[shared_prefix(a, b) for a, b in pairwise(words)]]
+def near_in_sorted(words: list[str], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of all words of one group that are one edit apart; ``words`` are distinct in a group and sorted by ``group`` and themselves.
+
+    A range of the list is given by its first word, ``at``; the words of a
+    range share a prefix, and ``word`` is compared with it: ``before``, ``on``
+    and ``after`` are the edits between the prefix and the beginning of the
+    word that is one code point shorter, as long, and one longer. Only words
+    behind the first of the range are compared, so each pair is met once.
+    """
     lengths = np.array([*map(len, words)])
-    codes = np.full((len(words), lengths.max() + 3), NONE, np.int32)
-    for k, w in enumerate(words):
-        codes[k, 1 : len(w) + 1] = np.frombuffer(w.encode("utf-32-le"), np.int32)  # column j + 1 holds code point j
-    top = min(lcp[1:], default=0)  # what all have in common
-    everyone = np.arange(len(words))
-    first = (everyone, np.full(len(words), 1 if top else FAR, np.int8), np.zeros(len(words), np.int8), np.where(lengths > top, 1, FAR).astype(np.int8))
-    stack, found, k = [first], [], 0
-    while k < len(words):
-        word, n = words[k], lengths[k]
-        depth = min(lcp[k], top + len(stack) - 1) if k else top
-        del stack[depth - top + 1 :]
-        while depth < n and len(stack[-1][0]) > 1:
-            alive, before, on, after = stack[-1]
-            depth += 1
-            c = ord(word[depth - 1])
-            cells = codes[alive, depth - 1 : depth + 2] != c  # code points depth - 2, depth - 1 and depth of the other words
-            one = np.minimum(before + cells[:, 0], on + 1)
-            two = np.minimum(np.minimum(on + cells[:, 1], after + 1), one + 1)
-            three = np.minimum(after + cells[:, 2], two + 1)
-            left = lengths[alive] - depth  # cells beyond a word's end do not count
-            two = np.where(left >= 0, two, FAR)
-            three = np.where(left >= 1, three, FAR)
-            good = np.minimum(np.minimum(one, two), three) < FAR
-            stack.append((alive[good], one[good], two[good], three[good]))
-        alive, before, on, after = stack[-1]
-        if len(alive) > 1 and depth == n:
-            left = lengths[alive] - n
-            edits = np.select([left == -1, left == 0, left == 1], [before, on, after], FAR)
-            found += [(k, j) for j in alive[(edits == 1) & (alive > k)].tolist()]
-        k += 1
-        if len(alive) < 2:  # nothing but the word itself: skip what shares this prefix
-            while k < len(words) and lcp[k] >= depth:
-                k += 1
-    return found
+    codes = np.full((len(words), lengths.max() + 3), NONE, np.int32)  # column j + 1 holds code point j
+    inside = np.arange(lengths.max())[None] < lengths[:, None]
+    codes[:, 1 : lengths.max() + 1][inside] = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
+    lcp = np.full(len(words), -1)
+    lcp[1:] = (codes[1:, 1:] != codes[:-1, 1:]).argmax(axis=1)
+    lcp[1:][group[1:] != group[:-1]] = -1
+    first = np.flatnonzero(lcp < 0)
+    size = np.diff(np.append(first, len(words)))
+    at, word = np.repeat(first, size), np.arange(len(words))
+    at, word = at[word > at], word[word > at]
+    before, on, after = np.full(len(at), FAR, np.int8), np.zeros(len(at), np.int8), np.ones(len(at), np.int8)
+    found, depth = [], 0
+    while len(at):
+        ends = lengths[at] == depth  # the first word of the range is the prefix itself
+        if ends.any():
+            left = lengths[word[ends]] - depth
+            edits = np.select([left == -1, left == 0, left == 1], [before[ends], on[ends], after[ends]], FAR)
+            found.append((at[ends][edits == 1], word[ends][edits == 1]))
+        heads = np.flatnonzero(lcp < depth)
+        ranges = np.flatnonzero((lcp <= depth) & (lengths > depth))  # that share one code point more
+        stop = np.append(heads, len(words))[np.searchsorted(heads, at, side="right")]
+        low, high = np.searchsorted(ranges, at), np.searchsorted(ranges, stop)
+        n = high - low
+        own = np.repeat(np.arange(len(at)), n)
+        at = ranges[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + low[own]]
+        word = word[own]
+        behind = word > at
+        own, at, word = own[behind], at[behind], word[behind]
+        depth += 1
+        c = codes[at, depth]
+        one = np.minimum(before[own] + (codes[word, depth - 1] != c), on[own] + 1)
+        two = np.minimum(np.minimum(on[own] + (codes[word, depth] != c), after[own] + 1), one + 1)
+        three = np.minimum(after[own] + (codes[word, depth + 1] != c), two + 1)
+        left = lengths[word] - depth  # cells beyond a word's end do not count
+        two, three = np.where(left >= 0, two, FAR), np.where(left >= 1, three, FAR)
+        good = np.minimum(np.minimum(one, two), three) < FAR
+        at, word, before, on, after = at[good], word[good], one[good], two[good], three[good]
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def near_in_groups(rows: list[tuple]) -> list[tuple]:
+    """(word, n_near, near_n, near) from whole groups of rows (word, n, shorter, low, high, ...)."""
+    line, last = [], None
+    for k, (word, _, *key) in enumerate(rows):
+        if key != last:
+            last, number = key, k
+        line.append((number, word if key[1] else word[::-1], k))  # words that share their ends are read from there
+    line.sort()
+    count: Counter = Counter()
+    best: dict[tuple, tuple] = {}
+    for i, j in zip(*(x.tolist() for x in near_in_sorted([w for _, w, _ in line], np.array([g for g, _, _ in line]))), strict=True):
+        a, b = rows[line[i][2]], rows[line[j][2]]
+        if min(len(a[0]), len(b[0])) == a[2] and a[3] <= shared_prefix(a[0], b[0]) < a[4]:
+            for x, y in ((a, b), (b, a)):
+                count[x[0]] += 1
+                best[x[0]] = min(best.get(x[0], (0, "")), (-y[1], y[0]))
+    return [(w, m, -best[w][0], best[w][1]) for w, m in count.items()]
 
 
 def near_counts(groups: DataFrame) -> DataFrame:
     """(word, n_near, best): for each word of a group its near words in this group and the most frequent of them (ties: the first in code-point order)."""
     def make():
-        held: dict = {"key": None, "words": {}}
-
-        def flush() -> list[tuple]:
-            words, key = held["words"], held["key"]
-            if len(words) < 2:
-                return []
-            shorter, low, high, _ = key
-            order = sorted(words) if low else sorted(words, key=lambda w: w[::-1])
-            line = order if low else [w[::-1] for w in order]
-            count, best = Counter(), {}
-            for i, j in near_in_sorted(line):
-                a, b = order[i], order[j]
-                if min(len(a), len(b)) == shorter and low <= shared_prefix(a, b) < high:
-                    for x, y in ((a, b), (b, a)):
-                        count[x] += 1
-                        best[x] = min(best.get(x, (0, "")), (-words[y], y))
-            return [(x, m, -best[x][0], best[x][1]) for x, m in count.items()]
+        held: list[tuple] = []
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            out = []
-            for word, n, last, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != held["key"]:
-                    held.update(key=key, words={})
-                held["words"][word] = n
-                if last:
-                    out += flush()
+            out, at, cells = [], 0, 0
+            last = batch.column(2).to_pylist()
+            held.extend(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6)), strict=True))
+            shift = len(held) - len(last)
+            for k, ends in enumerate(last):
+                cells += held[shift + k][2] + 4
+                if ends and (cells > CELLS or not any(last[k + 1 :])):
+                    out += near_in_groups(held[at : shift + k + 1])
+                    at, cells = shift + k + 1, 0
+            del held[:at]
             return batch_of(*map(list, zip(*out, strict=True))) if out else None
 
         return step

@@ -214,11 +214,14 @@ def one_edit(a: str, b: str) -> bool:
 
 def test_sorted_scan_finds_all_near_words():
     rng = random.Random(8)
-    for _ in range(200):
-        front = rng.choice(["", "x", "xé"])
-        words = sorted({front + "".join(rng.choice("abé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(2, 60))})
-        want = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if one_edit(words[i], words[j])]
-        assert sorted(spellings.near_in_sorted(words)) == want
+    for _ in range(100):
+        words, group = [], []
+        for g in range(rng.randint(1, 5)):
+            front = rng.choice(["", "x", "xé"])
+            own = sorted({front + "".join(rng.choice("abé") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(1, 60))})
+            words, group = words + own, group + [g] * len(own)
+        want = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if group[i] == group[j] and one_edit(words[i], words[j])]
+        assert sorted(zip(*(x.tolist() for x in spellings.near_in_sorted(words, np.array(group))), strict=True)) == want
 
 
 def variants(counts: dict[str, int]) -> dict[str, tuple]:
