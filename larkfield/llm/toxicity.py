@@ -11,10 +11,10 @@ from a score that has not seen them: the rows are dealt into folds, a binary
 model of the other folds scores each, and toxic rows have grade 1, 2 or 3 by
 the third of the toxic rows' scores they are in. Other rows have grade 0.
 
-The fit uses a bounded sample of labelled rows (``sample``) and is itself
-bounded: the ``features`` with the strongest association are weighted, all
-others have weight zero. Feature counts are summed in Spark, and the driver
-only sees the chosen features and, for each sampled row, which it has.
+The fit uses a bounded sample of labelled rows (``sample``), which bounds the
+features too: every one that ``LEAST_ROWS`` sampled rows have is weighted.
+Feature counts are summed in Spark; the driver sees the features and, for each
+sampled row, the numbers of those that it has, and fits them in blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import batch_of, columns, map_batches, text_or_empty
 GRADES, FOLDS, FOLD_STEPS = 3, 2, 150
 #: The least rows that have a feature.
 LEAST_ROWS = 5
+#: Ones of the sparse matrix that a step of the fit takes at a time.
+BLOCK = 1 << 20
 PREFIX = 5
 #: ASCII punctuation becomes a space.
 SPACED = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -72,7 +74,9 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
     for step in range(1, steps + 1):
         weights, first, gaps = params[:n_features], params[n_features], np.exp(params[n_features + 1 :])
         thresholds = first + np.concatenate([[0], np.cumsum(gaps)])
-        z = np.bincount(rows, weights[cols], n)
+        z = np.zeros(n)
+        for k in range(0, len(cols), BLOCK):
+            z += np.bincount(rows[k : k + BLOCK], weights[cols[k : k + BLOCK]], n)
         above = 1 / (1 + np.exp(-np.clip(z[:, None] - thresholds[None], -30, 30)))
         full = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
         slope = full * (1 - full)
@@ -83,7 +87,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
         dt[at] += slope[at] / p / n
         dt[at[0], grades + 1] -= slope[at[0], grades + 1] / p / n
         dt = dt[:, 1 : top + 1].sum(axis=0)
-        grad = np.concatenate([np.bincount(cols, dz[rows], n_features) + penalty * weights / n, [dt.sum()], dt[::-1].cumsum()[::-1][1:] * gaps])
+        slopes = penalty * weights / n
+        for k in range(0, len(cols), BLOCK):
+            slopes += np.bincount(cols[k : k + BLOCK], dz[rows[k : k + BLOCK]], n_features)
+        grad = np.concatenate([slopes, [dt.sum()], dt[::-1].cumsum()[::-1][1:] * gaps])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return params[:n_features], params[n_features] + np.concatenate([[0], np.cumsum(np.exp(params[n_features + 1 :]))])
@@ -100,7 +107,7 @@ def severity_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_fea
         seen = fold != k
         if toxic[seen].min() == toxic[seen].max():
             continue
-        place, own = np.cumsum(seen) - 1, seen[rows]
+        place, own = (np.cumsum(seen) - 1).astype(np.int32), seen[rows]
         weights, _ = fit_ordinal(place[rows[own]], cols[own], toxic[seen], n_features, FOLD_STEPS)
         score[~seen] = np.bincount(rows, weights[cols], n)[~seen]
     grades, bad = np.zeros(n, int), np.flatnonzero(toxic == 1)
@@ -110,7 +117,7 @@ def severity_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_fea
     return grades
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most about ``sample`` labelled rows, taken by a hash of their ids.
 
     Rows without a label or with a null id are passed over; a document that is
@@ -141,22 +148,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, featu
     both = F.when(long, F.array(F.concat(F.lit(b"="), F.col("word")), F.concat(F.lit(b"^"), F.substring("word", 1, PREFIX)))).otherwise(F.array(F.concat(F.lit(b"="), F.col("word"))))
     held = worded.select("id", "toxic", F.explode("words").alias("word")).select("id", "toxic", F.explode(both).alias("feature")).distinct()
     counts = held.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(F.col("bad") + F.col("good") >= LEAST_ROWS)
-    odds = F.log((F.col("bad") + 0.5) / (totals[1] + 1)) - F.log((F.col("good") + 0.5) / (totals[0] + 1))
-    chosen = counts.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "feature").limit(features).collect()
-    index = {bytes(r.feature): k for k, r in enumerate(chosen)}
+    index = {bytes(r.feature): k for k, r in enumerate(counts.select("feature").orderBy("feature").collect())}
 
     def make_rows():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted({index[f] for w in words for f in features_of(w) if f in index}) for words in batch.column(2).to_pylist()]
-            return batch_of(batch.column(1), pa.array(found, pa.list_(pa.int32())))
+            found = [np.array(sorted({index[f] for w in words for f in features_of(w) if f in index}), "<i4").tobytes() for words in batch.column(2).to_pylist()]
+            return batch_of(batch.column(1), pa.array(found, pa.binary()))
 
         return step
 
-    sampled = map_batches(worded, make_rows, "toxic int, found array<int>").collect()
-    sampled.sort(key=lambda r: (r.toxic, r.found))
-    lengths = [len(r.found) for r in sampled]
-    at, cols = np.repeat(np.arange(len(sampled)), lengths), np.array([c for r in sampled for c in r.found], int)
-    grades = severity_grades(at, cols, np.array([r.toxic for r in sampled]), len(index))
+    sampled = sorted((r.toxic, bytes(r.found)) for r in map_batches(worded, make_rows, "toxic int, found binary").collect())
+    lengths = [len(found) // 4 for _, found in sampled]
+    at, cols = np.repeat(np.arange(len(sampled), dtype=np.int32), lengths), np.frombuffer(b"".join([found for _, found in sampled]), "<i4")
+    grades = severity_grades(at, cols, np.array([t for t, _ in sampled]), len(index))
     grades = np.unique(grades, return_inverse=True)[1]  # grades that occur, from 0 without gaps
     weights, thresholds = fit_ordinal(at, cols, grades, len(index))
     return OrdinalModel({f: float(weights[k]) for f, k in index.items()}, thresholds.tolist())
