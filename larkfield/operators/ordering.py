@@ -35,9 +35,9 @@ def successors(times: DataFrame, gap: int) -> DataFrame:
     marks = times.select("key", F.col("at").alias("t"), F.lit(1).alias("kind"), "at").unionByName(times.select("key", (F.col("at") + gap).alias("t"), F.lit(0).alias("kind"), "at"))
     dealt = in_ranges(marks, ["key"], ["t", "kind"])
     seen = F.when(F.col("kind") == 1, F.col("t"))
-    ahead = Window.partitionBy("key", "part").orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("key", "part").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)  # from behind: a frame up to the end would be read anew for every row
     firsts = dealt.groupBy("key", "part").agg(F.min(seen).alias("first"))
-    later = firsts.select("key", "part", F.min("first").over(Window.partitionBy("key").orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    later = firsts.select("key", "part", F.min("first").over(Window.partitionBy("key").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
     return dealt.withColumn("here", F.min(seen).over(ahead)).where("kind = 0").join(later, ["key", "part"]).select("key", "at", F.coalesce("here", "later").alias("to")).where("to is not null")
 
 
