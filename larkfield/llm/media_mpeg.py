@@ -158,18 +158,23 @@ def parse_id3v2(data: bytes) -> tuple[int, dict[str, str]]:
 
 
 def parse_table(frame: bytes, head: Header) -> dict:
-    """The Xing, Info or VBRI table of a first frame: name, frames, bytes and toc (what it has)."""
+    """The Xing, Info or VBRI table of a first frame: name, and of frames, bytes, toc (Xing: 100 places) or entries (VBRI: bytes of each ``per`` frames) what the frame really holds."""
     at = 4 + 2 * head.protected + head.side
-    if frame[at : at + 4] in (b"Xing", b"Info"):
-        flags, out, p = struct.unpack(">I", frame[at + 4 : at + 8])[0], {"name": frame[at : at + 4].decode()}, at + 8
-        for bit, name in ((1, "frames"), (2, "bytes")):
-            if flags & bit:
-                out[name] = struct.unpack(">I", frame[p : p + 4])[0]
-                p += 4
-        return out | ({"toc": frame[p : p + 100]} if flags & 4 else {})
+    if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
+        flags, out, p = int.from_bytes(frame[at + 4 : at + 8]), {"name": frame[at : at + 4].decode()}, at + 8
+        for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
+            if flags & bit and len(frame) >= p + size:
+                out[name] = frame[p : p + size] if name == "toc" else int.from_bytes(frame[p : p + size])
+            p += size * bool(flags & bit)
+        return out
     if frame[36:40] == b"VBRI" and len(frame) >= 54:
         size, frames = struct.unpack(">II", frame[46:54])
-        return {"name": "VBRI", "frames": frames, "bytes": size}
+        out = {"name": "VBRI", "frames": frames, "bytes": size}
+        if len(frame) >= 62:
+            n, scale, width, per = struct.unpack(">HHHH", frame[54:62])
+            if 1 <= width <= 4 and len(frame) >= 62 + n * width:
+                out |= {"per": per, "entries": [scale * int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width]) for k in range(n)]}
+        return out
     return {}
 
 
