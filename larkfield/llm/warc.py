@@ -32,14 +32,19 @@ from .common import SLICE_ROWS, batch_of, map_batches
 
 RECORD = "record_type string, record_id string, date string, target_uri string, content_type string, headers map<string,string>, block binary"
 SPACE = uuid.NAMESPACE_URL
-#: Elements whose content is no text, and those that end a line.
-HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>")
+#: Elements whose content is no text (``open`` is set where nothing closes one), the same where no ``>`` follows, and elements that end a line.
+HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|(?P<open>\Z))|<!--.*?(?:-->|(?P<open_comment>\Z))|<![^>]*>|<\?[^>]*>")
+HIDDEN_TAIL = re.compile(r"(?is)<(?:script|style|noscript|template)\b.*|<!--.*")
 BREAKS = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul|title|body|head|html)\b[^>]*>")
 TAG = re.compile(r"<[a-zA-Z/][^>]*>")
-TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-LINK = re.compile(r"""(?is)<(a|area|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+TITLE, TITLE_END = re.compile(r"(?i)<title[^>]*>"), re.compile(r"(?i)</title\s*>")
+LINK = re.compile(r"(?i)<(a|area|link|img|script|iframe)\b")
+TARGET = re.compile(r"""(?i)\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+#: Bytes that are unpacked at a time.
+PIECE = 1 << 16
 CHUNK_SIZE = re.compile(rb"[0-9a-fA-F]{1,15}")
 VERSION, START = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"(?<=\r\n\r\n)WARC/1\.[01]\r\n")
+LINE_ENDS = re.compile(r"[\r\n]+")
 CHARSET = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
 
 
@@ -55,13 +60,71 @@ def urn(*parts: str | bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, name.hexdigest())}>"
 
 
+def in_closed(pattern: re.Pattern, new: str, text: str) -> str:
+    """``pattern.sub`` up to the last ``>``: behind it no tag ends, and a pattern would read to the end from every ``<``."""
+    end = text.rfind(">") + 1
+    return pattern.sub(new, text[:end]) + text[end:]
+
+
+def shown(markup: str) -> str:
+    """The page without hidden elements; what nothing closes is hidden to the end."""
+    end, left = markup.rfind(">") + 1, []
+
+    def drop(m: re.Match) -> str:
+        left.append(m["open"] is not None or m["open_comment"] is not None)
+        return " "
+
+    front = HIDDEN.sub(drop, markup[:end])
+    return front if left and left[-1] else front + HIDDEN_TAIL.sub(" ", markup[end:])
+
+
 def plain_text(markup: str) -> str:
-    """The readable text of a page: hidden elements and tags removed, entities decoded, one line for each block."""
-    text = TAG.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", markup)))
+    """The readable text of a page: hidden elements and tags removed, entities decoded, one line for each block. The time is linear in the page."""
+    text = in_closed(TAG, "", in_closed(BREAKS, "\n", shown(markup)))
     lines = (" ".join(line.split()) for line in htmllib.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(markup: str) -> str:
+    front = markup[: markup.rfind(">") + 1]
+    start = TITLE.search(front)
+    end = TITLE_END.search(front, start.end()) if start else None
+    return " ".join(htmllib.unescape(front[start.end() : end.start()]).split()) if end else ""
+
+
+def outlinks(markup: str) -> Iterator[tuple[str, str, str]]:
+    """(tag, attribute, target) of the first target in each linking tag. The page is read forward once."""
+    at, target = 0, TARGET.search(markup)
+    while target and (tag := LINK.search(markup, at)):
+        end = markup.find(">", tag.end())
+        end = len(markup) if end < 0 else end
+        if target.start() < tag.end():
+            target = TARGET.search(markup, tag.end())
+        if target and target.start() < end:
+            yield tag[1].lower(), target[1].lower(), target[2] or target[3] or target[4] or ""
+            at = target.end()
+        else:
+            at = end  # the tags before this end have no target either
+
+
+def inflated(data: bytes, mode: int) -> tuple[bytes, int, bool]:
+    """(what could be unpacked, where that ends in ``data``, whether all is sound); what comes before damage is kept."""
+    stream, out = zlib.decompressobj(mode), []
+    for at in range(0, len(data), PIECE):
+        piece, before = data[at : at + PIECE], stream.copy()
+        try:
+            out.append(stream.decompress(piece))
+        except zlib.error:
+            for k in range(len(piece)):
+                try:
+                    out.append(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    return b"".join(out), at + k, False
+        if stream.eof:
+            return b"".join(out), at + len(piece) - len(stream.unused_data), True
+    return b"".join(out), len(data), False
+
+
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and body of an HTTP message; without an empty line all is body."""
     front, gap, body = block.partition(b"\r\n\r\n")
@@ -87,18 +150,15 @@ def unchunked(body: bytes) -> bytes:
 
 
 def entity(body: bytes, headers: list[tuple[str, str]]) -> bytes:
-    """The body after its transfer and content encodings; what is broken or of an unknown encoding is left as it is."""
+    """The body after its transfer and content encodings. Of a damaged body what comes before the damage is kept; one of which nothing can be read, or of an unknown encoding, is left as it is."""
     named = {k.lower(): v.lower() for k, v in headers}
     if "chunked" in named.get("transfer-encoding", ""):
         body = unchunked(body)
     for coding in reversed([c.strip() for c in named.get("content-encoding", "").split(",")]):
         modes = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ())
-        for mode in modes:
-            try:
-                body = zlib.decompressobj(mode).decompress(body)
-                break
-            except zlib.error:
-                continue
+        found = [inflated(body, mode) for mode in modes]
+        best = next((x for x in found if x[2]), max(found, key=lambda x: len(x[0]), default=(b"", 0, False)))
+        body = best[0] if best[2] or best[0] else body
     return body
 
 
@@ -146,12 +206,11 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 
 def metadata_block(first: str, headers: list[tuple[str, str]], markup: str, charset: str, source: dict[str, str]) -> bytes:
     """application/warc-fields: what the source response said and what its page holds."""
-    title = TITLE.search(markup)
     fields = [("http-status", first.split(" ")[1] if first.count(" ") else "")]
     fields += [(f"http-header-{k.lower()}", v) for k, v in headers]
     fields += [(f"source-{k.lower()}", v) for k, v in sorted(source.items()) if k.lower().endswith("digest")]
-    fields += [("charset", charset), ("title", " ".join(htmllib.unescape(title[1]).split()) if title else "")]
-    fields += [("outlink", f"{' '.join(htmllib.unescape(a or b or c).split())} {tag.lower()}/@{attr.lower()}") for tag, attr, a, b, c in LINK.findall(markup)]
+    fields += [("charset", charset), ("title", title_of(markup))]
+    fields += [("outlink", f"{' '.join(htmllib.unescape(target).split())} {tag}/@{attr}") for tag, attr, target in outlinks(markup)]
     return "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "surrogatepass")
 
 
@@ -194,10 +253,10 @@ def derive(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def record_bytes(row: dict) -> bytes:
-    """A record as it stands in a file, without the two line ends after it."""
+    """A record as it stands in a file, without the two line ends after it. Line ends inside a field become spaces, so no value can add a field."""
     block = row["block"] or b""
     named = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["date"]), ("WARC-Target-URI", row["target_uri"]), *dict(row["headers"] or ()).items(), ("Content-Type", row["content_type"]), ("Content-Length", str(len(block)))]
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named if v)).encode("utf-8", "surrogatepass") + b"\r\n" + block
+    return ("WARC/1.1\r\n" + "".join(f"{LINE_ENDS.sub(' ', k)}: {LINE_ENDS.sub(' ', v)}\r\n" for k, v in named if v)).encode("utf-8", "surrogatepass") + b"\r\n" + block
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -221,16 +280,15 @@ def unpacked(data: bytes) -> bytes:
     """What a file holds: gzip members, one for each record or one for all, are joined; a broken member gives what can be read of it."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(data) + member.flush())
-        except zlib.error:
-            nxt = data.find(b"\x1f\x8b\x08", 2)
-            data = data[nxt:] if nxt > 0 else b""
-            continue
-        data = member.unused_data
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        body, n, sound = inflated(data[at:], 31)
+        out.append(body)
+        at += n
+        if not sound:
+            out.append(b"\r\n\r\n")  # the next record starts after an empty line
+            nxt = data.find(b"\x1f\x8b\x08", max(at, 2))
+            at = nxt if nxt >= 0 else len(data)
     return b"".join(out)
 
 
