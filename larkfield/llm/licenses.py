@@ -22,6 +22,7 @@ pass without a shuffle, and the templates' index is a bounded closure.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from math import ceil, log, log2
 from pathlib import Path
@@ -140,9 +141,9 @@ class TemplateIndex:
         out = np.multiply(high, self.a[k], out=out)
         return np.add(out, self.b[k], out=out)
 
-    def scan(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, int, int]]]:
-        """For each document template -> (containment, first shingle, last shingle) of its best window (then the first)."""
-        found: list[dict[int, tuple[float, int, int]]] = [{} for _ in docs]
+    def scan(self, docs: list[np.ndarray]) -> list[set[tuple[int, float, int, int]]]:
+        """For each document (template, containment, first shingle, last shingle) of all places where windows hold enough of a template; places of one template may overlap."""
+        found: list[set[tuple[int, float, int, int]]] = [set() for _ in docs]
         some = [k for k, h in enumerate(docs) if len(h)]
         if not some or not self.widths:
             return found
@@ -172,14 +173,38 @@ class TemplateIndex:
                             self._check(docs[some[k]], t, int(heads[at] - firsts[k]) * BLOCK, 2 * stride, found[some[k]])
         return found
 
-    def _check(self, hashes: np.ndarray, t: int, start: int, size: int, found: dict) -> None:
+    def _check(self, hashes: np.ndarray, t: int, start: int, size: int, found: set) -> None:
+        own, n = self.sets[t], len(self.sets[t])
         window = hashes[start : start + size].tolist()
-        share = len(self.sets[t].intersection(window)) / len(self.sets[t])
-        if share >= self.containment:
-            places = [start + k for k, x in enumerate(window) if x in self.sets[t]]
-            best = found.get(t)
-            if best is None or (-share, places[0]) < (-best[0], best[1]):
-                found[t] = share, places[0], places[-1]
+        if len(own.intersection(window)) < self.containment * n:
+            return
+        spots = [(start + k, x) for k, x in enumerate(window) if x in own]
+        todo, places = [spots], set()
+        while todo:  # the densest place, then what lies before and behind it
+            part = todo.pop()
+            count, low, high = self._densest(part, n)
+            if count >= self.containment * n:
+                places.add((t, count / n, part[low][0], part[high][0]))
+                todo += [x for x in (part[:low], part[high + 1 :]) if len(x) >= self.containment * n]
+        if not places:  # wider apart than a template is long
+            places.add((t, len({x for _, x in spots}) / n, spots[0][0], spots[-1][0]))
+        found |= places
+
+    @staticmethod
+    def _densest(spots: list[tuple[int, int]], n: int) -> tuple[int, int, int]:
+        """(distinct shingles, first spot, last spot) of the stretch of at most 1.5 * ``n`` places that holds most, cut to what it needs."""
+        inside: Counter = Counter()
+        best, low = (0, 0, 0), 0
+        for high, (at, x) in enumerate(spots):
+            inside[x] += 1
+            while spots[low][0] < at - 1.5 * n or inside[spots[low][1]] > 1:
+                inside[spots[low][1]] -= 1
+                if not inside[spots[low][1]]:
+                    del inside[spots[low][1]]
+                low += 1
+            if len(inside) > best[0]:
+                best = len(inside), low, high
+        return best
 
 
 def read_templates(folder: str) -> dict[str, str]:
@@ -187,11 +212,13 @@ def read_templates(folder: str) -> dict[str, str]:
     return {p.name: p.read_text("utf-8", "replace") for p in sorted(Path(folder).iterdir()) if p.is_file() and not p.is_symlink()}
 
 
-def told_apart(found: dict[int, tuple[float, int, int]], sizes: list[int]) -> dict[int, tuple[float, int, int]]:
-    """The hits without those that overlap a better one: higher containment, then more shingles."""
-    rank = {t: (share, sizes[t]) for t, (share, _, _) in found.items()}
-    beaten = {t for t, (_, a, b) in found.items() if any(rank[o] > rank[t] and x <= b and a <= y for o, (_, x, y) in found.items())}
-    return {t: hit for t, hit in found.items() if t not in beaten}
+def told_apart(found: set[tuple[int, float, int, int]], sizes: list[int]) -> list[tuple[int, float, int, int]]:
+    """The places without those that overlap a better one that stays (higher containment, then more shingles), or one of the same template; by template and place."""
+    kept: list[tuple[int, float, int, int]] = []
+    for t, share, a, b in sorted(found, key=lambda x: (-x[1], -sizes[x[0]], x[2], x[0])):
+        if not any(x <= b and a <= y and (o == t or (other, sizes[o]) > (share, sizes[t])) for o, other, x, y in kept):
+            kept.append((t, share, a, b))
+    return sorted(kept, key=lambda x: (x[0], x[2]))
 
 
 class WordCache(dict):
@@ -205,7 +232,7 @@ class WordCache(dict):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, miss: float = 1e-5, values: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_words, n_licenses, licenses (names in order, joined by commas), best (containment) and hits (array of name, containment, first_word, last_word).
+    """One row for each document: id, n_words, n_licenses, licenses (names in order, joined by commas), best (containment) and hits (array of name, containment, first_word, last_word: every place of every template).
 
     Edge cases: null and empty texts have no hits; a template of fewer than
     five words is one shingle that only a text of just these words has;
@@ -232,11 +259,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
             counts, hits = [], []
             for n, found in scanned(batch.column(1).to_pylist()):
                 counts.append(n)
-                hits.append([{"license": index.names[t], "containment": share, "first_word": a, "last_word": min(b + SHINGLE, n) - 1} for t, (share, a, b) in sorted(told_apart(found, index.sizes).items())])
+                hits.append([{"license": index.names[t], "containment": share, "first_word": a, "last_word": min(b + SHINGLE, n) - 1} for t, share, a, b in told_apart(found, index.sizes)])
             kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
             return batch_of(batch.column(0), counts, pa.array(hits, kind))
 
         return step
 
     out = map_batches(docs.select(F.col(id_col), text_or_empty(text_col)), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n_words long, hits array<struct<license:string,containment:double,first_word:long,last_word:long>>")
-    return out.select(id_col, "n_words", F.size("hits").cast("long").alias("n_licenses"), F.array_join("hits.license", ",").alias("licenses"), F.array_max("hits.containment").alias("best"), "hits")
+    names = F.array_distinct("hits.license")
+    return out.select(id_col, "n_words", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_max("hits.containment").alias("best"), "hits")
