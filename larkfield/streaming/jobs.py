@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,36 +17,86 @@ from ..operators.identity import build_identity, load_discovered, refreshed_pool
 from ..storage import cut
 
 
+#: Batches between two snapshots of the pool.
+COMPACT = 8
+TABLES = ("businesses", "sources")
+
+
 def research_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Load a stream of discovery records into the pool under ``path`` (businesses/ and sources/), one micro-batch after the other.
+    """Load a stream of discovery records into the pool under ``path``, one micro-batch after the other.
 
     A batch writes the new businesses, those that its records changed, and the
-    source keys to folders named by its number, so a batch that is run again
-    replaces what it wrote. The row of the latest batch is a business's own
-    (``current_pool``).
+    source keys to folders named by its number, then its mark in ``log``; what
+    a broken batch has left has no mark and is not read, and a batch that is
+    run again reads what was there before it and replaces what it wrote. After
+    every ``COMPACT`` batches the state is written as a whole under
+    ``snapshots``, marked last, so a batch reads one snapshot and at most that
+    many batches, however long the history is. A stream with another
+    ``checkpoint`` goes on after the numbers that are there. Of records with
+    one source key in a batch that with the smallest id counts.
     """
+    first = _first_number(records.sparkSession, path, checkpoint)
 
     def load(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = build_identity(batch.dropDuplicates(["provider", "external_id"]))
-        pool = latest_rows(_earlier(spark, path, "businesses", number, rows.limit(0)))
-        keys = rows.select("provider", "external_id", F.col("id").alias("business_id")).limit(0)
-        out = cut(load_discovered(rows, pool, _earlier(spark, path, "sources", number, keys).drop("batch")).where("outcome <> 'rejected'"))
+        spark, number = batch.sparkSession, first + number
+        one = batch.groupBy("provider", "external_id").agg(F.min_by(F.struct(*batch.columns), F.struct("id", F.to_json(F.struct(*batch.columns)))).alias("row")).select("row.*")
+        rows = build_identity(one)
+        keys = rows.select("provider", "external_id", F.col("id").alias("business_id"))
+        pool, sources = pool_state(spark, path, (rows.schema, keys.schema), number)
+        out = cut(load_discovered(rows, pool, sources).where("outcome <> 'rejected'"))
         new = out.where("business_id = incoming_id and outcome in ('new', 'needs_review')")
         added = rows.join(new.select(F.col("incoming_id").alias("id"), "outcome"), "id").withColumn("identity_status", F.when(F.col("outcome") == "needs_review", "NEEDS_REVIEW").otherwise(F.col("identity_status"))).select(*rows.columns)
         changed = refreshed_pool(pool.unionByName(added), rows, out)
         added.join(changed.select("id"), "id", "left_anti").unionByName(changed).write.mode("overwrite").parquet(f"{path}/businesses/batch={number}")
         rows.join(out.where("outcome <> 'refreshed'").select(F.col("incoming_id").alias("id"), "business_id"), "id").select("provider", "external_id", "business_id").write.mode("overwrite").parquet(f"{path}/sources/batch={number}")
+        _mark(spark, f"{path}/log/batches", number)
+        if (number + 1) % COMPACT == 0:
+            for name, df in zip(TABLES, pool_state(spark, path, (rows.schema, keys.schema), number + 1), strict=True):
+                df.write.mode("overwrite").parquet(f"{path}/snapshots/{name}/batch={number}")
+            _mark(spark, f"{path}/log/snapshots", number)
 
     return records.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _earlier(spark, path: str, table: str, number: int, empty: DataFrame) -> DataFrame:
-    """What batches before ``number`` wrote, with their numbers; the table's folders are pruned by number."""
-    if not number:
-        return empty.withColumn("batch", F.lit(0).cast("long"))
-    schema = T.StructType([*empty.schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(f"{path}/{table}").where(F.col("batch") < number)
+def _mark(spark: SparkSession, folder: str, number: int) -> None:
+    """One row that says that a batch or snapshot is whole."""
+    spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/number={number}")
+
+
+def _marked(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that are marked as whole, in order; none where nothing has been written."""
+    try:
+        rows = spark.read.schema("done boolean, number long").option("basePath", folder).parquet(folder)
+    except AnalysisException:
+        return []
+    return sorted(r.number for r in rows.select("number").collect())
+
+
+def _first_number(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The number of a stream's batch 0: that of its first start, which is the first free one then."""
+    folder = f"{path}/log/streams/{sha256(checkpoint.encode()).hexdigest()[:16]}"
+    found = _marked(spark, folder)
+    if not found:
+        found = [max(_marked(spark, f"{path}/log/batches"), default=-1) + 1]
+        _mark(spark, folder, found[0])
+    return found[0]
+
+
+def pool_state(spark: SparkSession, path: str, schemas: tuple[T.StructType, T.StructType], before: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(businesses, sources) as the whole batches with a number under ``before`` have left them: the last snapshot and the batches after it."""
+    upto = lambda numbers: [n for n in numbers if before is None or n < before]
+    last = max(upto(_marked(spark, f"{path}/log/snapshots")), default=-1)
+    batches = [n for n in upto(_marked(spark, f"{path}/log/batches")) if n > last]
+    out = []
+    for name, schema in zip(TABLES, schemas, strict=True):
+        kind = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        df = spark.createDataFrame([], kind)
+        for base, numbers in ((f"{path}/snapshots/{name}", [last] if last >= 0 else []), (f"{path}/{name}", batches)):
+            if numbers:
+                df = df.unionByName(spark.read.schema(kind).option("basePath", base).parquet(*[f"{base}/batch={n}" for n in numbers]))
+        out.append(df)
+    keys = ("provider", "external_id")
+    return latest_rows(out[0]), out[1].groupBy(*keys).agg(F.min_by("business_id", "batch").alias("business_id"))
 
 
 def latest_rows(rows: DataFrame) -> DataFrame:
@@ -53,9 +105,11 @@ def latest_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(F.struct(*names), "batch").alias("row")).select("row.*")
 
 
-def current_pool(spark, path: str) -> DataFrame:
-    """The pool under ``path`` as all loads have left it."""
-    return latest_rows(spark.read.option("basePath", f"{path}/businesses").parquet(f"{path}/businesses"))
+def current_pool(spark: SparkSession, path: str) -> DataFrame:
+    """The pool under ``path`` as all whole loads have left it."""
+    numbers = _marked(spark, f"{path}/log/batches")
+    named = spark.read.option("basePath", f"{path}/businesses").parquet(f"{path}/businesses/batch={numbers[-1]}").drop("batch")
+    return pool_state(spark, path, (named.schema, T._parse_datatype_string("provider string, external_id string, business_id string")))[0]
 
 
 def admission_stream(events: DataFrame, limit: int, window_ms: int, delay: str = "1 hour") -> DataFrame:
