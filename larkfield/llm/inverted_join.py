@@ -2,17 +2,19 @@
 
 Every distinct set of shingles is a node with a signature of ``COORDINATES``
 values. Two sets of Jaccard similarity J agree in each coordinate with
-probability J, so sets at 0.85 and more agree in at least ``MATCHES`` of 96
+probability J, so sets at 0.85 and more agree in at least ``MATCHES`` of 64
 but for 2e-9.
 
-A node is posted under its (coordinate, value) pairs. Two nodes that agree in
-``MATCHES`` coordinates share one of any ``COORDINATES - MATCHES + 1`` of
+A node is posted under its first ``POSTED`` (coordinate, value) pairs. Two
+nodes that agree in ``MATCHES`` coordinates agree in all but ``COORDINATES -
+MATCHES`` of these, and so share one of any ``COORDINATES - MATCHES + 1`` of
 them, whatever their order, as long as it is one order for all: the pairs that
 fewest nodes have come first. Pairs that one node alone has are counted, not
 posted: most texts have enough of these to be left out as a whole. The lists
-of the other pairs, which are the long ones, are skipped: two nodes that a
-posted list brings together look up their agreement there in their signatures.
-What agrees often enough is compared by the full sets.
+that come last, which are the long ones, and the coordinates that are not
+posted are skipped: two nodes that a posted list brings together look up their
+agreement there in their signatures. What agrees often enough is compared by
+the full sets.
 
 Nodes that long lists share are joined to classes in rounds, one node of a
 list against its others, before pairs are met (``near_dedup.linked``), and
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from .common import batch_of, map_batches, stored, text_or_empty
 from .near_dedup import linked, shingle_hashes, words_of
 
-COORDINATES, MATCHES = 96, 58
+COORDINATES, MATCHES, POSTED = 64, 35, 40
 #: Odd factors; each puts the hashes in another order.
 FACTORS = np.random.default_rng(11).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,11 +70,12 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
 
 def postings(nodes: DataFrame) -> DataFrame:
     """(key, node, n): the rarest coordinate-value pairs of each node of ``nodes`` (node, n, values) of which it must share one with any node that it links to; pairs that no other node has are left out."""
-    each = nodes.select("node", "n", F.posexplode("values").alias("at", "value")).select("node", "n", F.xxhash64("at", "value").alias("key"))
+    each = nodes.select("node", F.posexplode(F.slice("values", 1, POSTED)).alias("at", "value")).select("node", F.xxhash64("at", "value").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("lists")).where("lists > 1")
     of_node = Window.partitionBy("node")
     ranked = each.join(shared, "key").withColumns({"known": F.count("*").over(of_node), "at": F.row_number().over(of_node.orderBy("lists", "key"))})
-    return ranked.where(F.col("at") <= F.col("known") - MATCHES + 1).select("key", "node", "n")
+    shared = MATCHES - (COORDINATES - POSTED)  # posted pairs that a link has in common
+    return ranked.where(F.col("at") <= F.col("known") - shared + 1).select("key", "node").join(nodes.select("node", "n"), "node").select("key", "node", "n")
 
 
 def retaining(values: DataFrame):
@@ -109,7 +112,7 @@ def minhash_classes(docs: DataFrame, size: int = 3, similarity: float = 0.85, id
         raise ValueError("ids must be whole numbers")
     marked = stored(signatures(docs, size, id_col, text_col))
     found = marked.where("n > 0").groupBy("digest").agg(F.min("id").cast("long").alias("node"), F.first("n").alias("n"), F.first("values").alias("values"))
-    nodes = stored(found.where("node is not null").dropDuplicates(["node"]))
+    nodes = stored(found.where("node is not null"))
     members = stored(postings(nodes))
     wanted = members.select("node").distinct()
     texts = docs.select(docs[id_col].cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))

@@ -171,9 +171,11 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
 
     ``members``: key, node, n (distinct shingles of its text); ``texts``:
     node, text. While more pairs of different groups are left than a few for
-    each member, every key compares one node with its others, another one in
-    each round, which joins most of a large group in work that grows with its
-    nodes. When that no longer halves what is left, or little is left, the
+    each member, every key names one of its nodes, and every node is compared
+    with one of those that its keys name. Named is first the node whose keys
+    hold most nodes, as the text that a group's other texts come from shares
+    most with them, and other ones in the rounds after. This joins most of a
+    large group in work that grows with its nodes. When that no longer halves what is left, or little is left, the
     nodes of keys that several groups share are compared across groups as far
     as their rarest shingles allow a link (``across_groups``), which misses no
     pair that is alike. With ``retained`` (rows (a, b), one for each key that
@@ -181,9 +183,11 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
     compared, and few enough pairs are met through their keys to the end.
     """
     most = DIRECT * members.count()
-    alone = members.withColumn("group", F.col("node"))
-    named, tried, before = alone, None, float("inf")
+    wide = members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").cast("double").alias("central"))
+    groups = checkpoint(wide.withColumn("group", F.col("node")))
+    tried, before = None, float("inf")
     for k in count():
+        named = checkpoint(members.join(groups, "node"))
         sizes = named.groupBy("key", "group").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "group")).alias("main")).where("main.m < all")
         sizes = checkpoint(sizes.select("key", ((F.col("all") - F.col("main.m")) * F.col("all")).cast("double").alias("pairs")))
         left = sizes.agg(F.sum("pairs")).first()[0] or 0
@@ -192,21 +196,26 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
         if last and (retained is None or left > most):
             pairs = across_groups(open_.select("node", "group").distinct(), texts, size, similarity).select(*_ordered("a", "b", k)).distinct()
         else:
-            other = open_ if last else open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "group"), F.struct(F.xxhash64("node", F.lit(k)), F.col("node"))).alias("x")).select("key", "x.*")
-            other = other.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group"))
+            order = F.struct((-F.col("central") * (1 - F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1000)) / 2000 * int(k > 0))).alias("less"), "node")
+            other = open_ if last else open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "group", order.alias("order")), order).alias("x")).select("key", "x.*")
+            other = other.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group"), *([] if last else ["order"]))
             both = open_.withColumnRenamed("node", "b").join(other, "key")  # the side with few rows of a key stands right, where a merge join holds a key's rows
             pairs = both.where((F.col("a_group") != F.col("group")) & (F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")))
-            pairs = pairs.where("a < b") if last else pairs
-            pairs = (retained or DataFrame.distinct)(pairs.select(*_ordered("a", "b", k)))
+            if last:
+                pairs = (retained or DataFrame.distinct)(pairs.where("a < b").select(*_ordered("a", "b", k)))
+            else:
+                pairs = pairs.groupBy("b").agg(F.min("order").alias("x")).select(*_ordered("x.node", "b", k)).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select(*_ordered("a", "b", k)), ["a", "b"], "left_anti")
         new = checkpoint(alike(checkpoint(pairs), texts, size, similarity))
-        tried = new if tried is None else tried.unionByName(new)
-        groups = components(tried.where("alike"))
+        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
+        ends = [groups.select(F.col("node").alias(c), F.col("group").alias(f"{c}_group")) for c in "ab"]
+        links = new.where("alike").join(ends[0], "a").join(ends[1], "b").select("a_group", "b_group")
+        merged = components(links, "a_group", "b_group").withColumnRenamed("node", "group")
+        groups = checkpoint(groups.join(merged, "group", "left").select("node", "central", F.coalesce("component", "group").alias("group")))
         if last:
-            return groups
+            return groups.where("node <> group").select("node", F.col("group").alias("component"))
         before = left
-        named = checkpoint(alone.drop("group").join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group")))
     raise AssertionError
 
 
