@@ -10,8 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.identity import build_identity, load_discovered, refreshed_pool
 from ..storage import cut
@@ -112,30 +111,54 @@ def current_pool(spark: SparkSession, path: str) -> DataFrame:
     return pool_state(spark, path, (named.schema, T._parse_datatype_string("provider string, external_id string, business_id string")))[0]
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Admission(StatefulProcessor):
+    """The window of one key: typed state with its end and count, and a timer at its end in event time."""
+
+    def __init__(self, limit: int, window_ms: int) -> None:
+        self.limit, self.window_ms = limit, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.window = handle, handle.getValueState("window", "reset long, n int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        reset, n = self.window.get() if self.window.exists() else (None, 0)
+        before, out = reset, []
+        for r in pd.concat(list(rows)).sort_values(["ts_ms", "event_id"]).itertuples():
+            if reset is None or r.ts_ms >= reset:
+                reset, n = r.ts_ms + self.window_ms, 0
+            n += 1
+            out.append((key[0], r.ts_ms, r.event_id, n <= self.limit, max(0, self.limit - n), 0 if n <= self.limit else reset - r.ts_ms))
+        self.window.update((int(reset), int(n)))
+        if reset != before:
+            if before is not None:
+                self.handle.deleteTimer(int(before))
+            self.handle.registerTimer(int(reset))
+        yield pd.DataFrame(out, columns=["key", "ts_ms", "event_id", "allowed", "remaining", "retry_after_ms"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def admission_stream(events: DataFrame, limit: int, window_ms: int, delay: str = "1 hour") -> DataFrame:
-    """Stream form of ``admissions``: state for each key is the window's end and its count, until event time passes the end.
+    """Stream form of ``admissions``: each key's state is its window's end and count, until event time passes the end.
 
     ``events``: key, ts_ms, event_id. Windows and their states live in event
     time, so pauses between micro-batches and replays change nothing; events
     more than ``delay`` behind the latest one are dropped. Events of a
-    micro-batch are taken in time order.
+    micro-batch are taken in time order. State with timers needs the RocksDB
+    store, which is set for the session where nothing else has been.
     """
+    spark = events.sparkSession
+    if "RocksDB" not in (spark.conf.get(STATE_STORE, None) or ""):
+        spark.conf.set(STATE_STORE, ROCKSDB)
     schema = "key string, ts_ms long, event_id long, allowed boolean, remaining int, retry_after_ms long"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        reset, n = state.get if state.exists else (-1, 0)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["ts_ms", "event_id"]).itertuples():
-            if reset < 0 or r.ts_ms >= reset:
-                reset, n = r.ts_ms + window_ms, 0
-            n += 1
-            rows.append((key[0], r.ts_ms, r.event_id, n <= limit, max(0, limit - n), 0 if n <= limit else reset - r.ts_ms))
-        state.update((int(reset), int(n)))
-        state.setTimeoutTimestamp(max(int(reset), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["key", "ts_ms", "event_id", "allowed", "remaining", "retry_after_ms"])
-
     timed = events.select("key", "ts_ms", "event_id", F.timestamp_millis("ts_ms").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("key").applyInPandasWithState(step, schema, "reset long, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("key").transformWithStateInPandas(Admission(limit, window_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")

@@ -46,3 +46,25 @@ def test_reads_stay_level_and_replays_change_nothing(spark, monkeypatch):
     stream = spark.readStream.schema(RECORD).parquet(f"{folder}/in-other")
     jobs.research_stream(stream, f"{folder}/out", f"{folder}/other").awaitTermination()
     assert pool(spark, f"{folder}/out") == before
+
+
+def test_admission_over_late_and_idle_keys(spark):
+    """Runs with pauses give the batch form's rows for all events that come in time; a key that was idle past its window's end has no state left."""
+    from larkfield.operators import leads
+
+    folder, minute, start = tempfile.mkdtemp(dir="/tmp", prefix="spark-"), 60_000, 1_700_000_000_000
+    runs = [
+        [("a", 0, 1), ("a", 1, 2), ("b", 2, 3)],
+        [("a", 3, 4), ("b", 9, 5), ("c", 400, 6)],  # the watermark passes the windows of a and b
+        [("a", 399, 7), ("a", 402, 8), ("a", 403, 9), ("c", 404, 10), ("b", 401, 11)],
+        [("a", 300, 12)],  # too late
+        [("b", 900, 13)],
+    ]
+    schema = "key string, ts_ms long, event_id long"
+    for own in runs:
+        spark.createDataFrame([(k, start + t * minute, n) for k, t, n in own], schema).write.mode("append").parquet(f"{folder}/in")
+        out = jobs.admission_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), 2, 10 * minute, "5 minutes")
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {tuple(r) for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect()}
+    in_time = spark.createDataFrame([(k, start + t * minute, n) for own in runs for k, t, n in own if n != 12], schema)
+    assert got == {tuple(r) for r in leads.admissions(in_time, 2, 10 * minute).collect()}
