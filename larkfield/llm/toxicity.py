@@ -63,6 +63,14 @@ class OrdinalModel:
         return [float(1 / (1 + np.exp(-np.clip(score - t, -500, 500)))) for t in self.thresholds]
 
 
+def summed(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the weights of each row's features, in blocks."""
+    z = np.zeros(n)
+    for k in range(0, len(cols), BLOCK):
+        z += np.bincount(rows[k : k + BLOCK], weights[cols[k : k + BLOCK]], n)
+    return z
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 300, penalty: float = 1.0, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds with the highest penalised likelihood, by Adam; (rows, cols) are the ones of the sparse matrix."""
     top, n = int(grades.max()), len(grades)
@@ -74,9 +82,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
     for step in range(1, steps + 1):
         weights, first, gaps = params[:n_features], params[n_features], np.exp(params[n_features + 1 :])
         thresholds = first + np.concatenate([[0], np.cumsum(gaps)])
-        z = np.zeros(n)
-        for k in range(0, len(cols), BLOCK):
-            z += np.bincount(rows[k : k + BLOCK], weights[cols[k : k + BLOCK]], n)
+        z = summed(rows, cols, weights, n)
         above = 1 / (1 + np.exp(-np.clip(z[:, None] - thresholds[None], -30, 30)))
         full = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
         slope = full * (1 - full)
@@ -109,7 +115,7 @@ def severity_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_fea
             continue
         place, own = (np.cumsum(seen) - 1).astype(np.int32), seen[rows]
         weights, _ = fit_ordinal(place[rows[own]], cols[own], toxic[seen], n_features, FOLD_STEPS)
-        score[~seen] = np.bincount(rows, weights[cols], n)[~seen]
+        score[~seen] = summed(rows, cols, weights, n)[~seen]
     grades, bad = np.zeros(n, int), np.flatnonzero(toxic == 1)
     distinct, counts = np.unique(score[bad].round(9), return_counts=True)
     below = (np.cumsum(counts) - counts)[np.searchsorted(distinct, score[bad].round(9))]
@@ -160,7 +166,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
     sampled = sorted((r.toxic, bytes(r.found)) for r in map_batches(worded, make_rows, "toxic int, found binary").collect())
     lengths = [len(found) // 4 for _, found in sampled]
     at, cols = np.repeat(np.arange(len(sampled), dtype=np.int32), lengths), np.frombuffer(b"".join([found for _, found in sampled]), "<i4")
-    grades = severity_grades(at, cols, np.array([t for t, _ in sampled]), len(index))
+    toxic = np.array([t for t, _ in sampled])
+    del sampled
+    grades = severity_grades(at, cols, toxic, len(index))
     grades = np.unique(grades, return_inverse=True)[1]  # grades that occur, from 0 without gaps
     weights, thresholds = fit_ordinal(at, cols, grades, len(index))
     return OrdinalModel({f: float(weights[k]) for f, k in index.items()}, thresholds.tolist())
