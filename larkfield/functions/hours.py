@@ -129,6 +129,10 @@ def clock_text(minutes: Column) -> Column:
 
 def opening_status(hours: Column, at: Column) -> Column:
     """struct(state, detail, partial) at an instant, in the hours' own zone: open, closed or unknown; an interval holds its start and not its end."""
+    return let(F.struct(hours.alias("hours"), at.alias("at")), lambda x: _status(x["hours"], x["at"]))
+
+
+def _status(hours: Column, at: Column) -> Column:
     local = F.from_utc_timestamp(at, hours["timezone"])
     now, weekday = F.hour(local) * 60 + F.minute(local), F.dayofweek(local) - 1
     names = F.array(*[F.lit(d) for d in DAY_NAMES])
@@ -157,6 +161,10 @@ def opening_status(hours: Column, at: Column) -> Column:
 
 def weekly_schedule(hours: Column, at: Column) -> Column:
     """Seven rows from Monday: struct(weekday, label, text, is_today); null without hours."""
+    return let(F.struct(hours.alias("hours"), at.alias("at")), lambda x: _schedule(x["hours"], x["at"]))
+
+
+def _schedule(hours: Column, at: Column) -> Column:
     today = F.dayofweek(F.from_utc_timestamp(at, hours["timezone"])) - 1
     names = F.array(*[F.lit(d) for d in DAY_NAMES])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, hours, timeutil
+from ..operators.schedules import with_hours
 from ..refdata import DAY_NAMES, DAY_WORDS, HOURS_RULE, UNREAD_RULE_WORDS
 from . import sqltext as q
 from .catalog import query
@@ -51,9 +52,12 @@ unread AS (SELECT id, array_to_string(list(rule ORDER BY n), '|') AS unparsed FR
 @query(f"""{WEEK} SELECT h.id, coalesce(w.week, '') AS week, coalesce(u.unparsed, '') AS unparsed FROM h LEFT JOIN (SELECT id, array_to_string(list(concat(cast(weekday AS string), ' ', cast(a AS string), '-', cast(b AS string)) ORDER BY weekday, a, n, j, z), ',') AS week FROM parts GROUP BY id) w USING (id) LEFT JOIN unread u USING (id) WHERE raw <> ''""")
 def h2_opening_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H2: rule texts as weeks."""
-    b = view(spark, sf_dir, "v_business").withColumn("h", hours.parse_opening_hours(F.col("opening_hours_raw"), F.col("timezone"))).where("h is not null")
-    week = F.flatten(F.transform("h.days", lambda d: F.transform(d["intervals"], lambda x: F.concat(d["weekday"].cast("string"), F.lit(" "), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))))
-    return b.select("id", F.array_join(week, ",").alias("week"), F.array_join("h.unparsed", "|").alias("unparsed"))
+
+    def texts(h):
+        week = F.flatten(F.transform(h["days"], lambda d: F.transform(d["intervals"], lambda x: F.concat(d["weekday"].cast("string"), F.lit(" "), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))))
+        return F.when(h.isNotNull(), F.struct(F.array_join(week, ",").alias("week"), F.array_join(h["unparsed"], "|").alias("unparsed")))
+
+    return with_hours(view(spark, sf_dir, "v_business"), texts).where("h is not null").select("id", "h.week", "h.unparsed")
 
 
 @query(f"""{B}, p AS (SELECT id, cast(k % 8 AS int) AS d, cast(8 + k % 5 AS int) * 60 AS a, CASE WHEN k % 4 = 0 THEN NULL ELSE cast((k + k % 2) % 7 AS int) END AS cd, CASE WHEN k % 4 = 0 THEN 1440 ELSE cast((k * 5) % 24 AS int) * 60 END AS b FROM v_business WHERE k % 8 < 7),
@@ -86,7 +90,7 @@ CASE WHEN n = 0 THEN CASE WHEN u.unparsed IS NOT NULL THEN 'Hours could not be r
 ELSE 'Opens ' || CASE WHEN nxt // 10000 = 1 THEN 'tomorrow' ELSE {NAMES}[(w + nxt // 10000) % 7 + 1] END || ' ' || {_clock("(nxt % 10000)")} END AS detail FROM y LEFT JOIN unread u USING (id)""")
 def h4_opening_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H4: open, closed or unknown at an instant that differs by row, in the row's zone."""
-    b = view(spark, sf_dir, "v_business").withColumn("h", hours.parse_opening_hours(F.col("opening_hours_raw"), F.col("timezone"))).where("h is not null")
+    b = with_hours(view(spark, sf_dir, "v_business")).where("h is not null")
     return b.withColumn("s", hours.opening_status(F.col("h"), F.timestamp_millis(F.expr(AT)))).select("id", "s.state", "s.partial", "s.detail")
 
 
@@ -94,8 +98,8 @@ def h4_opening_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t.id, y.i AS weekday, {NAMES}[y.i + 1] AS label, coalesce(texts.text, 'Closed') AS text, y.i = today AS is_today FROM t, (SELECT unnest(range(7)) AS i) y LEFT JOIN texts ON texts.id = t.id AND texts.weekday = y.i""")
 def h5_weekly_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H5: schedule rows."""
-    b = view(spark, sf_dir, "v_business").withColumn("h", hours.parse_opening_hours(F.col("opening_hours_raw"), F.col("timezone"))).where("h is not null")
-    rows = b.select("id", F.explode(hours.weekly_schedule(F.col("h"), F.timestamp_millis(F.lit(AS_OF)))).alias("r"))
+    b = with_hours(view(spark, sf_dir, "v_business"), lambda h: hours.weekly_schedule(h, F.timestamp_millis(F.lit(AS_OF)))).where("h is not null")
+    rows = b.select("id", F.explode("h").alias("r"))
     return rows.select("id", "r.weekday", "r.label", "r.text", "r.is_today").withColumn("weekday", F.col("weekday").cast("long"))
 
 
