@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from math import cos, radians
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, distance_m
 from ..functions.text import normalize_text
 from ..refdata import CATEGORIES, accent_table
+from ..storage import stored
 
 
 def within_radius(rows: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
@@ -29,18 +30,29 @@ def discover(rows: DataFrame, lat: float, lon: float, km: float, category: str |
 def nearest_place(rows: DataFrame, places: DataFrame, km: float = 25.0) -> DataFrame:
     """(id, label, metres): the nearest place within ``km`` of each row with a point.
 
-    Both sides meet in grid cells as wide as the radius, so the gazetteer may
-    have any size; ties go to the smaller ordinal.
+    Both sides meet in grid cells as wide as the radius: a place is put in
+    the cells that its circle can reach, and the places of a cell are one
+    list, so a point is joined once, with its own cell, and never multiplied.
+    Rows of one point are looked up once.
+    Ties go to the smaller ordinal; of rows that share an id the nearest counts.
     """
     step = km / KM_PER_DEGREE
     width = lambda band: step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(band), F.abs(band + 1)) * step))))
-    p = places.select("ordinal", "label", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / step).alias("band")).withColumn("cell", F.floor(F.col("p_lon") / width(F.col("band"))))
-    r = rows.where("lat is not null and lon is not null").select("id", "lat", "lon", F.explode(F.sequence(F.floor(F.col("lat") / step) - 1, F.floor(F.col("lat") / step) + 1)).alias("band"))
+    band = F.floor(F.col("lat") / step)
+    p = places.where("lat is not null and lon is not null").select("ordinal", "label", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("band"))
     w = width(F.col("band"))
-    at = F.explode(F.array_compact(F.array("lon", F.when(F.abs("lon") > 180 - 2 * w, F.col("lon") - 360 * F.signum("lon")))))  # also from the other side of the 180th meridian
-    r = r.withColumn("at", at).withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / w) - 1, F.floor(F.col("at") / w) + 1)))
-    near = r.join(p, ["band", "cell"]).withColumn("metres", distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("metres") <= km * 1000)
-    return near.groupBy("id").agg(F.min(F.struct("metres", "ordinal", "label")).alias("x")).select("id", "x.label", "x.metres")
+    # a place near the 180th meridian is also on its other side
+    ways = F.explode(F.array_compact(F.array("lon", F.when(F.abs("lon") > 180 - 2 * w, F.col("lon") - 360 * F.signum("lon")))))
+    p = p.withColumn("at", ways).withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / w) - 1, F.floor(F.col("at") / w) + 1)))
+    cells = p.groupBy("band", "cell").agg(F.collect_set(F.struct("ordinal", "label", "lat", "lon")).alias("places"))
+    placed = rows.where("lat is not null and lon is not null").select("id", "lat", "lon")
+    points = stored(placed.select("lat", "lon").distinct()).repartition("lat", "lon")
+    points = points.withColumn("band", band).withColumn("cell", F.floor(F.col("lon") / width(F.col("band"))))
+    far = lambda x: distance_m(F.col("lat"), F.col("lon"), x["lat"], x["lon"])
+    near = F.array_min(F.filter(F.transform("places", lambda x: F.struct(far(x).alias("metres"), x["ordinal"].alias("ordinal"), x["label"].alias("label"))), lambda x: x["metres"] <= km * 1000))
+    found = stored(points.join(cells, ["band", "cell"]).select("lat", "lon", near.alias("x")).where("x is not null"))
+    nearest = placed.join(found, ["lat", "lon"]).select("id", "x").repartition("id").groupBy("id").agg(F.min("x").alias("x"))
+    return nearest.select("id", "x.label", "x.metres")
 
 
 def lookup_places(queries: DataFrame, places: DataFrame) -> DataFrame:
