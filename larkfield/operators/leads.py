@@ -154,22 +154,33 @@ def all_queues(view: DataFrame, users: DataFrame, as_of_ms: int, limit: int = 50
     """Every user's queue (user_id, rank, id).
 
     A queue's first rows are among the first rows of each (due, assigned user)
-    group, so leads are cut to these groups' tops before users are joined:
-    own leads by key, the unassigned top once for all, and of the others the
-    overall top of ``limit`` plus what the user's own may displace.
+    group, so leads are cut to these groups' tops: own leads by key, the
+    unassigned top once for all, and of the others the overall top of
+    ``limit`` plus what the user's own may displace. The last two are a few
+    rows in all, which every user gets as they are; a user's lists, each in
+    order, follow one another, so nothing is sorted for a user.
     """
     due, *rest = _queue_order(as_of_ms)
-    rows = _callable(view, as_of_ms).withColumn("due", due)
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("due", "assigned_user_id").orderBy(*rest))).where(F.col("k") <= limit)
-    taken = top.where("assigned_user_id is not null").withColumn("all_k", F.row_number().over(Window.partitionBy("due").orderBy(*rest))).where(F.col("all_k") <= 2 * limit)
-    u = users.select("user_id")
-    own = top.where("assigned_user_id is not null").join(u, F.col("assigned_user_id") == F.col("user_id")).withColumn("mine", F.lit(0))
-    free = top.where("assigned_user_id is null").withColumn("users", F.lit(True)).join(u.withColumn("users", F.lit(True)), "users").withColumn("mine", F.lit(1))
-    other = taken.drop("all_k").join(u, F.col("assigned_user_id") != F.col("user_id")).withColumn("mine", F.lit(2))
-    cols = ["user_id", "due", "mine", "priority", "call_count", "last_call_ms", "next_callback_ms", "name_lower", "id"]
-    every = own.select(cols).unionByName(free.select(cols)).unionByName(other.select(cols))
-    w = Window.partitionBy("user_id").orderBy("due", "mine", *rest)
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("user_id", "rank", "id")
+    rows = _callable(view, as_of_ms).select("id", "assigned_user_id", "priority", "call_count", "last_call_ms", "name_lower", due.alias("due"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))
+    listed = lambda: F.array_sort(F.collect_list(F.struct("due", "k", "id", "assigned_user_id")))
+    top = rows.where("assigned_user_id is not null").withColumn("k", place("due", "assigned_user_id")).where(F.col("k") <= limit)
+    own = top.groupBy(F.col("assigned_user_id").alias("user_id")).agg(listed().alias("own"))
+
+    def firsts(of: DataFrame, n: int) -> DataFrame:
+        """The first ``n`` rows of each ``due``; every task keeps its first ones."""
+        each = [of.where(F.col("due") == d).orderBy(*rest).limit(n) for d in (0, 1)]
+        return each[0].unionByName(each[1]).withColumn("k", place("due"))
+
+    free = firsts(rows.where("assigned_user_id is null"), limit).agg(listed().alias("free"))
+    taken = firsts(rows.where("assigned_user_id is not null"), 2 * limit).agg(listed().alias("taken"))
+    common = free.crossJoin(taken)
+    u = users.select("user_id").join(own, "user_id", "left").crossJoin(F.broadcast(common))
+    none = F.array().cast("array<struct<due:int,k:int,id:string,assigned_user_id:string>>")
+    part = lambda c, d: F.filter(F.coalesce(F.col(c), none), lambda x: x["due"] == d)
+    others = lambda d: F.filter(F.col("taken"), lambda x: (x["due"] == d) & (x["assigned_user_id"] != F.col("user_id")))
+    queue = F.slice(F.concat(*[x for d in (0, 1) for x in (part("own", d), part("free", d), others(d))]), 1, limit)
+    return u.select("user_id", F.posexplode(queue).alias("at", "x")).select("user_id", (F.col("at") + 1).alias("rank"), "x.id")
 
 
 def fold_calls(calls: DataFrame) -> DataFrame:
