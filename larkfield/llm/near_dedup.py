@@ -222,7 +222,9 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
 def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b): pairs of ``nodes`` (node, group) of different groups, among them all whose shingle sets reach ``similarity``.
 
-    Every node's shingles are put in one order, the rarest first. If the first
+    Every node's shingles are put in one order: those that only one group has,
+    which no pair has in common and which are only counted, then the others,
+    the rarest first. If the first
     shingle that two sets of n and m have in common is the i-th of one and the
     j-th of the other, they have n - i + 1 and m - j + 1 in common at most, so
     the i-th shingle of a set can only be the first of a link to sets of up to
@@ -242,10 +244,11 @@ def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
         return step
 
     shingle = stored(map_batches(hashed, make, "node long, group long, n int, h long"))
-    rarity = shingle.groupBy("h").agg(F.count("*").alias("sets"), (F.min("group") < F.max("group")).alias("mixed"))
-    order = Window.partitionBy("node").orderBy("sets", "h")
+    rarity = shingle.groupBy("h").agg(F.count("*").alias("sets"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("h", "sets")
+    of_node = Window.partitionBy("node")
     cap = (1 + 1 / similarity) * (F.col("n") - F.col("at") + 1) - F.col("n") + 1e-6
-    front = shingle.join(rarity, "h").withColumn("at", F.row_number().over(order)).where("mixed").withColumn("cap", cap).where(F.col("cap") >= similarity * F.col("n"))
+    mixed = shingle.join(rarity, "h").withColumns({"at": F.row_number().over(of_node.orderBy("sets", "h")), "mixed": F.count("*").over(of_node)})
+    front = mixed.withColumn("at", F.col("n") - F.col("mixed") + F.col("at")).withColumn("cap", cap).where(F.col("cap") >= similarity * F.col("n"))
     front = stored(front.select("h", "node", "group", "n", "cap"))
     of_groups = front.groupBy("h", "group").agg(F.count("*").alias("m"), F.min("n").alias("least"))
     of_all = of_groups.groupBy("h").agg(F.min("least").alias("least"), F.max(F.struct("m", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
