@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from larkfield.functions import hours
-from larkfield.operators import leads, places
+from larkfield.operators import identity, leads, places
 from larkfield.operators.schedules import with_hours
 
 
@@ -51,3 +51,18 @@ def test_nearest_place_multiplies_no_row(spark):
     out = places.nearest_place(rows, spots)
     assert "Generate" not in plan_of(out)
     assert {(int(r.id) % 4, r.label) for r in out.collect()} == {(0, "p0"), (1, "p10"), (2, "p20"), (3, "p29")} and out.count() == 200
+
+
+def test_pairs_are_met_once_and_not_shuffled(spark):
+    """One row for each two rows that meet, as the queries' SQL gives them, also where both ids repeat."""
+    at = [(48.0, 11.0), (48.002, 11.003), (48.5, 11.0), (None, None), (-33.0, 179.9)]
+    rows = [(f"r{k % 29}", f"+49{k % 3}" if k % 4 else None, f"a{k % 5}" if k % 3 else "", f"n{k % 4}" if k % 2 else "", *at[k % 5]) for k in range(30)]
+    table = spark.createDataFrame(rows, "id string, phone_e164 string, address_key string, name_key string, lat double, lon double")
+    table.createOrReplaceTempView("met_once")
+    step = "0.25 / cast(111.32 as double)"
+    box = f"abs(p.lat - i.lat) <= {step} AND abs(p.lon - i.lon) <= ({step}) / greatest(0.01, cos(radians(i.lat)))"
+    keys = " OR ".join(f"(i.{c} = p.{c} AND i.{c} <> '')" for c in ("phone_e164", "address_key", "name_key"))
+    for got, on in ((identity.near_pairs(table, table), box), (identity.blocking_pairs(table, table), f"{keys} OR ({box})")):
+        want = spark.sql(f"SELECT i.id, p.id FROM met_once i JOIN met_once p ON {on}")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "Aggregate" not in plan_of(got)
