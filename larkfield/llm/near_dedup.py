@@ -179,8 +179,10 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
     nodes of keys that several groups share are compared across groups as far
     as their rarest shingles allow a link (``across_groups``), which misses no
     pair that is alike. With ``retained`` (rows (a, b), one for each key that
-    they share, to distinct pairs worth a comparison) only what it keeps is
-    compared, and few enough pairs are met through their keys to the end.
+    they share, to distinct pairs worth a comparison) the keys with fewest
+    pairs, which together give few enough, are met through to the end, and
+    what ``retained`` keeps is compared; only nodes of the other keys have
+    their shingles sorted. A pair that shares a key is in one part or the other.
     """
     most = DIRECT * members.count()
     wide = members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").cast("double").alias("central"))
@@ -193,18 +195,24 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
         left = sizes.agg(F.sum("pairs")).first()[0] or 0
         open_ = named.join(sizes.select("key"), "key")
         last = left <= most or left > before / 2
-        if last and (retained is None or left > most):
-            pairs = across_groups(open_.select("node", "group").distinct(), texts, size, similarity).select(*_ordered("a", "b", k)).distinct()
-        else:
+        prefixed = last and (retained is None or left > most)  # keys of more pairs than ``limit`` are compared by shingles
+        limit = (_most_pairs(sizes, most) if retained else 0) if prefixed else left
+        found = []
+        if not last or limit:
+            met = open_.join(sizes.where(F.col("pairs") <= limit).select("key"), "key", "left_semi") if prefixed else open_
             order = F.struct((-F.col("central") * (1 - F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1000)) / 2000 * int(k > 0))).alias("less"), "node")
-            other = open_ if last else open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "group", order.alias("order")), order).alias("x")).select("key", "x.*")
+            other = met if last else met.groupBy("key").agg(F.min_by(F.struct("node", "n", "group", order.alias("order")), order).alias("x")).select("key", "x.*")
             other = other.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("group").alias("a_group"), *([] if last else ["order"]))
-            both = open_.withColumnRenamed("node", "b").join(other, "key")  # the side with few rows of a key stands right, where a merge join holds a key's rows
+            both = met.withColumnRenamed("node", "b").join(other, "key")  # the side with few rows of a key stands right, where a merge join holds a key's rows
             pairs = both.where((F.col("a_group") != F.col("group")) & (F.least("a_n", "n") >= similarity * F.greatest("a_n", "n")))
             if last:
-                pairs = (retained or DataFrame.distinct)(pairs.where("a < b").select(*_ordered("a", "b", k)))
+                found.append((retained or DataFrame.distinct)(pairs.where("a < b").select(*_ordered("a", "b", k))))
             else:
-                pairs = pairs.groupBy("b").agg(F.min("order").alias("x")).select(*_ordered("x.node", "b", k)).distinct()
+                found.append(pairs.groupBy("b").agg(F.min("order").alias("x")).select(*_ordered("x.node", "b", k)).distinct())
+        if prefixed:
+            long = open_.join(sizes.where(F.col("pairs") > limit).select("key"), "key", "left_semi")
+            found.append(across_groups(long.select("node", "group").distinct(), texts, size, similarity).select(*_ordered("a", "b", k)).distinct())
+        pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select(*_ordered("a", "b", k)), ["a", "b"], "left_anti")
         new = checkpoint(alike(checkpoint(pairs), texts, size, similarity))
@@ -219,6 +227,13 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
     raise AssertionError
 
 
+def _most_pairs(sizes: DataFrame, most: int) -> float:
+    """The largest power of two so that the keys of ``sizes`` (key, pairs) with no more pairs than it have ``most`` together at most; 0 if there is none."""
+    by_length = sizes.groupBy(F.ceil(F.log2("pairs")).alias("power")).agg(F.sum("pairs").alias("pairs")).orderBy("power").collect()  # a row for each power of two
+    fit = [r.power for r, total in zip(by_length, accumulate(r.pairs for r in by_length), strict=True) if total <= most]
+    return 2.0 ** fit[-1] if fit else 0
+
+
 def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b): pairs of ``nodes`` (node, group) of different groups, among them all whose shingle sets reach ``similarity``.
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkfield.llm import bpe_trie, components, fingerprints, hamming, licenses, media_mpeg, near_dedup, packing, substring_dedup, token_counts, tokens, toxicity, warc
+from larkfield.llm import bpe_trie, components, fingerprints, hamming, inverted_join, licenses, media_mpeg, near_dedup, packing, substring_dedup, token_counts, tokens, toxicity, warc
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, length string, row string, id string"
@@ -597,3 +597,37 @@ def test_pipeline_keeps_what_it_should(spark):
     lib = Tokenizer.from_file(BYTE)
     total = packed.groupBy("doc_id").agg(F.sum("length").alias("n"))
     assert {r.doc_id: r.n for r in total.collect()} == {k: len(lib.encode(t, add_special_tokens=False).ids) + 1 for k, t in left.items()}
+
+
+def test_only_nodes_of_long_lists_have_their_shingles_sorted(spark, monkeypatch):
+    """Short lists are met through even if long ones give too many pairs; no link is lost either way."""
+    rng = random.Random(3)
+    word = lambda n: f"w{n}"
+    head = [word(rng.randrange(10**6)) for _ in range(60)]
+    texts = {}
+    for k in range(60):  # one long passage in all: long lists, few links
+        texts[k] = head + [word(rng.randrange(10**6)) for _ in range(25)]
+    for k in range(60, 120, 2):  # pairs of near copies: short lists
+        texts[k] = [word(rng.randrange(10**6)) for _ in range(80)]
+        texts[k + 1] = [*texts[k][:-2], word(rng.randrange(10**6)), "end"]
+    texts[120] = [*texts[7][:-1], "end"]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string").repartition(3)
+    asked = []
+
+    def across(nodes, *rest):
+        asked.append({r.node for r in nodes.collect()})
+        return sorted_shingles(nodes, *rest)
+
+    sorted_shingles = near_dedup.across_groups
+    monkeypatch.setattr(near_dedup, "across_groups", across)
+    monkeypatch.setattr(near_dedup, "DIRECT", 0.5)
+    got = {r.doc_id: r.component_id for r in inverted_join.minhash_classes(docs).collect()}
+    sets = {k: {tuple(t[i : i + 3]) for i in range(len(t) - 2)} for k, t in texts.items()}
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low = min(root[a], root[b])
+                root |= {k: low for k in root if root[k] in (root[a], root[b])}
+    assert got == root and len(set(root.values())) == 90
+    assert asked and not asked[-1] & set(range(60, 120))
