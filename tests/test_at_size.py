@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from larkfield.functions import hours
-from larkfield.operators import identity, leads, places
+from larkfield.operators import identity, leads, places, website
 from larkfield.operators.schedules import with_hours
 
 
@@ -66,3 +66,14 @@ def test_pairs_are_met_once_and_not_shuffled(spark):
         want = spark.sql(f"SELECT i.id, p.id FROM met_once i JOIN met_once p ON {on}")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         assert "Aggregate" not in plan_of(got)
+
+
+def test_search_results_are_read_before_businesses_meet_them(spark):
+    rows = spark.createDataFrame([(f"b{k}", "Same Name", "Town", None, None) for k in range(20)], "id string, name string, city string, street string, phone_e164 string")
+    query = '"Same Name" Town'
+    urls = ["www.own.de/a", "ftp://x.de", "https://own.de/b", "https://www.facebook.com/p", "https://other.de"]
+    results = spark.createDataFrame([(query, n, u, "t", "s") for n, u in enumerate(urls)], "query string, rank int, url string, title string, snippet string")
+    hits, _ = website.search_channel(rows, results, spark.createDataFrame([(query, "ok")], "query string, status string"))
+    assert "regexp_" not in plan_of(hits).split("Join Inner")[0]
+    want = {("candidate", 1, "https://www.own.de/a", "own.de"), ("candidate", 2, "https://other.de/", "other.de"), ("social", 1, "https://www.facebook.com/p", "facebook.com")}
+    assert {tuple(r) for r in hits.collect()} == {(f"b{k}", *w) for k in range(20) for w in want}
