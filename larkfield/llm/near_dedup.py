@@ -196,9 +196,9 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
         open_ = named.join(sizes.select("key"), "key")
         last = left <= most or left > before / 2
         prefixed = last and (retained is None or left > most)  # keys of more pairs than ``limit`` are compared by shingles
-        limit = (_most_pairs(sizes, most) if retained else 0) if prefixed else left
+        limit = (_most_pairs(sizes, most) if retained else 0) if prefixed else 0
         found = []
-        if not last or limit:
+        if not prefixed or limit:
             met = open_.join(sizes.where(F.col("pairs") <= limit).select("key"), "key", "left_semi") if prefixed else open_
             order = F.struct((-F.col("central") * (1 - F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1000)) / 2000 * int(k > 0))).alias("less"), "node")
             other = met if last else met.groupBy("key").agg(F.min_by(F.struct("node", "n", "group", order.alias("order")), order).alias("x")).select("key", "x.*")
