@@ -1,8 +1,9 @@
 """SimHash fingerprints of word shingles, their classes within a Hamming radius, and near-duplicate removal.
 
-``simhash_classes`` links fingerprints only; ``drop_near_duplicates`` finds
-candidates by MinHash bands over word shingles and checks the shingles
-themselves, so that what it removes really is alike.
+``simhash_classes`` links fingerprints only; ``drop_near_duplicates`` takes the
+classes of such links and MinHash bands, which see what fingerprints miss, as
+candidates and checks the shingles themselves, so that what it removes really
+is alike.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.
 DIRECT = 4
 #: Texts that are compared with one text in one task.
 SHARE = 256
+#: Differing bits up to which SimHash fingerprints are linked.
+RADIUS = 2
+#: One of so many shingles is looked at first, for texts that have too much of their own.
+SLICES = 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,10 +53,20 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return [line[x : y - 1] for x, y in zip(at, at[size:], strict=False)]
 
 
+def shingle_digests(words: list[bytes], size: int) -> bytes:
+    """XXH64 with seed 42 of every shingle, repeats included, highest byte first."""
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(s, 42) for s in shingles(words, size)])
+
+
 def shingle_fingerprint(words: list[bytes], size: int) -> bytes:
     """Eight bytes, highest first: a bit is set if it is in over half the shingles' XXH64 with seed 42. No words: zero."""
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(s, 42) for s in shingles(words, size)]), np.uint8).reshape(-1, 8)
+    return fingerprint_of(shingle_digests(words, size))
+
+
+def fingerprint_of(digests: bytes) -> bytes:
+    """``shingle_fingerprint`` from ``shingle_digests``."""
+    hashes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), CHUNK):
         counts += np.unpackbits(hashes[k : k + CHUNK], axis=1).sum(axis=0, dtype=np.int64)
@@ -72,8 +87,7 @@ def word_fingerprint(words: list[bytes]) -> bytes:
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """The distinct XXH64 values of a text's shingles."""
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(s, 42) for s in shingles(words, size)]), np.uint64))
+    return np.unique(np.frombuffer(shingle_digests(words, size), np.uint64))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -130,8 +144,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Two texts are near duplicates if the Jaccard similarity of their sets of
     ``size``-word shingles is at least ``similarity``; groups are what such
     links connect. Texts of the same words are folded to one node. Candidates
-    are nodes that share a MinHash band; no candidate pair that is alike is
-    left out, except where other links have put its texts into one group.
+    are nodes that one class of SimHash fingerprints holds (links of up to
+    ``RADIUS`` bits, found as in ``simhash_classes``) or that share a MinHash
+    band; no candidate pair that is alike is left out, except where other links
+    have put its texts into one group.
 
     Edge cases: rows with the same words (null and empty texts among them) are
     copies, of which the smallest id stays; of rows that share id and text the
@@ -144,16 +160,18 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [(hashlib.md5(b" ".join(words)).digest(), shingle_hashes(words, size)) for words in map(words_of, batch.column(2).to_pylist())]
-            return batch_of(batch.column(0), batch.column(1), [w for w, _ in found], [len(h) for _, h in found], pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64())))
+            found = [(hashlib.md5(b" ".join(words)).digest(), shingle_digests(words, size)) for words in map(words_of, batch.column(2).to_pylist())]
+            sets = [np.unique(np.frombuffer(d, np.uint64)) for _, d in found]
+            return batch_of(batch.column(0), batch.column(1), [w for w, _ in found], [*map(len, sets)], pa.array([band_keys(h) for h in sets], pa.list_(pa.int64())), _as_longs([fingerprint_of(d) for _, d in found]))
 
         return step
 
     key = F.unhex(F.md5(text_or_empty(text_col)))
-    marked = map_batches(docs.select(docs[id_col], key, text_or_empty(text_col)), make, f"id {kind}, copy binary, words binary, n long, keys array<long>")
+    marked = map_batches(docs.select(docs[id_col], key, text_or_empty(text_col)), make, f"id {kind}, copy binary, words binary, n long, keys array<long>, fp long")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "copy")).alias("x")
-    texts = stored(marked.groupBy("words").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")).select("x.id", "x.copy", "n", "keys"))
-    keyed = texts.where("id is not null").select(F.col("id").cast("long").alias("node"), "n", F.explode("keys").alias("key"))
+    texts = stored(marked.groupBy("words").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")).select("x.id", "x.copy", "n", "keys", "fp"))
+    known = texts.where("id is not null").select(F.col("id").cast("long").alias("node"), "n", "keys", "fp")
+    keyed = known.select("node", "n", F.explode("keys").alias("key")).unionByName(simhash_keys(known.select("node", "n", "fp")))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = checkpoint(keyed.join(shared, "key").select("key", "node", "n"))
     whole = docs.select(F.struct(*columns(docs.columns)).alias("row"), docs[id_col].alias("id"), key.alias("copy"))
@@ -166,6 +184,16 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     return of_one.agg(F.min_by("row", F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("row")).select("row.*")
 
 
+def simhash_keys(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, n, key) of ``nodes`` (node, n, fp): a key for each class of fingerprints that links within ``radius`` connect.
+
+    Equal fingerprints are folded before anything is paired, as in ``simhash_classes``.
+    """
+    firsts = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    classes = firsts.join(components(near_links(firsts, radius)), "node", "left").select("fp", F.coalesce("component", "node").alias("class"))
+    return nodes.join(classes, "fp").select("node", "n", F.xxhash64(F.lit("class"), F.col("class")).alias("key"))
+
+
 def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, retained: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) as ``components`` gives them, of the links among nodes that share a key.
 
@@ -180,9 +208,9 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
     as their rarest shingles allow a link (``across_groups``), which misses no
     pair that is alike. With ``retained`` (rows (a, b), one for each key that
     they share, to distinct pairs worth a comparison) the keys with fewest
-    pairs, which together give few enough, are met through to the end, and
-    what ``retained`` keeps is compared; only nodes of the other keys have
-    their shingles sorted. A pair that shares a key is in one part or the other.
+    pairs, which together give few enough, are met through to the end; of these
+    pairs and those of the rounds before, what ``retained`` keeps is compared;
+    only nodes of the other keys have their shingles sorted. A pair that shares a key is in one part or the other.
     """
     most = DIRECT * members.count()
     wide = members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").cast("double").alias("central"))
@@ -208,7 +236,7 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
             if last:
                 found.append((retained or DataFrame.distinct)(pairs.where("a < b").select(*_ordered("a", "b", k))))
             else:
-                found.append(pairs.groupBy("b").agg(F.min("order").alias("x")).select(*_ordered("x.node", "b", k)).distinct())
+                found.append((retained or DataFrame.distinct)(pairs.groupBy("b").agg(F.min("order").alias("x")).select(*_ordered("x.node", "b", k))))
         if prefixed:
             long = open_.join(sizes.where(F.col("pairs") > limit).select("key"), "key", "left_semi")
             found.append(across_groups(long.select("node", "group").distinct(), texts, size, similarity).select(*_ordered("a", "b", k)).distinct())
@@ -246,6 +274,9 @@ def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     ``cap`` shingles. Pairs that share no such shingle are not looked at. One
     side of a pair is never of the group that most sets of the shingle are in,
     so what a shingle makes grows with the sets outside that group.
+
+    Before that, nodes go that one in ``SLICES`` of the shingles already shows to
+    have more shingles of their group alone than a link leaves.
     """
     hashed = texts.join(nodes, "node").select("node", "group", "text")
 
@@ -258,8 +289,18 @@ def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
 
         return step
 
-    shingle = stored(map_batches(hashed, make, "node long, group long, n int, h long"))
-    rarity = shingle.groupBy("h").agg(F.count("*").alias("sets"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("h", "sets")
+    every = stored(map_batches(hashed, make, "node long, group long, n int, h long"))
+
+    def common(rows: DataFrame) -> DataFrame:
+        """(h, sets) of the shingles that several groups have."""
+        return rows.groupBy("h").agg(F.count("*").alias("sets"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("h", "sets")
+
+    first = every.where(F.pmod("h", F.lit(SLICES)) == 0)
+    held = first.join(common(first).select("h"), "h", "left_semi").groupBy("node").agg(F.count("*").alias("held"))
+    own = first.groupBy("node").agg(F.count("*").alias("all"), F.max("n").alias("n")).join(held, "node", "left")
+    apart = own.where(F.col("all") - F.coalesce("held", F.lit(0)) > (1 - similarity) * F.col("n") + 1e-6).select("node")
+    shingle = stored(every.join(apart, "node", "left_anti"))
+    rarity = common(shingle)
     of_node = Window.partitionBy("node")
     cap = (1 + 1 / similarity) * (F.col("n") - F.col("at") + 1) - F.col("n") + 1e-6
     mixed = shingle.join(rarity, "h").withColumns({"at": F.row_number().over(of_node.orderBy("sets", "h")), "mixed": F.count("*").over(of_node)})
@@ -283,14 +324,14 @@ def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> D
     """(a, b, alike) of every pair: whether the Jaccard similarity of the texts' shingle sets reaches ``similarity``.
 
     The text of b travels with each pair; that of a is sent in front of its
-    pairs, once for about ``SHARE`` of them, which are one task's. Two texts
-    without words are alike.
+    pairs, once for about ``SHARE`` of them, which are one task's. One join
+    fetches the texts of both. Two texts without words are alike.
     """
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1")
     pairs = pairs.join(shares, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).alias("share"))
-    of_b = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "share", "b", "text")
-    of_a = texts.join(pairs.select(F.col("a").alias("node"), "share").distinct(), "node").select(F.col("node").alias("a"), "share", F.lit(None).cast("long").alias("b"), "text")
-    dealt = of_a.unionByName(of_b).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).drop("share")
+    fronts = pairs.select(F.col("a").alias("node"), "a", "share").distinct().withColumn("b", F.lit(None).cast("long"))
+    sent = texts.join(fronts.unionByName(pairs.select(F.col("b").alias("node"), "a", "share", "b")), "node")
+    dealt = sent.select("a", "share", "b", "text").repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).drop("share")
 
     def make():
         held: list = [None, set()]
