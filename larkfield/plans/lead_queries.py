@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import leads as op
 from ..refdata import LEAD_STATUSES, OUTCOME_STATUS
 from ..sources.records import read_verifications, run_items, upsert, write_verifications
-from ..storage import shared_folder
+from ..storage import shared_folder, stored
 from . import sqltext as q
 from .catalog import query
 from .standins import AS_OF, view, with_views
@@ -238,11 +238,10 @@ def k2_verification_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: three runs written with their candidates and statements, one of them twice, and read back and joined."""
     path = f"{shared_folder(spark)}/verifications-{uuid.uuid4().hex}"
     v = view(spark, sf_dir, "v_verification").withColumn("run_of", F.concat(F.lit("run"), (F.col("finished_ms") % 3).cast("string")))
-    judged, channels = (view(spark, sf_dir, name).withColumnRenamed("business_id", "verification_id") for name in ("v_judged", "v_channel"))
+    of_run = v.select("verification_id", "run_of")
+    tables = v, *(stored(view(spark, sf_dir, name).withColumnRenamed("business_id", "verification_id").join(of_run, "verification_id"), "run_of") for name in ("v_judged", "v_channel"))
     for run in ("run0", "run1", "run2", "run1"):
-        own = v.where(F.col("run_of") == run).drop("run_of")
-        ids = own.select("verification_id")
-        write_verifications(own, judged.join(ids, "verification_id"), channels.join(ids, "verification_id"), path, run)
+        write_verifications(*[t.where(F.col("run_of") == run).drop("run_of") for t in tables], path, run)
     t = read_verifications(spark, path)
     c = t["candidates"].groupBy("run", "verification_id").agg(F.count("*").alias("candidates"), F.max("score").alias("best"))
     e = t["evidence"].groupBy("run", "verification_id").agg(F.count("*").alias("statements"))

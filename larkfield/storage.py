@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions for each core in ``spread``.
+SHARES = 4
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where the session names none, a temporary one in local mode, and on a cluster an error."""
@@ -26,8 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, whose size the optimiser knows."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, whose size the optimiser knows; in folders by the values of ``by``, if given."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` over more partitions than there are cores, for rows that few files hold and that are much work each."""
+    return df.repartition(SHARES * df.sparkSession.sparkContext.defaultParallelism, *by)
