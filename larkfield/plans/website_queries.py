@@ -11,6 +11,7 @@ from ..operators import website as op
 from ..operators.identity import build_identity
 from ..operators.leads import page_of
 from ..operators.schedules import with_hours
+from ..storage import spread
 from . import sqltext as q
 from .catalog import query
 from .identity_queries import B
@@ -138,7 +139,7 @@ def d11_d12_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import normalize_text
     from ..functions.web import looks_parked, looks_unfinished
 
-    rows = view_sql(spark, sf_dir, JUDGED, "v_business")
+    rows = spread(view_sql(spark, sf_dir, JUDGED, "v_business"), "id")
     one = lambda c: F.array_compact(F.array(F.col(c)))
     structured = F.array().cast("array<struct<type:string,name:string,telephone:string,street:string,postal:string,locality:string,url:string>>")
     rows = rows.withColumns({"country_code": F.lit("DE"), "final_url": F.col("url"), "redirects": F.array().cast("array<string>"), "normalized": normalize_text(F.col("text")), "phones": one("page_phone"), "postal_codes": one("page_postal"), "structured": structured, "is_empty": F.length("text") < 60})

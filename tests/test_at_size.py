@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from larkfield.functions import hours
 from larkfield.operators import identity, leads, places, website
 from larkfield.operators.schedules import with_hours
+from larkfield.plans import lead_queries, website_queries
 
 
 def plan_of(df) -> str:
@@ -77,3 +78,17 @@ def test_search_results_are_read_before_businesses_meet_them(spark):
     assert "regexp_" not in plan_of(hits).split("Join Inner")[0]
     want = {("candidate", 1, "https://www.own.de/a", "own.de"), ("candidate", 2, "https://other.de/", "other.de"), ("social", 1, "https://www.facebook.com/p", "facebook.com")}
     assert {tuple(r) for r in hits.collect()} == {(f"b{k}", *w) for k in range(20) for w in want}
+
+
+def test_page_scores_are_dealt_over_cores(spark):
+    """Scoring is more work than reading, so one file's rows are not one task's."""
+    out = website_queries.d11_d12_page_scores(spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_verification_runs_join_their_tables_once(spark, monkeypatch):
+    """What a run writes is a part of tables that are stored by run, and no join of its own."""
+    plans, write = [], lead_queries.write_verifications
+    monkeypatch.setattr(lead_queries, "write_verifications", lambda *x: plans.extend(map(plan_of, x[:3])) or write(*x))
+    assert lead_queries.k2_verification_store(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 12 and not any("Join" in p or "Window" in p or "Aggregate" in p for p in plans)
