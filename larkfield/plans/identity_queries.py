@@ -9,7 +9,7 @@ from ..operators import identity as op
 from ..operators import matching
 from ..operators import places as pl
 from ..refdata import CATEGORIES
-from ..storage import cut
+from ..storage import cut, spread
 from . import sqltext as q
 from .catalog import query
 from .standins import view, with_views
@@ -27,11 +27,11 @@ B, D = with_views("v_business"), with_views("v_discovered")
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.build_identity(view(spark, sf_dir, "v_discovered"))
+    return op.build_identity(spread(view(spark, sf_dir, "v_discovered"), "id"))
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.build_identity(view(spark, sf_dir, "v_business").drop("identity_status", "identity_confidence", "phone_e164"))
+    return op.build_identity(spread(view(spark, sf_dir, "v_business"), "id").drop("identity_status", "identity_confidence", "phone_e164"))
 
 
 @query(f"{D}, {identity_sql('v_discovered')} SELECT id, name_key, phone_e164, address_key, identity_confidence, identity_status, (phone_e164 IS NOT NULL)::int + (lat IS NOT NULL)::int + (category IS NOT NULL)::int + (name <> '')::int + (len({q.tokens('name_key')}) > 0)::int + (street IS NOT NULL AND (city IS NOT NULL OR postal_code IS NOT NULL))::int AS present FROM i")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from larkfield.functions import hours
-from larkfield.operators import identity, leads, places, website
+from larkfield.operators import identity, leads, matching, places, website
 from larkfield.operators.schedules import with_hours
 from larkfield.plans import lead_queries, website_queries
 
@@ -92,3 +92,12 @@ def test_verification_runs_join_their_tables_once(spark, monkeypatch):
     monkeypatch.setattr(lead_queries, "write_verifications", lambda *x: plans.extend(map(plan_of, x[:3])) or write(*x))
     assert lead_queries.k2_verification_store(spark, "/root/testdata/sf0.001").count() > 0
     assert len(plans) == 12 and not any("Join" in p or "Window" in p or "Aggregate" in p for p in plans)
+
+
+def test_names_of_a_block_are_compared_on_all_cores(spark):
+    """A few kilobytes of names meet many partners each; they are not one task's."""
+    names = spark.range(300).select((F.col("id") % 40).alias("key"), F.col("id").alias("x"))
+    known = spark.range(300).select((F.col("id") % 40).alias("key"), F.col("id").alias("y"), F.format_string("b%03d", "id").alias("business_id"))
+    out = matching.first_match(names, known, "key", lambda: F.col("y") > F.col("x"))
+    assert "RepartitionByExpression" in plan_of(out)
+    assert {(r.x, r.business_id) for r in out.collect()} == {(x, f"b{x + 40:03d}") for x in range(260)}
