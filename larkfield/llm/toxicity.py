@@ -14,7 +14,9 @@ the third of the toxic rows' scores they are in. Other rows have grade 0.
 The fit uses a bounded sample of labelled rows (``sample``), which bounds the
 features too: every one that ``LEAST_ROWS`` sampled rows have is weighted.
 Feature counts are summed in Spark; the driver sees the features and, for each
-sampled row, the numbers of those that it has, and fits them in blocks.
+sampled row, the numbers of those that it has, and fits them in blocks. Rows
+are sorted in Spark and come to it many in one value, a partition at a time, so
+that it never holds an object for each of them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, columns, map_batches, text_or_empty
+from .common import batch_of, columns, map_batches, stored, text_or_empty
 
 #: Grades of toxic rows, and folds and steps of the scores that they are made from.
 GRADES, FOLDS, FOLD_STEPS = 3, 2, 150
@@ -113,7 +115,7 @@ def severity_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_fea
         seen = fold != k
         if toxic[seen].min() == toxic[seen].max():
             continue
-        place, own = (np.cumsum(seen) - 1).astype(np.int32), seen[rows]
+        place, own = (np.cumsum(seen) - 1).astype(rows.dtype), seen[rows]
         weights, _ = fit_ordinal(place[rows[own]], cols[own], toxic[seen], n_features, FOLD_STEPS)
         score[~seen] = summed(rows, cols, weights, n)[~seen]
     grades, bad = np.zeros(n, int), np.flatnonzero(toxic == 1)
@@ -123,6 +125,25 @@ def severity_grades(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_fea
     return grades
 
 
+def sparse_rows(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row and column of every one, label of every row) of ``found`` (toxic, found: the columns of a row as four-byte numbers), sorted by both."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            labels, rows = batch.columns
+            lengths = np.array([len(r) // 4 for r in rows.to_pylist()], "<i4")
+            return batch_of([labels.to_numpy().astype("<i4").tobytes()], [lengths.tobytes()], [b"".join(rows.to_pylist())])
+
+        return step
+
+    toxic, lengths, cols = [], [], []
+    for r in map_batches(found.orderBy("toxic", "found"), make, "toxic binary, lengths binary, cols binary").toLocalIterator():
+        for parts, part in zip((toxic, lengths, cols), r, strict=True):
+            parts.append(np.frombuffer(part, "<i4"))
+    lengths = np.concatenate(lengths)
+    return np.repeat(np.arange(len(lengths), dtype=np.min_scalar_type(len(lengths))), lengths), np.concatenate(cols), np.concatenate(toxic)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most about ``sample`` labelled rows, taken by a hash of their ids.
 
@@ -143,9 +164,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
 
         return step
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(marks, "id").select("id", "toxic", "text")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(marks), "id").select("id", "toxic", "text")  # at most about ``sample`` ids
     kind = dict(rows.dtypes)["id"]
-    worded = map_batches(rows, make, f"id {kind}, toxic int, words array<binary>").groupBy("id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
+    worded = stored(map_batches(rows, make, f"id {kind}, toxic int, words array<binary>").groupBy("id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words")))
     totals = {r.toxic: r.n for r in worded.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nothing = OrdinalModel({}, [1e3, 2e3, 3e3])
     if not totals.get(0) or not totals.get(1):
@@ -154,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
     both = F.when(long, F.array(F.concat(F.lit(b"="), F.col("word")), F.concat(F.lit(b"^"), F.substring("word", 1, PREFIX)))).otherwise(F.array(F.concat(F.lit(b"="), F.col("word"))))
     held = worded.select("id", "toxic", F.explode("words").alias("word")).select("id", "toxic", F.explode(both).alias("feature")).distinct()
     counts = held.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(F.col("bad") + F.col("good") >= LEAST_ROWS)
-    index = {bytes(r.feature): k for k, r in enumerate(counts.select("feature").orderBy("feature").collect())}
+    index = {bytes(r.feature): k for k, r in enumerate(counts.select("feature").orderBy("feature").toLocalIterator())}
 
     def make_rows():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -163,11 +184,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
 
         return step
 
-    sampled = sorted((r.toxic, bytes(r.found)) for r in map_batches(worded, make_rows, "toxic int, found binary").collect())
-    lengths = [len(found) // 4 for _, found in sampled]
-    at, cols = np.repeat(np.arange(len(sampled), dtype=np.int32), lengths), np.frombuffer(b"".join([found for _, found in sampled]), "<i4")
-    toxic = np.array([t for t, _ in sampled])
-    del sampled
+    at, cols, toxic = sparse_rows(stored(map_batches(worded, make_rows, "toxic int, found binary")))
     grades = severity_grades(at, cols, toxic, len(index))
     grades = np.unique(grades, return_inverse=True)[1]  # grades that occur, from 0 without gaps
     weights, thresholds = fit_ordinal(at, cols, grades, len(index))

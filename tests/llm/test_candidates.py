@@ -60,3 +60,21 @@ def test_texts_of_their_own_are_not_sorted(spark, monkeypatch):
     want = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
     assert want == {(k, 40 + k) for k in range(5)} and want <= {tuple(sorted((r.a, r.b))) for r in pairs.collect()}
     assert tables[1].select("node").distinct().count() < 20 < tables[0].select("node").distinct().count() == 45
+
+
+def test_sampled_rows_come_to_the_driver_many_in_one_value(spark, monkeypatch):
+    """The driver sees totals, features and blocks of rows; no call brings it a list of all sampled rows, and they are sorted as before."""
+    from larkfield.llm import toxicity
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    found = [(k % 2, np.array(sorted({k * 7 % 11, k * 5 % 300, 400}), "<i4").tobytes()) for k in range(70)] + [(1, b"")]
+    rows, cols, toxic = toxicity.sparse_rows(spark.createDataFrame(found, "toxic int, found binary").repartition(5))
+    expected = sorted(found)
+    assert toxic.tolist() == [t for t, _ in expected] and rows.dtype.itemsize == 1
+    assert [cols[rows == k].tobytes() for k in range(len(expected))] == [f for _, f in expected]
+
+    taken, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: taken.append(len(rows := collect(self))) or rows)
+    docs = spark.createDataFrame([(k, f"word{k % 9} other{k % 5} {'vile' if k % 3 else 'kind'} same") for k in range(90)], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(90)], "doc_id long, toxic int"))
+    assert model.weights[b"=vile"] > 0 > model.weights[b"=kind"] and max(taken) <= 2
