@@ -18,14 +18,14 @@ from ..functions.phone import compare_phones, normalize_phone
 from ..functions.text import coverage_of, distinctive_tokens, let, normalize_text
 from ..functions.web import domain_overlap, domains_in, handle_domains, hostname, is_link_page, is_social, is_social_or_directory, normalize_url, registrable_domain, social_profile
 from ..refdata import WEIGHTS
-from ..storage import cut
+from ..storage import cut, spread, stored
 from .identity import build_identity
 from .leads import stale
 
 ACCEPT, PROBABLE = 70, 45
 MAX_FETCHES, MAX_SEARCH, MAX_GUESSES, MAX_PROFILES, MAX_LINK_PAGES, MAX_HOPS, MAX_LISTINGS = 14, 6, 6, 3, 2, 5, 5
-#: One of so many words of a query counts as frequent.
-FREQUENT = 5
+#: One of so many documents is searched first by keywords, for bounds.
+FIRST = 64
 CHANNELS = ("provider_field", "search_engine", "social_profile", "domain_guess", "directory")
 ORIGINS = ("declared", "found", "derived")
 CANDIDATE = ("business_id", "channel", "origin", "ordinal", "url", "domain")
@@ -443,34 +443,25 @@ def keyword_search(queries: DataFrame, index: DataFrame, least: int = 2, k: int
     """(query_id, doc_id, hits, share, rank): documents with at least ``least`` distinct keywords in the query, by share of their keywords, then hits, then id.
 
     ``queries``: query_id, text; ``index``: doc_id, keywords (normalised), one
-    row for each document. The words of a query are ordered by the number of
-    documents that have them. All but the most frequent fifth are joined with
-    their documents; the k-th share that it gives alone is a bound that all results
-    must reach. Documents that can still reach it are then asked for the
-    frequent words one by one, and documents without any rare word are met
-    only if they are short enough for the frequent ones to reach the bound.
-    Null texts and keywords have no words; a query without ``k`` results has
-    no bound and loses nothing.
+    row for each document. Documents are dealt by their ids and asked for the
+    queries' words, so hits of a document are counted where it lies, and no
+    word is a key. One document in ``FIRST`` is searched first: the k-th share
+    that these give is a bound that all results must reach, and what does not
+    reach it is left before rows are shuffled and sorted by query. Null texts
+    and keywords have no words; a query for which the first documents give
+    fewer than ``k`` results has no bound and loses nothing.
     """
-    q = queries.where("text is not null").select("query_id", F.explode(F.array_distinct(F.split(normalize_text(F.col("text")), " "))).alias("word")).where("length(word) >= 2").distinct()
-    d = index.withColumn("words", F.array_distinct(F.filter("keywords", lambda w: F.length(w) >= 2))).select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    posts = cut(d.join(q.select("word").distinct(), "word"))
+    q = stored(queries.where("text is not null").select("query_id", F.explode(F.array_distinct(F.split(normalize_text(F.col("text")), " "))).alias("word")).where("length(word) >= 2").distinct())
+
+    def hits_in(documents: DataFrame) -> DataFrame:
+        words = spread(documents.select("doc_id", F.array_distinct(F.filter("keywords", lambda w: F.length(w) >= 2)).alias("words")), "doc_id")
+        d = words.select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+        hits = d.join(q, "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
+        return hits.where(F.col("hits") >= least).select("query_id", "doc_id", "hits", (F.col("hits") / F.col("n")).alias("share"))
+
     of_query = Window.partitionBy("query_id")
-    ranked = q.join(posts.groupBy("word").agg(F.count("*").alias("docs")), "word").withColumns({"r": F.row_number().over(of_query.orderBy("docs", "word")), "m": F.count("*").over(of_query)})
-    ranked = cut(ranked.select("query_id", "word", (F.col("r") <= F.col("m") - F.floor(F.col("m") / FREQUENT)).alias("rare"), F.floor(F.col("m") / FREQUENT).alias("more")))
-    rare, frequent = ranked.where("rare").select("query_id", "word"), ranked.where("not rare").select("query_id", "word", "more")
-    sizes = ranked.select("query_id", "more").distinct()
-    met = cut(rare.join(posts, "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.max("n").alias("n")))
-    sure = met.where(F.col("hits") >= least).withColumn("share", F.col("hits") / F.col("n"))
-    bound = sure.withColumn("rn", F.row_number().over(of_query.orderBy(F.desc("share")))).where(F.col("rn") == k).select("query_id", F.col("share").alias("bound"))
-    reach = lambda hits: F.coalesce(hits / F.col("n") >= F.col("bound"), F.lit(True))
-    able = met.join(sizes, "query_id").join(bound, "query_id", "left").where(reach(F.col("hits") + F.col("more"))).select("query_id", "doc_id", "hits", "n")
-    able = cut(able)
-    asked = able.select("query_id", "doc_id").join(frequent.select("query_id", "word"), "query_id")
-    more = asked.join(posts.select("word", "doc_id"), ["word", "doc_id"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("more"))
-    with_rare = able.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"), "n")
-    short = frequent.join(bound, "query_id", "left").join(posts, "word").where(reach(F.col("more"))).groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
-    without = short.where(F.col("hits") >= least).join(met.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    hits = with_rare.unionByName(without).where(F.col("hits") >= least).withColumn("share", F.col("hits") / F.col("n"))
+    first = hits_in(index.where(F.pmod(F.xxhash64("doc_id"), F.lit(FIRST)) == 0)).withColumn("rn", F.row_number().over(of_query.orderBy(F.desc("share")))).where(F.col("rn") <= k)
+    bound = stored(first.where(F.col("rn") == k).select("query_id", F.col("share").alias("bound")))
+    able = hits_in(index).join(bound, "query_id", "left").where("bound is null or share >= bound").drop("bound")
     w = of_query.orderBy(F.desc("share"), F.desc("hits"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("n")
+    return able.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

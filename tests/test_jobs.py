@@ -116,6 +116,18 @@ def test_keyword_search_equals_counting(spark):
     assert {(r.query_id, r.doc_id, r.hits, r["rank"]) for r in got.collect()} == want
 
 
+def test_keyword_search_counts_hits_where_documents_lie(spark, monkeypatch):
+    """No shuffle by word or by document and query: hits are counted in the documents' partitions, and bounds of the first documents lose nothing."""
+    docs = spark.createDataFrame([(k, [f"w{j}" for j in range(k % 7, 12)]) for k in range(200)], "doc_id int, keywords array<string>")
+    asked = spark.createDataFrame([(k, f"w{k} w{k + 3} w{k + 5} w11") for k in range(6)], "query_id int, text string")
+    monkeypatch.setattr(website, "FIRST", 3)
+    got = website.keyword_search(asked, docs)
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+?)#", got._jdf.queryExecution().executedPlan().toString())
+    assert set(dealt) == {"doc_id", "query_id"} and not re.search(r"hashpartitioning\(query_id#\d+, doc_id", got._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(website, "FIRST", 10**9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, website.keyword_search(asked, docs).collect())) != []
+
+
 def test_runs_are_visible_as_a_whole(spark):
     path = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
     table = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
