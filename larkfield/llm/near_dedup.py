@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, columns, map_batches, stored, text_or_empty
+from .common import batch_of, checkpoint, columns, few, map_batches, stored, text_or_empty
 from .components import components
 from .hamming import near_links
 
@@ -214,12 +214,12 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
     """
     most = DIRECT * members.count()
     wide = members.join(members.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").cast("double").alias("central"))
-    groups = checkpoint(wide.withColumn("group", F.col("node")))
+    groups = checkpoint(few(wide.withColumn("group", F.col("node"))))
     tried, before = None, float("inf")
     for k in count():
-        named = checkpoint(members.join(groups, "node"))
+        named = checkpoint(few(members.join(groups, "node")))
         sizes = named.groupBy("key", "group").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "group")).alias("main")).where("main.m < all")
-        sizes = checkpoint(sizes.select("key", ((F.col("all") - F.col("main.m")) * F.col("all")).cast("double").alias("pairs")))
+        sizes = checkpoint(few(sizes.select("key", ((F.col("all") - F.col("main.m")) * F.col("all")).cast("double").alias("pairs"))))
         left = sizes.agg(F.sum("pairs")).first()[0] or 0
         open_ = named.join(sizes.select("key"), "key")
         last = left <= most or left > before / 2
@@ -243,12 +243,12 @@ def linked(members: DataFrame, texts: DataFrame, size: int, similarity: float, r
         pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select(*_ordered("a", "b", k)), ["a", "b"], "left_anti")
-        new = checkpoint(alike(checkpoint(pairs), texts, size, similarity))
+        new = checkpoint(few(alike(checkpoint(few(pairs)), texts, size, similarity)))
         tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
         ends = [groups.select(F.col("node").alias(c), F.col("group").alias(f"{c}_group")) for c in "ab"]
         links = new.where("alike").join(ends[0], "a").join(ends[1], "b").select("a_group", "b_group")
         merged = components(links, "a_group", "b_group").withColumnRenamed("node", "group")
-        groups = checkpoint(groups.join(merged, "group", "left").select("node", "central", F.coalesce("component", "group").alias("group")))
+        groups = checkpoint(few(groups.join(merged, "group", "left").select("node", "central", F.coalesce("component", "group").alias("group"))))
         if last:
             return groups.where("node <> group").select("node", F.col("group").alias("component"))
         before = left
@@ -278,32 +278,30 @@ def across_groups(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     Before that, nodes go that one in ``SLICES`` of the shingles already shows to
     have more shingles of their group alone than a link leaves.
     """
-    hashed = texts.join(nodes, "node").select("node", "group", "text")
+    def hashed(chosen: DataFrame, one_in: int) -> DataFrame:
+        """(node, group, n, h): a row for each distinct shingle of the texts of ``chosen`` whose hash ``one_in`` divides."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_hashes(words_of(t), size).view(np.int64) for t in batch.column(2).to_pylist()]
-            rows = np.repeat(np.arange(len(found)), [*map(len, found)])
-            sizes = np.array([*map(len, found)])
-            return batch_of(batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), sizes[rows], np.concatenate(found)) if len(rows) else None
-
-        return step
+        def make():
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                found = [shingle_hashes(words_of(t), size).view(np.int64) for t in batch.column(2).to_pylist()]
+                sizes, found = np.array([*map(len, found)]), [h[h % one_in == 0] for h in found]
+                rows = np.repeat(np.arange(len(found)), [*map(len, found)])
+                return batch_of(batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), sizes[rows], np.concatenate(found)) if len(rows) else None
 
-    every = stored(map_batches(hashed, make, "node long, group long, n int, h long"))
+            return step
 
-    def common(rows: DataFrame) -> DataFrame:
-        """(h, sets) of the shingles that several groups have."""
-        return rows.groupBy("h").agg(F.count("*").alias("sets"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("h", "sets")
+        return stored(map_batches(texts.join(chosen, "node").select("node", "group", "text"), make, "node long, group long, n int, h long"))
 
-    first = every.where(F.pmod("h", F.lit(SLICES)) == 0)
-    held = first.join(common(first).select("h"), "h", "left_semi").groupBy("node").agg(F.count("*").alias("held"))
+    first = hashed(nodes, SLICES)
+    common = first.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    held = first.join(common.select("h"), "h", "left_semi").groupBy("node").agg(F.count("*").alias("held"))
     own = first.groupBy("node").agg(F.count("*").alias("all"), F.max("n").alias("n")).join(held, "node", "left")
     apart = own.where(F.col("all") - F.coalesce("held", F.lit(0)) > (1 - similarity) * F.col("n") + 1e-6).select("node")
-    shingle = stored(every.join(apart, "node", "left_anti"))
-    rarity = common(shingle)
-    of_node = Window.partitionBy("node")
+    shingle = hashed(nodes.join(apart, "node", "left_anti"), 1)
+    of_node, of_shingle = Window.partitionBy("node"), Window.partitionBy("h")
     cap = (1 + 1 / similarity) * (F.col("n") - F.col("at") + 1) - F.col("n") + 1e-6
-    mixed = shingle.join(rarity, "h").withColumns({"at": F.row_number().over(of_node.orderBy("sets", "h")), "mixed": F.count("*").over(of_node)})
+    shared = shingle.select("*", F.count("*").over(of_shingle).alias("sets"), F.min("group").over(of_shingle).alias("low"), F.max("group").over(of_shingle).alias("high")).where("low < high")
+    mixed = shared.withColumns({"at": F.row_number().over(of_node.orderBy("sets", "h")), "mixed": F.count("*").over(of_node)})
     front = mixed.withColumn("at", F.col("n") - F.col("mixed") + F.col("at")).withColumn("cap", cap).where(F.col("cap") >= similarity * F.col("n"))
     front = stored(front.select("h", "node", "group", "n", "cap"))
     of_groups = front.groupBy("h", "group").agg(F.count("*").alias("m"), F.min("n").alias("least"))

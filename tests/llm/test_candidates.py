@@ -78,3 +78,28 @@ def test_sampled_rows_come_to_the_driver_many_in_one_value(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"word{k % 9} other{k % 5} {'vile' if k % 3 else 'kind'} same") for k in range(90)], "doc_id long, text string")
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(90)], "doc_id long, toxic int"))
     assert model.weights[b"=vile"] > 0 > model.weights[b"=kind"] and max(taken) <= 2
+
+
+def test_shared_shingles_are_ranked_without_a_join_on_them(spark, monkeypatch):
+    """What several groups share is counted in one shuffle by shingle; its rows do not come out of a join."""
+    rng = random.Random(4)
+    head = [f"h{k}" for k in range(90)]
+    texts = [" ".join(head + [f"w{rng.randrange(10**6)}" for _ in range(6)]) for _ in range(20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    plans, stored = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df: plans.append(plan_of(df)) or stored(df))
+    pairs = near_dedup.across_groups(table.select("node", F.col("node").alias("group")), table, 3, 0.85)
+    assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == {(a, b) for b in range(20) for a in range(b)}
+    front = next(p for p in plans if "cap" in p and "row_number" in p)
+    assert "Join Inner" not in front
+
+
+def test_a_star_needs_no_round(spark, monkeypatch):
+    from larkfield.llm import components
+
+    written, checkpoint = [], components.checkpoint
+    monkeypatch.setattr(components, "checkpoint", lambda df: written.append(1) or checkpoint(df))
+    star = spark.createDataFrame([(3, 1), (1, 4), (9, 7)], "a long, b long")
+    assert sorted(map(tuple, components.components(star).collect())) == [(3, 1), (4, 1), (9, 7)] and len(written) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(60, 60)], "a long, b long")
+    assert sorted(map(tuple, components.components(chain).collect())) == [(k, 0) for k in range(1, 41)]
