@@ -101,3 +101,11 @@ def test_names_of_a_block_are_compared_on_all_cores(spark):
     out = matching.first_match(names, known, "key", lambda: F.col("y") > F.col("x"))
     assert "RepartitionByExpression" in plan_of(out)
     assert {(r.x, r.business_id) for r in out.collect()} == {(x, f"b{x + 40:03d}") for x in range(260)}
+
+
+def test_blocking_pairs_are_made_on_all_cores(spark):
+    """Rows are few bytes and their pairs many: rows are dealt by keys, and no pair works out the width of a box."""
+    table = spark.createDataFrame([("r1", "+49", "a", "n", 48.0, 11.0)], "id string, phone_e164 string, address_key string, name_key string, lat double, lon double")
+    plan = plan_of(identity.blocking_pairs(table, table))
+    assert plan.count("RepartitionByExpression") == 8
+    assert not any("COS" in line.upper() for line in plan.splitlines() if "Join" in line)
